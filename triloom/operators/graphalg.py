@@ -30,3 +30,40 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             break
         e = new
     return nodes.join(new, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
+
+
+def bfs_tree(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(root, node, parent, depth) of the undirected graph, breadth first; of several parents the smallest. ``roots``: node.
+
+    One join for each level, against the nodes that level reached; the root has no parent and depth 0.
+    """
+    e = edges.select(col(edges, src).alias("u"), col(edges, dst).alias("v")).dropna()
+    e = cut(e.unionAll(e.select("v", "u")).where("u <> v").distinct(), "edges")
+    new = cut(roots.select(F.col("node").alias("root"), "node", F.lit(None).cast(dict(e.dtypes)["u"]).alias("parent"), F.lit(0).alias("depth")).distinct(), "level")
+    levels = [new]
+    seen = new
+    while not new.isEmpty():
+        met = new.select("root", F.col("node").alias("u"), (F.col("depth") + 1).alias("depth")).join(e, "u").groupBy("root", F.col("v").alias("node"), "depth").agg(F.min("u").alias("parent"))
+        new = cut(met.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", "parent", "depth"), "level")
+        levels.append(new)
+        seen = seen.unionByName(new)
+    return seen
+
+
+def subtree_sizes(tree: DataFrame) -> DataFrame:
+    """(root, node, size) of a tree from :func:`bfs_tree`: nodes below and including each one, summed from the deepest level up."""
+    deepest = tree.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return tree.select("root", "node", F.lit(0).cast("long").alias("size"))
+    out = None
+    below = None
+    for d in range(deepest, -1, -1):
+        level = tree.where(F.col("depth") == d).select("root", "node", "parent")
+        if below is None:
+            size = level.withColumn("size", F.lit(1).cast("long"))
+        else:
+            size = level.join(below, ["root", "node"], "left").select("root", "node", "parent", (F.coalesce("more", F.lit(0)) + 1).alias("size"))
+        size = cut(size, "sizes")
+        below = size.groupBy("root", F.col("parent").alias("node")).agg(F.sum("size").alias("more"))
+        out = size if out is None else out.unionByName(size)
+    return out.select("root", "node", "size")

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triloom.plans import files
+from triloom.plans import files, graphs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**files.QUERIES}
+    return {**files.QUERIES, **graphs.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**files.SQL}
+    return {**files.SQL, **graphs.SQL}

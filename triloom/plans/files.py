@@ -42,14 +42,14 @@ def p6_summary(spark, d):
 QUERIES = {f.__name__: f for f in (p1_found, p1_packed, p1_manifest, p6_found, p6_rejects, p6_nodes, p6_summary)}
 
 _UP = r"'(^|/)([^/.][^/]*|\.[^/.][^/]*|\.\.[^/]+)/\.\./', '\1'"
-_PATH = r"regexp_replace(replace(path, '\', '/'), '/+', '/', 'g')"
+PATH_SQL = r"regexp_replace(replace(path, '\', '/'), '/+', '/', 'g')"
 for _ in range(6):
-    _PATH = rf"regexp_replace({_PATH}, '(^|/)(\./)+', '\1', 'g')"
-    _PATH = f"regexp_replace({_PATH}, {_UP})"
-_KEYS = rf"with k as (select file_no, {_PATH} as p, regexp_replace(func, '^\s+|\s+$', '', 'g') as f, body from graph_files), m as (select p, f, body, min(file_no) as keep from k group by p, f, body)"
+    PATH_SQL = rf"regexp_replace({PATH_SQL}, '(^|/)(\./)+', '\1', 'g')"
+    PATH_SQL = f"regexp_replace({PATH_SQL}, {_UP})"
+_KEYS = rf"with k as (select file_no, {PATH_SQL} as p, regexp_replace(func, '^\s+|\s+$', '', 'g') as f, body from graph_files), m as (select p, f, body, min(file_no) as keep from k group by p, f, body)"
 _F = '(?:"(?:[^"]|"")*"|[^"\\t][^\\t]*)?'
 _TYPES = ", ".join(f"'{t}'" for t in NODE_TYPES)
-_LINES = rf"""with l as (select line_id, nodes_path, regexp_replace(line, '\r$', '') as s from node_lines where line_no is distinct from 1),
+LINES_SQL = rf"""with l as (select line_id, nodes_path, regexp_replace(line, '\r$', '') as s from node_lines where line_no is distinct from 1),
 q as (select *, regexp_full_match(s, '(?s){_F}(\t{_F}){{5}}') as six from l),
 c as (select line_id, nodes_path, six, regexp_extract_all('	' || s, '(?s)\t({_F})', 1) as c from q),
 u as (select line_id, nodes_path, six, list_transform(c, lambda x: case when starts_with(x, '"') then replace(x[2:-2], '""', '"') else x end) as c from c),
@@ -58,6 +58,6 @@ v as (select line_id, nodes_path, coalesce(six and regexp_full_match(c[2], '[0-9
 """
 SQL = {
     "p1_found": _KEYS + " select file_no from k join m on k.p = m.p and k.f is not distinct from m.f and k.body = m.body where file_no > keep",
-    "p6_found": _LINES + "select line_id from v where not ok",
-    "p6_summary": _LINES + "select nodes_path, count(*) as n_lines, count(*) filter (where not ok) as n_rejected from v group by nodes_path",
+    "p6_found": LINES_SQL + "select line_id from v where not ok",
+    "p6_summary": LINES_SQL + "select nodes_path, count(*) as n_lines, count(*) filter (where not ok) as n_rejected from v group by nodes_path",
 }
