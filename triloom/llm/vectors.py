@@ -139,7 +139,7 @@ def _nearest(dim: int, k: int, m: int, ef_build: int, ef: int):
     return run
 
 
-def nearest_neighbours(df: DataFrame, record: str = "fn_id", vec: str = "vec", dim: int = 79, k: int = 5, leaf_rows: int = 4096, probes: int = 8, m: int = 16, ef_build: int = 80, ef: int = 48, sample: int = SAMPLE) -> DataFrame:
+def nearest_neighbours(df: DataFrame, record: str = "fn_id", vec: str = "vec", dim: int = 79, k: int = 5, leaf_rows: int = 8192, probes: int = 4, m: int = 16, ef_build: int = 80, ef: int = 48, sample: int = SAMPLE) -> DataFrame:
     """(fn_id, neighbour, d2, rank): about the ``k`` nearest other records of each record by Euclidean distance.
 
     Equal distances go to the smaller name; d2 is the exact squared distance. Vectors that are null, of another length
