@@ -99,7 +99,8 @@ def compact(df: DataFrame, number: str = "file_no", path: str = "path", func: st
     names = df.columns
     kept = keyed.repartition(shards, key, no).join(winners.select(key, no).repartition(shards, key, no), [key, no], "left_semi")
     kept = kept.sortWithinPartitions(F.desc(size), key, no).select(*[col(df, c) for c in names], key, size, no)
-    written = kept.mapInArrow(_packer(f"{out}/data", groups, key, size, no), "file string, shard long, grp int, n_rows long, n_bytes long, longest long, marks long")
+    plain = [f"c{i}" for i in range(len(names))]  # mapInArrow can't take names with dots
+    written = kept.toDF(*plain, key, size, no).mapInArrow(_packer(f"{out}/data", groups, names, key, size, no), "file string, shard long, grp int, n_rows long, n_bytes long, longest long, marks long")
     written.write.parquet(f"{out}/_staged")
     staged = spark.read.parquet(f"{out}/_staged")
     got = staged.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.coalesce(F.bit_xor("marks"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
@@ -111,7 +112,7 @@ def compact(df: DataFrame, number: str = "file_no", path: str = "path", func: st
     return Packed(spark, out, names)
 
 
-def _packer(folder: str, groups: int, key: str, size: str, no: str):
+def _packer(folder: str, groups: int, names: list[str], key: str, size: str, no: str):
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -141,7 +142,7 @@ def _packer(folder: str, groups: int, key: str, size: str, no: str):
 
         for batch in batches:
             keys, sizes, nos = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (key, size, no))
-            rows = batch.select([c for c in batch.schema.names if c not in (key, size, no)])
+            rows = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names)
             picks: dict[int, list[int]] = {}
             for i, (k, n, m) in enumerate(zip(keys, sizes, nos)):
                 if (k, m) == last:  # rows repeated with their number
