@@ -482,8 +482,14 @@ class Parser:
             else:
                 return
 
-    def qualified(self) -> None:
-        """A name, in C++ with its qualifiers and template arguments."""
+    def value_arguments(self) -> None:
+        """Template arguments within an expression: no operand may follow, else ``<`` and ``>`` compare."""
+        self.template_arguments()
+        if self.kind() in ("id", "num", "str", "chr", "word"):
+            self.fail()
+
+    def qualified(self, value: bool = False) -> None:
+        """A name, in C++ with its qualifiers and template arguments; ``value``: within an expression."""
         if not self.cpp:
             if self.kind() != "id":
                 self.fail()
@@ -509,7 +515,7 @@ class Parser:
             else:
                 self.fail()
             if self.s == "<":
-                self.attempt(self.template_arguments)
+                self.attempt(self.value_arguments if value else self.template_arguments)
             if self.s == "::" and (self.kind(1) == "id" or self.peek() in ("~", "operator", "template")):
                 self.next()
                 continue
@@ -1200,10 +1206,10 @@ class Parser:
             self.initialiser()
             self.postfix_tail()
             return
-        plain = self.ts[self.i - 2][0] == "id" and self.ts[self.i - 3][1] == "("
-        if plain and self.s in ("+", "-", "*", "&", "(", "[", "++", "--", "&&", ".", "->"):
-            if self.s in ("+", "-", "*", "&", "&&", "++", "--", "[", ".", "->"):
-                self.fail()  # (name) - x: a value as well
+        name = self.ts[self.i - 2]
+        plain = name[0] == "id" and name[1] not in self.words and self.ts[self.i - 3][1] == "("
+        if plain and self.s in ("+", "-", "*", "&", "&&", "++", "--", "[", ".", "->"):
+            self.fail()  # (name) - x: a value in brackets serves as well
         self.unary()
 
     def new(self) -> None:
@@ -1268,7 +1274,7 @@ class Parser:
                 self.next()
                 if self.cpp:
                     self.take("template")
-                    self.qualified()
+                    self.qualified(True)
                 elif self.kind() == "id":
                     self.next()
                 else:
@@ -1319,7 +1325,7 @@ class Parser:
                 while self.kind() == "str":
                     self.next()
                 return
-            self.qualified()
+            self.qualified(True)
             self.brace_init = self.cpp and self.ts[self.i - 1][0] in ("id", "op") and self.ts[self.i - 1][1] != ")"
         elif self.cpp and s in ("this", "true", "false", "nullptr"):
             self.next()

@@ -24,7 +24,7 @@ MAX_SOURCES = 10_000
 
 
 def schedules(weights: dict[str, int], drift: float) -> dict[str, float]:
-    """The slope g of each source's weight p(1 + drift·g·(2t - 1)): at most 1 in size, and the weights sum to 1 at every t."""
+    """The slope g of each source's weight p(1 + drift·g·(2t - 1)): at most 1 in size, and the weights sum to 1 at every t. Smaller targets come later."""
     names = sorted(weights, key=lambda s: (weights[s], s))
     total = sum(weights.values()) or 1
     mean = sum(i * weights[s] for i, s in enumerate(names)) / total
