@@ -41,6 +41,22 @@ def char_set(s: Column) -> Column:
     return F.array_distinct(F.split(s, ""))
 
 
+def char_masks(s: Column) -> Column:
+    """A string's character set for fast comparison: bit masks of the ASCII characters, the other ones, and the set's size."""
+    chars = F.filter(char_set(s), lambda c: c != "")
+    code = lambda c: F.ascii(c)
+    mask = lambda low: F.aggregate(F.filter(chars, lambda c: (code(c) >= low) & (code(c) < low + 64)), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), code(c) - low)))
+    return F.struct(mask(0).alias("lo"), mask(64).alias("hi"), F.filter(chars, lambda c: code(c) >= 128).alias("rest"), F.size(chars).alias("n"))
+
+
+def mask_similarity(a: str, b: str) -> Column:
+    """Jaccard similarity of the character sets in the :func:`char_masks` columns ``a`` and ``b``; two empty ones are equal."""
+    bits = F.bit_count(F.col(f"{a}.lo").bitwiseAND(F.col(f"{b}.lo"))) + F.bit_count(F.col(f"{a}.hi").bitwiseAND(F.col(f"{b}.hi")))
+    rest = F.when((F.size(f"{a}.rest") > 0) & (F.size(f"{b}.rest") > 0), F.size(F.array_intersect(f"{a}.rest", f"{b}.rest"))).otherwise(0)
+    both, n = bits + rest, F.col(f"{a}.n") + F.col(f"{b}.n")
+    return F.when(n == 0, F.lit(1.0)).otherwise(both / (n - both))
+
+
 def set_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays without repeats; two empty ones are equal."""
     both = F.size(F.array_intersect(a, b))

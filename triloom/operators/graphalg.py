@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from triloom.session import col, cut
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Number and fingerprint of an edge set: equal for equal sets."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) of the undirected graph; a component's name is its smallest node.
 
@@ -18,6 +23,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     nodes = e.select("u").unionAll(e.select(F.col("v").alias("u"))).distinct()
     # kept as u > v: every edge points to the smaller node
     e = cut(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    last = _mark(e)
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -26,9 +32,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = cut(small, "small")
-        if new.count() == e.count() and new.exceptAll(e).isEmpty():
+        mark = _mark(new)
+        if mark == last:
             break
-        e = new
+        e, last = new, mark
     return nodes.join(new, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
 
 
