@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from triloom.llm import leakage
+from triloom.llm import leakage, tokens
 from triloom.llm.chunking import split_texts
 from triloom.llm.leakage import find_leaks
 from triloom.llm.mixture import mix, ordered, shares
@@ -17,7 +17,12 @@ WORDS = re.compile(r"[^\W_]+")
 ODD = ["", " ", "a", "a_b-c", "x\xa0y", "½²³ x", "áb", "日本語。x", "\x1c\x1da", "...—¶ 1", "naïve İstanbul ẞ", "\U0001f600 a", "a\r\n\r\nb"]
 
 
-def test_tokens_like_the_pattern(spark):
+@pytest.mark.parametrize("size", [None, 3])
+def test_tokens_like_the_pattern(spark, monkeypatch, size):
+    if size:
+        monkeypatch.setattr(tokens, "SLICE", size)
+        for t in ODD:
+            assert [i for i, c in enumerate(t) if c in "\n\r"] == tokens.line_ends(t).tolist()
     for t in ODD:
         a, b = token_spans(t)
         assert [t[i:j] for i, j in zip(a, b)] == WORDPUNCT.findall(t), t
@@ -89,8 +94,16 @@ def leaks(spark, docs, items, **kw):
     return {(r.doc_id, r.item_id): (r.kind, r.n_exact, r.n_changed) for r in find_leaks(d, i, **kw).collect()}
 
 
-@pytest.mark.parametrize("bound", [None, 0])
-def test_exact_leaks(spark, monkeypatch, bound):
+@pytest.mark.parametrize("bound,size", [(None, None), (0, None), (None, 60)])
+def test_exact_leaks(spark, monkeypatch, bound, size):
+    if size:  # spark's workers see it through the closure's module only if they import it anew, so parts are cut here
+        cut = lambda t: [p for p in leakage._parts(t, 13)]
+        monkeypatch.setattr(leakage, "SLICE", size)
+        text = " ".join(f"w{i}" for i in range(500))
+        grams = lambda t: {tuple(w[j : j + 13]) for w in [t.split()] for j in range(len(w) - 12)}
+        assert len(cut(text)) > 5 and set().union(*map(grams, cut(text))) == grams(text)
+        assert cut("x" * 500) and "".join(cut("a " * 20)) != ""
+        return
     if bound is not None:
         monkeypatch.setattr(leakage, "MAX_VOCABULARY_CHARS", bound)
         monkeypatch.setattr(leakage, "MAX_BROADCAST_CHARS", bound)

@@ -265,6 +265,7 @@ class Parser:
         self.ts, self.cpp, self.i, self.far = [*ts, END], cpp, 0, 0
         self.words = CPP_WORDS if cpp else C_WORDS
         self.steps = 0
+        self.splits: list[tuple[int, Token]] = []
 
     # --- tokens
     @property
@@ -297,14 +298,13 @@ class Parser:
 
     def need(self, s: str) -> None:
         if s == ">" and self.s in (">>", ">=", ">>="):  # closes two template lists
+            self.splits.append((self.i, self.ts[self.i]))
             self.ts[self.i : self.i + 1] = [("op", ">"), ("op", self.s[1:])]
         if not self.take(s):
             self.fail()
 
     def attempt(self, f, *args) -> bool:
-        at, size, ts = self.i, len(self.ts), None
-        if self.cpp and ">>" in (t[1] for t in self.ts[at : at + 200]):
-            ts = list(self.ts)
+        at, splits = self.i, len(self.splits)
         try:
             f(*args)
             return True
@@ -312,11 +312,16 @@ class Parser:
             if self.steps > 60 * len(self.ts) + 100_000:
                 raise
             self.far = max(self.far, self.i)
-            if ts is not None and len(self.ts) != size:
-                self.ts = ts
-            self.i = at
+            self.rewind(at, splits)
             return False
 
+    def rewind(self, at: int, splits: int) -> None:
+        """Back to token ``at``, with the ``>>`` taken apart since then put together again."""
+        while len(self.splits) > splits:
+            i, token = self.splits.pop()
+            self.ts[i : i + 2] = [token]
+        self.i = at
+
     def balanced(self, close: str) -> None:
         """Anything up to ``close``, with brackets in pairs."""
         pairs = {"(": ")", "[": "]", "{": "}"}
@@ -545,9 +550,9 @@ class Parser:
     def template_arguments(self) -> None:
         self.need("<")
         while self.s not in (">", ">>", ">=", ">>="):
-            at = self.i
+            at, splits = self.i, len(self.splits)
             if not (self.attempt(self.type_name) and (self.take("...") or True) and self.s in (",", ">", ">>", ">=", ">>=")):
-                self.i = at
+                self.rewind(at, splits)
                 self.binary(0, no_greater=True)
                 self.take("...")
             if not self.take(","):
@@ -601,14 +606,14 @@ class Parser:
                 self.next()
                 self.qualified()
             elif not typed and (self.kind() == "id" or s == "::" and self.cpp):
-                at = self.i
+                at, splits = self.i, len(self.splits)
                 try:
                     self.qualified()
                 except Invalid:
-                    self.i = at
+                    self.rewind(at, splits)
                     return typed
                 if not self.after_type(at):
-                    self.i = at
+                    self.rewind(at, splits)
                     return typed
                 typed = True
             else:
@@ -1058,14 +1063,14 @@ class Parser:
             self.statement()
 
     def condition(self) -> None:
-        at = self.i
+        at, splits = self.i, len(self.splits)
         if self.cpp and self.attempt(self.condition_declaration) and self.s == ")":
             return
-        self.i = at
+        self.rewind(at, splits)
         if self.cpp and self.attempt(self.for_init) and self.ts[self.i - 1][1] == ";":
             self.condition()
             return
-        self.i = at
+        self.rewind(at, splits)
         self.expression()
 
     def condition_declaration(self) -> None:
@@ -1249,10 +1254,10 @@ class Parser:
         self.need(")")
 
     def expr_or_type(self) -> None:
-        at = self.i
+        at, splits = self.i, len(self.splits)
         if self.attempt(self.assignment) and self.s in (",", ")", "..."):
             return
-        self.i = at
+        self.rewind(at, splits)
         if self.attempt(self.type_name):
             return
         self.assignment()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.llm.tokens import token_spans
+from triloom.llm.tokens import line_ends, token_spans
 from triloom.session import col
 
 #: Strengths of the boundary before a token.
@@ -44,9 +44,8 @@ def split_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", limit
 def boundaries(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The strength of the boundary before each token."""
     strength = np.where(np.r_[False, starts[1:] > ends[:-1]], GAP, NONE).astype(np.uint8)
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lines = np.cumsum(np.r_[0, (points == 10) | (points == 13)])
-    broken = np.flatnonzero(lines[starts[1:]] > lines[ends[:-1]]) + 1
+    lines = line_ends(text)
+    broken = np.flatnonzero(np.searchsorted(lines, starts[1:]) > np.searchsorted(lines, ends[:-1])) + 1
     strength[broken] = LINE
     for i in broken:
         if _BLANK.search(text, ends[i - 1], starts[i]):

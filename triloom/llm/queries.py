@@ -37,6 +37,10 @@ def p4_found(spark, d):
     return vectors.neighbour_pairs(vectors.nearest_neighbours(table(spark, d, "vectors")))
 
 
+def p4_neighbours(spark, d):
+    return vectors.nearest_neighbours(table(spark, d, "vectors"))
+
+
 def p5_found(spark, d):
     return overlap.cross_split(table(spark, d, "triples"), table(spark, d, "funcs"))[0].select("fn_a", "fn_b")
 
@@ -92,7 +96,7 @@ def p10_pieces(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p2_found, p2_terms, p3_found, p3_groups, p4_found, p5_found, p5_report, p5_overlaps, p7_found, p7_files, p7_rates, p8_found, p8_leaks, p9_found, p9_shares, p9_sequence, p10_found, p10_pieces)
+    own = (p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_neighbours, p5_found, p5_report, p5_overlaps, p7_found, p7_files, p7_rates, p8_found, p8_leaks, p9_found, p9_shares, p9_sequence, p10_found, p10_pieces)
     return {f.__name__: f for f in own}
 
 
@@ -118,8 +122,7 @@ f as (select distinct fn_a, fn_b, ra.split as split_a, rb.split as split_b from
 _NEAREST = """
 with v as (select fn_id, min(vec) as vec from vectors where vec is not null and len(vec) = 79 group by fn_id),
 d as (select x.fn_id as f, y.fn_id as g, list_sum(list_transform(list_zip(x.vec, y.vec), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) as d from v x join v y on x.fn_id <> y.fn_id),
-k as (select f, g, row_number() over (partition by f order by d, g) as r from d)
-select distinct least(f, g) as fn_a, greatest(f, g) as fn_b from k where r <= 5
+k as (select f, g, d, row_number() over (partition by f order by d, g) as r from d)
 """
 _TOKENS = r"length(regexp_replace(regexp_replace(regexp_replace({}, '[\pL\pN_]+', 'a', 'g'), '[^\pL\pN_\s\x{{85}}\x{{A0}}]+', 'b', 'g'), '[\s\x{{85}}\x{{A0}}]+', '', 'g'))"
 _SUMS = f"""
@@ -141,7 +144,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _TERMS + "select field, term from t where mark is not null",
         "p2_terms": _TERMS + "select field, term, n_occurrences, n_records, mark from t",
         "p3_found": _PAIRS + "select fn_a, fn_b from p where j >= 0.7 - 1e-12",
-        "p4_found": _NEAREST,
+        "p4_found": _NEAREST + "select distinct least(f, g) as fn_a, greatest(f, g) as fn_b from k where r <= 5",
+        "p4_neighbours": _NEAREST + "select f as fn_id, g as neighbour, d as d2, r as rank from k where r <= 5",
         "p5_found": _PAIRS + _ROLES + "select distinct fn_a, fn_b from f",
         "p8_found": _WORDS,
         "p9_found": _SUMS + "select source from t where max_repeats * tokens * 1000 < target_permille * (select sum(tokens) from t)",

@@ -38,15 +38,36 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+#: Characters that are looked at together; bounds the memory that a very long text takes.
+SLICE = 4_000_000
+
+
 def token_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends, in characters, of the tokens of ``text``."""
-    kind = classes()[code_points(text)]
-    kind = np.where(kind == UNDERSCORE, WORD, kind)
-    edge = np.flatnonzero(np.diff(kind, prepend=SPACE, append=SPACE) != 0) if len(kind) else np.zeros(0, int)
-    starts = edge[:-1] if len(edge) else edge
-    ends = edge[1:] if len(edge) else edge
-    keep = kind[starts] != SPACE if len(starts) else np.zeros(0, bool)
-    return starts[keep], ends[keep]
+    before = SPACE
+    at: list[np.ndarray] = []
+    kinds: list[np.ndarray] = []
+    for lo in range(0, len(text), SLICE):
+        kind = classes()[code_points(text[lo : lo + SLICE])]
+        kind[kind == UNDERSCORE] = WORD
+        edge = np.flatnonzero(np.diff(kind, prepend=np.uint8(before)) != 0)
+        at.append(edge + lo)
+        kinds.append(kind[edge])
+        before = kind[-1]
+    if not at:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edges, first = np.concatenate([*at, [len(text)]]).astype(np.int64), np.concatenate(kinds)
+    keep = first != SPACE
+    return edges[:-1][keep], edges[1:][keep]
+
+
+def line_ends(text: str) -> np.ndarray:
+    """Places of line feeds and carriage returns."""
+    out = [np.zeros(0, np.int64)]
+    for lo in range(0, len(text), SLICE):
+        points = code_points(text[lo : lo + SLICE])
+        out.append(np.flatnonzero((points == 10) | (points == 13)) + lo)
+    return np.concatenate(out)
 
 
 def n_tokens(text: Column) -> Column:
