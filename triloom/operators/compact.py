@@ -123,7 +123,7 @@ def _packer(folder: str, groups: int, names: list[str], key: str, size: str, no:
 
         shard = TaskContext.get().partitionId()
         attempt = uuid.uuid4().hex
-        system, base = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        system, base = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1)) if ":" in folder else (fs.LocalFileSystem(), folder)
         system.create_dir(base, recursive=True)
         heap = [(0, g) for g in range(groups)]
         writers: dict[int, pq.ParquetWriter] = {}
