@@ -8,7 +8,7 @@ BOTH = [
     "foo_t *f(bar_t x, ...) { foo_t *p = (foo_t *) x; return p->q[1].r++; }", "void f() { for (int i = 0; i < 10; i++) { if (x) continue; else break; } do x--; while (x); switch (x) { case 1: default: ; } goto l; l: ; }",
     "#define M(a, b) do { a; b; } while (0)\nvoid f(void) { M(x = 1, g(2)); }", "#if 0\nthis isn't {\n#endif\nint x;", "#ifdef WIDE\nint f(int a, int b) {\n#else\nint f(int a) {\n#endif\n return a; }", "int x = 0x1fUL + 07 + 1e3f + .5 + 'c' + '\\'';",
     "int a = sizeof(int *) + sizeof x;", "unsigned long long x = (unsigned) -1;", "/* } */ int x; // {\n", "int f(a, b) ;", "struct { int x; } y = { .x = 1 };", "char *s = \"a\" \"b\\\"\";", "#define BEGIN {\n#define END }\nvoid f(void) BEGIN END", "void f(void) { a * b; (a)(b); x = (t) y; z = a ? b : c, d; }",
-    "int x\\\n;", "extern int f(const struct a *restrict_, size_t n) __attribute__((nonnull));", "#include <x.h>\n#pragma once\n#error no\n".replace("#error no\n", ""),
+    "int x\\\n;", "#define V (1)\nint x = V;", "#define F(...) f(__VA_ARGS__)\nint g(void) { return F(1, 2); }", "extern int f(const struct a *restrict_, size_t n) __attribute__((nonnull));", "#include <x.h>\n#pragma once\n#error no\n".replace("#error no\n", ""),
 ]
 C_ONLY = ["int new, class; void f(int *restrict p) { int this = 1; }", "int f(a, b) int a; char *b; { return a; }", "int template(int n) { return n; }"]
 CPP_ONLY = [
@@ -17,7 +17,7 @@ CPP_ONLY = [
 ]
 NEITHER = [
     "int main(void) {", "}", "int x", "int f(int a { }", "int f(void) { return 0 }", "void f(void) { if x) y; }", "<<<<<<< HEAD\nint x;\n=======\nint y;\n>>>>>>> b\n", "int x;\n=======\n", "int x = ;", "#if 1\nint x;", "#endif\n", "#else\n", "int x; /* open", "char *s = \"open;\n", "<html><body>no</body></html>",
-    "\x7fELF\x02\x01", "def f(x):\n    return x\n", '{"a": [1, 2]}', "--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n int x;\n-int y;\n+int z;\n", "int 3x;", "void f(void) { else { } }", "void f(void) { g(1, ; }", "int a[3;", "struct s { int a; ", "int x = 12abc;", "int x = 089;", "#foo\n", "void f(void) { x = y z; }",
+    "\x7fELF\x02\x01", "def f(x):\n    return x\n", '{"a": [1, 2]}', "--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n int x;\n-int y;\n+int z;\n", "int 3x;", "void f(void) { else { } }", "void f(void) { g(1, ; }", "int a[3;", "struct s { int a; ", "int x = 12abc;", "int x = 089;", "#foo\n", "#define F(a\nint x;", "#define B {\nvoid f(void) B", "void f(void) { x = y z; }",
 ]
 
 

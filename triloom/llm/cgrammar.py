@@ -39,10 +39,12 @@ ASSIGN = frozenset("= += -= *= /= %= &= |= ^= <<= >>=".split())
 BINARY = {op: i for i, ops in enumerate(("||", "&&", "|", "^", "&", "== !=", "<=>", "< > <= >=", "<< >>", "+ -", "* / %", ".* ->*")) for op in ops.split()}
 
 
-def tokens(text: str, cpp: bool) -> list[list[Token]]:
-    """The tokens of each line; comments and spliced line ends are gone."""
-    text = re.sub(r"\\[ \t]*(?:\r\n|\n|\r)", "", text.removeprefix("﻿"))
+def tokens(text: str, cpp: bool) -> tuple[list[list[Token]], set[int]]:
+    """The tokens of each line, without comments and spliced line ends; and the lines that define a macro with parameters."""
+    text = re.sub(r"\\[ \t]*(?:\r\n|\n|\r)", "", text.removeprefix("\ufeff"))
     lines: list[list[Token]] = [[]]
+    calls: set[int] = set()
+    last = -1
     for m in (_LEX if cpp else _LEX_C).finditer(text):
         kind = m.lastgroup if m.lastgroup != "d" else "raw"
         if kind == "nl":
@@ -51,7 +53,10 @@ def tokens(text: str, cpp: bool) -> list[list[Token]]:
             raise Invalid("comment without end")
         elif kind != "ws":
             lines[-1].append(("str" if kind == "raw" else kind, m[0]))
-    return lines
+            if len(lines[-1]) == 4 and m[0] == "(" and m.start() == last and lines[-1][1][1] == "define":
+                calls.add(len(lines) - 1)  # no white space between the name and the bracket
+            last = m.end()
+    return lines, calls
 
 
 class Preprocessor:
@@ -63,12 +68,12 @@ class Preprocessor:
         self.cpp = cpp
         self.macros: dict[str, tuple[list[str] | None, list[Token]]] = {}
 
-    def run(self, lines: list[list[Token]]) -> list[Token]:
+    def run(self, lines: list[list[Token]], calls: set[int]) -> list[Token]:
         out: list[Token] = []
         held: list[Token] = []
         stack: list[list] = []  # taken so far, live, parent live, else seen
         live = True
-        for line in lines:
+        for at, line in enumerate(lines):
             if not line or line[0] != ("op", "#"):
                 if live:
                     held += line
@@ -96,7 +101,7 @@ class Preprocessor:
             elif word == "define":
                 out += self.expand(held)
                 held = []
-                self._define(rest)
+                self._define(rest, at in calls)
             elif word == "undef":
                 out += self.expand(held)
                 held = []
@@ -113,27 +118,23 @@ class Preprocessor:
             raise Invalid("#if without #endif")
         return out + self.expand(held)
 
-    def _define(self, rest: list[Token]) -> None:
+    def _define(self, rest: list[Token], call: bool) -> None:
         if not rest or rest[0][0] != "id":
             raise Invalid("#define needs a name")
         name, body, params = rest[0][1], rest[1:], None
-        if body and body[0] == ("op", "(") and self._adjacent:
+        if call:
             params, i = [], 1
             while i < len(body) and body[i] != ("op", ")"):
                 if body[i][0] == "id" or body[i][1] == "...":
                     params.append(body[i][1])
                 elif body[i][1] != ",":
-                    params = None
-                    break
+                    raise Invalid(f"parameters of {name}")
                 i += 1
-            if params is not None and i < len(body):
-                body = body[i + 1 :]
-            else:
-                params = None
+            if i == len(body):
+                raise Invalid(f"parameters of {name} without end")
+            body = body[i + 1 :]
         self.macros[name] = (params, body)
 
-    _adjacent = True  # white space is gone; a bracket of names right after the name is taken for parameters
-
     def _holds(self, word: str, rest: list[Token]) -> bool:
         if word in ("ifdef", "ifndef", "def", "ndef"):
             if not rest or rest[0][0] != "id":
@@ -1395,8 +1396,7 @@ class Parser:
 def check(text: str, cpp: bool) -> str | None:
     """None if ``text`` is C, or C++, by its syntax; else what is wrong."""
     try:
-        lines = tokens(text, cpp)
-        ts = Preprocessor(cpp).run(lines)
+        ts = Preprocessor(cpp).run(*tokens(text, cpp))
         for kind, s in ts:
             if kind == "bad" or s in ("#", "##"):
                 return f"stray {s[:20]!r}"

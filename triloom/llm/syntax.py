@@ -37,7 +37,7 @@ def python_error(text: str) -> str | None:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            compile(text.removeprefix("﻿"), "file", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
+            compile(text.removeprefix("\ufeff"), "file", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
     except (SyntaxError, ValueError) as e:
         return f"{type(e).__name__}: {getattr(e, 'msg', e)}"[:200]
     except (RecursionError, MemoryError):
@@ -50,11 +50,11 @@ def json_error(text: str) -> str | None:
         raise ValueError(f"{name} is no value")
 
     try:
-        json.loads(text.removeprefix("﻿"), parse_constant=constant, parse_int=len, parse_float=len)
+        json.loads(text.removeprefix("\ufeff"), parse_constant=constant, parse_int=len, parse_float=len)
     except ValueError as e:
         return str(e)[:200]
     except RecursionError:
-        return _deep_json_error(text.removeprefix("﻿"))
+        return _deep_json_error(text.removeprefix("\ufeff"))
     return None
 
 
