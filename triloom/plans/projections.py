@@ -72,7 +72,7 @@ sc as (select m.sig_id, target_id, 100.0::double * c / nc as cvg, 100.0::double
 hs as (select * from sc where cvg > 50 and pvg > 50 and nvg < 50),
 he as (select * from sc where cvg >= 25 and pvg >= 60 and pvg > nvg)"""
 LABEL_SQL = """
-lb as (select row_number() over (order by cve, repo) as line_no, case when length(repo) % 2 = 0 then 'TP' else 'FP' end as verdict, cve, '/' || repo || '/' as path_part from (select distinct cve, repo from tg))"""
+lb as (select row_number() over (partition by cve order by repo) as line_no, case when length(repo) % 2 = 0 then 'TP' else 'FP' end as verdict, cve, '/' || repo || '/' as path_part from (select distinct cve, repo from tg))"""
 VERDICT_SQL = """
 vr as (select fn_id as target_id, he.sig_id, path, role,
   case when he.sig_id is null then case when contains(path, '/patch/') or contains(path, '/after/') then 'TN' else 'FN' end
@@ -86,5 +86,5 @@ vr as (select fn_id as target_id, he.sig_id, path, role,
 def labels(tg: DataFrame) -> DataFrame:
     """Stand-in for manual labels: for each CVE and repo a verdict that follows from the repo's name."""
     pairs = tg.select("cve", "repo").distinct()
-    order = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("cve", "repo"))  # labels are written by hand: few
+    order = F.row_number().over(Window.partitionBy("cve").orderBy("repo"))  # labels of one CVE are compared with each other only
     return pairs.select(order.alias("line_no"), F.when(F.length("repo") % 2 == 0, "TP").otherwise("FP").alias("verdict"), "cve", F.concat(F.lit("/"), "repo", F.lit("/")).alias("path_part"))
