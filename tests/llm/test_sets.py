@@ -50,6 +50,15 @@ def test_all_pairs_are_found(spark, size, t):
     assert sorted(map(tuple, got)) == brute(fam, t)
 
 
+@pytest.mark.parametrize("t", [0.5, 0.7, 0.9])
+def test_small_sets_of_few_tokens(spark, t):
+    """Often more parts are empty than may be left out."""
+    r = random.Random(11)
+    fam = {f"f{i:03d}": {("w", "r", str(k)) for k in r.sample(range(11), r.randint(1, 8))} for i in range(400)}
+    got = neardup.near_duplicates(spark.createDataFrame([(f, *x) for f, s in fam.items() for x in s], SCHEMA), t=t).collect()
+    assert sorted(map(tuple, got)) == brute(fam, t)
+
+
 def test_sets_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(sets, "BIG", 20)
     r = random.Random(5)

@@ -59,9 +59,10 @@ def _keys(t: float):
                     if not len(r):
                         continue
                     first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (part[1:] != part[:-1])])
+                    full = np.bincount(r[first], minlength=batch.num_rows)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(v) for v in (band[r[first]].astype(np.int32), part[first].astype(np.int32), ident[r[first]], bits[r[first]], n[r[first]], np.full(len(first), home), np.bitwise_xor.reduceat(x, first).view(np.int64), m[r[first]].astype(np.int32), need[r[first]].astype(np.int32))],
-                        ["grp", "part", "id", "bits", "n", "home", "word", "m", "need"],
+                        [pa.array(v) for v in (band[r[first]].astype(np.int32), part[first].astype(np.int32), ident[r[first]], bits[r[first]], n[r[first]], np.full(len(first), home), np.bitwise_xor.reduceat(x, first).view(np.int64), m[r[first]].astype(np.int32), need[r[first]].astype(np.int32), full[r[first]])],
+                        ["grp", "part", "id", "bits", "n", "home", "word", "m", "need", "total"],
                     )
 
     return run
@@ -78,23 +79,20 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar_pairs(sets: DataFrame, reps: DataFrame, t: float) -> DataFrame:
     """(id_a, id_b, n_a, n_b, both) of all pairs of representatives with |A ∩ B| / |A ∪ B| of at least ``t``."""
-    schema = "grp int, part int, id long, bits int, n long, home boolean, word long, m int, need int"
+    schema = "grp int, part int, id long, bits int, n long, home boolean, word long, m int, need int, total long"
     words = reps.select("id", "bits", "n", "tokens").mapInArrow(_keys(t), schema)
     blocks = reps.where("bits > 0").limit(1).count() > 0
     if blocks:  # a part's word is the XOR over the blocks
         words = words.groupBy("grp", "part", "id", "bits", "n", "home", "m", "need").agg(F.bit_xor("word").alias("word"))
-    # empty parts are words too, the most frequent of all: they are left out first. Where more may be left out than
-    # there are empty parts, the rest is `need` of the others; where not, the few empty ones needed are posted too
-    keys = words.select("grp", F.xxhash64("part", "word").alias("key"), "id", "bits", "n", "home", "m", "need")
-    full = keys.groupBy("grp", "id", "bits", "n", "home", "m", "need").agg(F.count("*").alias("full"))
-    short = full.where("full < need")
-    held = words.select("grp", "id", "part")
-    spare = short.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("part")).join(held, ["grp", "id", "part"], "left_anti")
-    spare = spare.select("grp", F.xxhash64("part", F.lit(0).cast("long")).alias("key"), "id", "bits", "n", "home", "m", "need")
-    keys = keys.join(full.select("grp", "id", "full"), ["grp", "id"]).unionByName(spare.withColumn("full", F.lit(None).cast("long")))
-    total = F.when(F.col("full").isNull() | (F.col("full") < F.col("need")), F.col("m")).otherwise(F.col("full"))
-    keys = keys.select("grp", "key", "id", "bits", "n", "home", total.cast("long").alias("total"), F.col("need").cast("long"))
-    post = cut(S.posted(keys), "words")
+        words = words.join(words.groupBy("grp", "id").agg(F.count("*").alias("total")), ["grp", "id"])
+    # Empty parts are words too, the most frequent of all, so they are left out first. Few records have so few full parts
+    # that some of their empty ones are needed: they post all full parts, and of the empty ones the first in order.
+    keys = words.select("grp", F.xxhash64("part", "word").alias("key"), "id", "bits", "n", "home", "total", F.least("need", "total").alias("need"))
+    short = words.where("total < need").select("grp", "id", "bits", "n", "home", "m", (F.col("need") - F.col("total")).alias("more"), "part")
+    short = short.groupBy("grp", "id", "bits", "n", "home", "m", "more").agg(F.collect_list("part").alias("held"))  # fewer than need
+    empty = short.select("*", F.posexplode(F.array_except(F.sequence(F.lit(0), F.col("m") - 1), "held")).alias("at", "part")).where("at < more")
+    empty = empty.select("grp", F.xxhash64("part", F.lit(0).cast("long")).alias("key"), "id", "bits", "n", "home")
+    post = cut(S.posted(keys).unionByName(empty), "words")
     a = post.where("home").select("grp", "key", F.col("id").alias("id_a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a"))
     b = post.select("grp", "key", F.col("id").alias("id_b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"), F.col("home").alias("home_b"))
     near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(t) - 1e-6
