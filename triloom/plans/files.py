@@ -15,7 +15,7 @@ def p1_found(spark, d):
 
 
 def p1_packed(spark, d):
-    return compact.compact(table(spark, d, "graph_files")).read()
+    return compact.compact(table(spark, d, "graph_files")).read().select("file_no", "path", "func", "n_bytes", "body")
 
 
 def p1_manifest(spark, d):
@@ -46,7 +46,7 @@ PATH_SQL = r"regexp_replace(replace(path, '\', '/'), '/+', '/', 'g')"
 for _ in range(6):
     PATH_SQL = rf"regexp_replace({PATH_SQL}, '(^|/)(\./)+', '\1', 'g')"
     PATH_SQL = f"regexp_replace({PATH_SQL}, {_UP})"
-_KEYS = rf"with k as (select file_no, {PATH_SQL} as p, regexp_replace(func, '^\s+|\s+$', '', 'g') as f, body from graph_files), m as (select p, f, body, min(file_no) as keep from k group by p, f, body)"
+_KEYS = rf"with k as (select file_no, path, func, n_bytes, {PATH_SQL} as p, regexp_replace(func, '^\s+|\s+$', '', 'g') as f, body from graph_files), m as (select p, f, body, min(file_no) as keep from k group by p, f, body)"
 _F = '(?:"(?:[^"]|"")*"|[^"\\t][^\\t]*)?'
 _TYPES = ", ".join(f"'{t}'" for t in NODE_TYPES)
 LINES_SQL = rf"""with l as (select line_id, nodes_path, regexp_replace(line, '\r$', '') as s from node_lines where line_no is distinct from 1),
@@ -58,6 +58,8 @@ v as (select line_id, nodes_path, coalesce(six and regexp_full_match(c[2], '[0-9
 """
 SQL = {
     "p1_found": _KEYS + " select file_no from k join m on k.p = m.p and k.f is not distinct from m.f and k.body = m.body where file_no > keep",
+    "p1_packed": _KEYS + " select file_no, path, func, n_bytes, k.body from k join m on k.p = m.p and k.f is not distinct from m.f and k.body = m.body where file_no = keep",
+    "p6_nodes": LINES_SQL + "select u.line_id, u.nodes_path, n.line_no, c[1] as command, try_cast(c[2] as bigint) as node_key, c[3] as type, c[4] as code, c[5] as location, try_cast(nullif(c[6], '') as bigint) as function_id from u join v on v.line_id = u.line_id join node_lines n on n.line_id = u.line_id where ok",
     "p6_found": LINES_SQL + "select line_id from v where not ok",
     "p6_summary": LINES_SQL + "select nodes_path, count(*) as n_lines, count(*) filter (where not ok) as n_rejected from v group by nodes_path",
 }
