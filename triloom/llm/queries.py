@@ -114,6 +114,14 @@ z as (select fn_id, count(*) as n from s group by fn_id),
 i as (select x.fn_id as fn_a, y.fn_id as fn_b, count(*) as n from s x join s y on x.a = y.a and x.rel = y.rel and x.b = y.b and x.fn_id < y.fn_id group by x.fn_id, y.fn_id),
 p as (select fn_a, fn_b, i.n * 1.0::double / (za.n + zb.n - i.n) as j from i join z za on za.fn_id = fn_a join z zb on zb.fn_id = fn_b)
 """
+_GROUPS = """,
+e as (select fn_a as a, fn_b as b, j from p where j >= 0.7 - 1e-12 union all select fn_b, fn_a, j from p where j >= 0.7 - 1e-12),
+c as (select z.fn_id, least(z.fn_id, coalesce(min(b) filter (where j = 1), z.fn_id)) as class_rep, 1 + count(b) filter (where j = 1) as n_copies from z left join e on a = z.fn_id group by z.fn_id),
+l as (select x.class_rep, count(distinct y.class_rep) as n from e join c x on x.fn_id = a join c y on y.fn_id = b where x.class_rep <> y.class_rep group by x.class_rep),
+t as (select fn_id as node, fn_id as seen from z union select t.node, e.b from t join e on e.a = t.seen),
+g as (select node, min(seen) as group_rep from t group by node)
+select c.fn_id, c.class_rep, n_copies, coalesce(l.n, 0) as n_links, group_rep from c left join l on l.class_rep = c.class_rep join g on g.node = c.fn_id
+"""
 _ROLES = r""",
 r as (select distinct fn_id, case when role in ('vuln', 'patch') then 'train' when role in ('before', 'after') then 'eval' end as split
   from (select fn_id, regexp_extract(replace(path, '\', '/'), '([^/]+)/+[0-9a-fA-F]+_[0-9]+/+[^/]+/+graph/', 1) as role from funcs)),
@@ -144,9 +152,11 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _TERMS + "select field, term from t where mark is not null",
         "p2_terms": _TERMS + "select field, term, n_occurrences, n_records, mark from t",
         "p3_found": _PAIRS + "select fn_a, fn_b from p where j >= 0.7 - 1e-12",
+        "p3_groups": _PAIRS.replace("with s as", "with recursive s as") + _GROUPS,
         "p4_found": _NEAREST + "select distinct least(f, g) as fn_a, greatest(f, g) as fn_b from k where r <= 5",
-        "p4_neighbours": _NEAREST + "select f as fn_id, g as neighbour, d as d2, r as rank from k where r <= 5",
+        "p4_neighbours": _NEAREST + "select f as fn_id, g as neighbour, d::bigint as d2, r as rank from k where r <= 5",
         "p5_found": _PAIRS + _ROLES + "select distinct fn_a, fn_b from f",
+        "p5_report": _PAIRS + _ROLES + ", x as (select fn_a as fn_id, split_a as split, fn_b as other from f union all select fn_b, split_b, fn_a from f) select split, repo, count(distinct fn_id) as n_records, count(*) as n_pairs from x join (select distinct fn_id, repo from funcs) using (fn_id) group by split, repo",
         "p8_found": _WORDS,
         "p9_found": _SUMS + "select source from t where max_repeats * tokens * 1000 < target_permille * (select sum(tokens) from t)",
         "p10_found": f"select doc_id from documents where {_TOKENS.format('text')} > 900",
