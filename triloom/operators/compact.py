@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triloom.session import col, cut, fresh, scratch
+from triloom.session import arrow, col, cut, fresh, scratch
 
 #: The characters that Unicode counts as white space, and the four separators U+001C to U+001F.
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -100,7 +100,7 @@ def compact(df: DataFrame, number: str = "file_no", path: str = "path", func: st
     kept = keyed.repartition(shards, key, no).join(winners.select(key, no).repartition(shards, key, no), [key, no], "left_semi")
     kept = kept.sortWithinPartitions(F.desc(size), key, no).select(*[col(df, c) for c in names], key, size, no)
     plain = [f"c{i}" for i in range(len(names))]  # mapInArrow can't take names with dots
-    written = kept.toDF(*plain, key, size, no).mapInArrow(_packer(f"{out}/data", groups, names, key, size, no), "file string, shard long, grp int, n_rows long, n_bytes long, longest long, marks long")
+    written = kept.toDF(*plain, key, size, no).transform(arrow, _packer(f"{out}/data", groups, names, key, size, no), "file string, shard long, grp int, n_rows long, n_bytes long, longest long, marks long")
     written.write.parquet(f"{out}/_staged")
     staged = spark.read.parquet(f"{out}/_staged")
     got = staged.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.coalesce(F.bit_xor("marks"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()

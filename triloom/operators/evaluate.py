@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triloom.functions.scalars import clone_type, is_fixed, is_vulnerable
+from triloom.session import arrow
 
 VERDICTS = ("TP", "FP", "TN", "FN", "UNK")
 
@@ -116,7 +117,7 @@ def line_diff(rows: DataFrame, old: str = "original", new: str = "code") -> Data
 
     from pyspark.sql.types import IntegerType, StructField, StructType
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, *[StructField(c, IntegerType()) for c in ("added", "removed", "n_original")]]))
+    return rows.transform(arrow, run, StructType([*rows.schema.fields, *[StructField(c, IntegerType()) for c in ("added", "removed", "n_original")]]))
 
 
 def _diff(old: str, new: str) -> tuple[int, int, int]:

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triloom.session import arrow
+
 
 def packed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(fn_id, nodes, edges): one row for each graph. A graph is matched in one task, so it must fit there."""
@@ -268,7 +270,7 @@ def match(pairs: DataFrame, graphs: DataFrame, how: str) -> DataFrame:
             maps = pa.array([sorted((k, {"t": t, "score": s}) for k, (t, s) in m.items()) for m, _ in out], kind)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s for _, s in out], pa.float64()), maps], ["q_fn", "t_fn", "score", "mapping"])
 
-    return rows.mapInArrow(run, "q_fn string, t_fn string, score double, mapping map<string, struct<t: string, score: double>>")
+    return rows.transform(arrow, run, "q_fn string, t_fn string, score double, mapping map<string, struct<t: string, score: double>>")
 
 
 def connect(small: set[str], big: Graph) -> set[str]:
@@ -358,4 +360,4 @@ def aligned_signature(sig: DataFrame, changed: DataFrame, mapping: DataFrame, gr
             cols = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(c), pa.list_(pa.string())) for c in cols]], ["sig_id", "positive", "negative", "context"])
 
-    return rows.mapInArrow(run, "sig_id string, positive array<string>, negative array<string>, context array<string>")
+    return rows.transform(arrow, run, "sig_id string, positive array<string>, negative array<string>, context array<string>")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triloom.functions.vocab import NODE_TYPES
-from triloom.session import col
+from triloom.session import arrow, col
 
 FIELDS = ["command", "key", "type", "code", "location", "function_id"]
 _FIELD = r'(?:"(?:[^"]|"")*"|[^"\t][^\t]*)?'
@@ -34,7 +34,7 @@ def check_node_lines(df: DataFrame, line_id: str = "line_id", path: str = "nodes
     """
     lines = df.select(col(df, line_id).cast("long").alias("line_id"), col(df, path).alias("nodes_path"), col(df, line_no).cast("int").alias("line_no"), col(df, line).alias("line")).where(~F.col("line_no").eqNullSafe(1))
     schema = "line_id long, nodes_path string, line_no int, " + ", ".join(f"{f} string" for f in FIELDS) + ", n_columns int, reason string, cell string"
-    return lines.mapInArrow(_check, schema)
+    return lines.transform(arrow, _check, schema)
 
 
 def _check(batches):
