@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triloom.llm.tokens import line_ends, token_spans
-from triloom.session import col
+from triloom.session import arrow, col
 
 #: Strengths of the boundary before a token.
 NONE, GAP, SENTENCE, LINE, PARAGRAPH = range(5)
@@ -38,7 +38,7 @@ def split_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", limit
         raise ValueError("the overlap must be below a quarter of the limit")
     long = df.select(col(df, doc_id).alias("doc_id"), col(df, text).alias("text")).where(F.length("text") > limit)
     schema = f"doc_id {dict(long.dtypes)['doc_id']}, piece_no int, n_pieces int, start long, stop long, core_start long, n_tokens int, n_overlap int, boundary string" + ", text string" * with_text
-    return long.mapInArrow(_splitter(limit, overlap, with_text), schema)
+    return long.transform(arrow, _splitter(limit, overlap, with_text), schema)
 
 
 def boundaries(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

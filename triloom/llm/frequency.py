@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.session import col, cut
+from triloom.session import arrow, col, cut
 
 ARRAY_LIMIT = 4096
 BITMAP_BYTES = 8192
@@ -36,9 +36,9 @@ def term_frequency(df: DataFrame, record: str, slots: Sequence[str], empty: bool
     used = df.select(col(df, record).cast("string").alias("rec"), *[col(df, s).cast("string").alias(f"s{i}") for i, s in enumerate(slots)]).where("rec is not null")
     # numbers are dense within each part of this table; it is written once, as numbers must not change between attempts
     numbers = cut(used.select("rec").distinct().withColumn("no", F.monotonically_increasing_id()), "records")
-    bags = used.mapInArrow(_bags(empty), "rec string, terms array<string>, counts array<int>")
-    built = bags.join(numbers, "rec").select("no", "terms", "counts").mapInArrow(_build, "term string, chunk long, members binary, occ long")
-    united = built.repartition("term", "chunk").sortWithinPartitions("term", "chunk").mapInArrow(_unite, "term string, n_records long, n_occurrences long")
+    bags = used.transform(arrow, _bags(empty), "rec string, terms array<string>, counts array<int>")
+    built = bags.join(numbers, "rec").select("no", "terms", "counts").transform(arrow, _build, "term string, chunk long, members binary, occ long")
+    united = built.repartition("term", "chunk").sortWithinPartitions("term", "chunk").transform(arrow, _unite, "term string, n_records long, n_occurrences long")
     terms = united.groupBy("term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
     total = numbers.count()
     return terms.withColumn("mark", F.when(F.col("n_records") <= rare, "rare").when(F.col("n_records") * common > total, "common"))

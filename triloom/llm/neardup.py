@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triloom.llm import sets as S
-from triloom.session import cut
+from triloom.session import arrow, cut
 
 #: Words of 64 bits in a record's bit sketch.
 SKETCH = 8
@@ -80,7 +80,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_pairs(sets: DataFrame, reps: DataFrame, t: float) -> DataFrame:
     """(id_a, id_b, n_a, n_b, both) of all pairs of representatives with |A ∩ B| / |A ∪ B| of at least ``t``."""
     schema = "grp int, part int, id long, bits int, n long, home boolean, word long, m int, need int, total long"
-    words = reps.select("id", "bits", "n", "tokens").mapInArrow(_keys(t), schema)
+    words = reps.select("id", "bits", "n", "tokens").transform(arrow, _keys(t), schema)
     blocks = reps.where("bits > 0").limit(1).count() > 0
     if blocks:  # a part's word is the XOR over the blocks
         words = words.groupBy("grp", "part", "id", "bits", "n", "home", "m", "need").agg(F.bit_xor("word").alias("word"))
@@ -97,7 +97,7 @@ def similar_pairs(sets: DataFrame, reps: DataFrame, t: float) -> DataFrame:
     b = post.select("grp", "key", F.col("id").alias("id_b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"), F.col("home").alias("home_b"))
     near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(t) - 1e-6
     met = a.join(b, ["grp", "key"]).where("id_a <> id_b and (not home_b or id_a < id_b)").where(near).select("id_a", "id_b", "bits_a", "bits_b", "n_a", "n_b").distinct()
-    sketch = reps.select("id", "tokens").mapInArrow(_sketches, "id long, " + ", ".join(f"w{i} long" for i in range(SKETCH)))
+    sketch = reps.select("id", "tokens").transform(arrow, _sketches, "id long, " + ", ".join(f"w{i} long" for i in range(SKETCH)))
     if blocks:
         sketch = sketch.groupBy("id").agg(*[F.bit_xor(f"w{i}").alias(f"w{i}") for i in range(SKETCH)])
     side = lambda x: sketch.select(F.col("id").alias(f"id_{x}"), *[F.col(f"w{i}").alias(f"{x}{i}") for i in range(SKETCH)])

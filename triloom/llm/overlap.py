@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triloom.llm import sets as S
-from triloom.session import col, cut
+from triloom.session import arrow, col, cut
 
 #: One token in so many ends a chunk.
 SPACING = 3
@@ -94,7 +94,7 @@ def cross_split(df: DataFrame, funcs: DataFrame, record: str = "fn_id", parts: t
     found, members, reps = _sided(df, funcs, record, parts, names)
     reps = cut(reps, "reps")
     blocks = reps.where("bits > 0").limit(1).count() > 0
-    keys = reps.mapInArrow(_chunks(t, 0), _SCHEMA).unionByName(reps.mapInArrow(_chunks(t, 1), _SCHEMA))
+    keys = reps.transform(arrow, _chunks(t, 0), _SCHEMA).unionByName(reps.transform(arrow, _chunks(t, 1), _SCHEMA))
     if blocks:  # chunks end at a block's end too: each of the 2^bits ends may break one more
         totals = keys.groupBy("grp", "id").agg(F.count("*").alias("total"))
         keys = keys.drop("total").join(totals, ["grp", "id"]).withColumn("need", F.when(F.col("grp") == 0, F.col("need") + F.expr("shiftleft(1L, bits)")).otherwise(F.col("need")))
@@ -109,7 +109,7 @@ def cross_split(df: DataFrame, funcs: DataFrame, record: str = "fn_id", parts: t
     pairs = S.expanded(exact.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct(), members).where("split_a <> split_b").distinct()
     # overlap fractions: lengths of all chunks that both have, of the first level
     wanted = exact.select(F.col("id_a").alias("id")).unionAll(exact.select(F.col("id_b").alias("id"))).distinct()
-    cuts = reps.join(wanted, "id", "left_semi").mapInArrow(_chunks(t, 0), _SCHEMA).select("id", "key", "size")
+    cuts = reps.join(wanted, "id", "left_semi").transform(arrow, _chunks(t, 0), _SCHEMA).select("id", "key", "size")
     ca = cuts.select(F.col("id").alias("id_a"), "key", "size")
     cb = cuts.select(F.col("id").alias("id_b"), "key")
     length = exact.select("id_a", "id_b").join(ca, "id_a").join(cb, ["id_b", "key"]).groupBy("id_a", "id_b").agg(F.sum("size").alias("chunked"))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triloom.session import col, cut
+from triloom.session import arrow, col, cut
 
 #: Rows of one record up to which its set is one array.
 BIG = 1_000_000
@@ -41,7 +41,7 @@ def token_sets(df: DataFrame, record: str, parts: Sequence[str]) -> DataFrame:
         rows = rows.join(F.broadcast(bits), "rec", "left").withColumn("bits", F.coalesce("bits", F.lit(0))).withColumn("blk", F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(h, 64 - bits)")).otherwise(F.lit(0).cast("long")))
     else:
         rows = rows.withColumns({"bits": F.lit(0), "blk": F.lit(0).cast("long")})
-    bags = rows.select("rec", "bits", "blk", "h").mapInArrow(_bags, "rec string, bits int, blk long, tokens array<long>")
+    bags = rows.select("rec", "bits", "blk", "h").transform(arrow, _bags, "rec string, bits int, blk long, tokens array<long>")
     sets = bags.groupBy("rec", "bits", "blk").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens"))
     sets = sets.withColumns({"n": F.size("tokens").cast("long"), "d1": F.xxhash64("blk", "tokens"), "d2": F.xxhash64(F.lit(1), "tokens", "blk")})
     if not split:

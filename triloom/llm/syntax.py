@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triloom.llm import cgrammar
-from triloom.session import col
+from triloom.session import arrow, col
 
 #: The language of each extension.
 EXTENSIONS = {".c": "c", ".h": "c", ".cc": "c++", ".cpp": "c++", ".py": "python", ".json": "json"}
@@ -137,7 +137,7 @@ def check_sources(df: DataFrame, src_id: str = "src_id", file: str = "curr_file"
     ext = F.lower(F.regexp_extract(col(df, file), r"(\.[^./\\]+)$", 1))
     language = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[F.coalesce(ext, F.lit(""))]
     rows = df.select(col(df, src_id).cast("long").alias("src_id"), language.alias("language"), col(df, content).alias("content"), col(df, repo).cast("string").alias("repo"))
-    return rows.mapInArrow(_judge, "src_id long, language string, invalid boolean, actual string, parses array<string>, cause string, message string, repo string")
+    return rows.transform(arrow, _judge, "src_id long, language string, invalid boolean, actual string, parses array<string>, cause string, message string, repo string")
 
 
 def error_rates(judged: DataFrame) -> DataFrame:

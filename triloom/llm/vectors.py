@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triloom.llm.hnsw import Hnsw
-from triloom.session import col, cut
+from triloom.session import arrow, col, cut
 
 #: Vectors the tree is fitted on, at most.
 SAMPLE = 65_536
@@ -164,9 +164,9 @@ def nearest_neighbours(df: DataFrame, record: str = "fn_id", vec: str = "vec", d
     while n > leaf_rows << depth and len(rows) >= LEAF_SAMPLE << (depth + 1):
         depth += 1
     tree = Tree(rows, depth)
-    routed = distinct.select("cid", "vec").mapInArrow(_route(tree, dim, probes), "leaf int, query boolean, cid long, vec binary")
+    routed = distinct.select("cid", "vec").transform(arrow, _route(tree, dim, probes), "leaf int, query boolean, cid long, vec binary")
     sharded = routed.repartitionById(1 << depth, "leaf").sortWithinPartitions("leaf", "query", "cid")
-    per_leaf = sharded.mapInArrow(_nearest(dim, k + 4, m, ef_build, ef), "cid long, nb long, d2 long")
+    per_leaf = sharded.transform(arrow, _nearest(dim, k + 4, m, ef_build, ef), "cid long, nb long, d2 long")
     near = per_leaf.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("d2", "nb"))).where(F.col("r") <= k + 4)
     listed = near.select("cid", "nb", "d2").join(few.select(F.col("cid").alias("nb"), "fn"), "nb")
     best = Window.partitionBy("cid").orderBy("d2", "fn")
