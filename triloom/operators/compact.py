@@ -72,24 +72,32 @@ class Packed:
         return data.join(files, F.col("_in") == F.col("_of"), "left_semi").drop("_in")
 
 
-def _rename(spark: SparkSession, old: str, new: str) -> None:
+def _publish(spark: SparkSession, old: str, new: str) -> None:
+    """One rename, which either happens or doesn't."""
     jvm = spark.sparkContext._jvm
     a, b = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
     if not a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(a, b):
         raise OSError(f"{new} can't be published")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def compact(df: DataFrame, number: str = "file_no", path: str = "path", func: str = "func", body: str = "body", out: str | None = None, target_bytes: int = 256 << 20, groups: int = 4) -> Packed:
     """Put every distinct record of ``df`` into a few large Parquet files.
 
     Two rows are the same record if their paths resolve to the same location, their names are equal but for white space
     at the ends, and their bodies are equal; null equals only null. Of equal rows the one with the smallest number stays
     (one without a number only where none has one). All columns of ``df`` are kept. An empty table gives an empty
-    manifest. ``target_bytes`` is the wanted size of a group before compression, ``groups`` the fixed number of output
+    manifest. ``out`` may hold what a failed run left, but no published manifest. ``target_bytes`` is the wanted size of a group before compression, ``groups`` the fixed number of output
     groups of each shard; the number of shards follows from the total size.
     """
     spark = df.sparkSession
     out = out or scratch(spark, "packed")
+    if _exists(spark, f"{out}/manifest"):
+        raise FileExistsError(f"{out} holds a published consolidation")
     key, no, size = fresh(df, "key", "no", "size")
     keyed = df.withColumns({key: identity(col(df, path), col(df, func), col(df, body)), no: F.coalesce(col(df, number).cast("long"), F.lit(LAST)), size: F.coalesce(F.octet_length(col(df, body)), F.lit(0)).cast("long")})
     winners = cut(keyed.groupBy(key).agg(F.min(no).alias(no), F.max(size).alias(size)), "winners")
@@ -101,14 +109,14 @@ def compact(df: DataFrame, number: str = "file_no", path: str = "path", func: st
     kept = kept.sortWithinPartitions(F.desc(size), key, no).select(*[col(df, c) for c in names], key, size, no)
     plain = [f"c{i}" for i in range(len(names))]  # mapInArrow can't take names with dots
     written = kept.toDF(*plain, key, size, no).transform(arrow, _packer(f"{out}/data", groups, names, key, size, no), "file string, shard long, grp int, n_rows long, n_bytes long, longest long, marks long")
-    written.write.parquet(f"{out}/_staged")
+    written.write.mode("overwrite").parquet(f"{out}/_staged")  # a run that failed may have left one
     staged = spark.read.parquet(f"{out}/_staged")
     got = staged.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.coalesce(F.bit_xor("marks"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     if tuple(got) != (rows, marks, total):
         raise RuntimeError(f"packed {tuple(got)} rows, marks and bytes instead of {(rows, marks, total)}; nothing was published")
     if not rows:
         df.limit(0).write.parquet(f"{out}/data")
-    _rename(spark, f"{out}/_staged", f"{out}/manifest")
+    _publish(spark, f"{out}/_staged", f"{out}/manifest")
     return Packed(spark, out, names)
 
 

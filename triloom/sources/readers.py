@@ -47,6 +47,13 @@ def blobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path"), F.decode("content", "UTF-8").alias("content"), "length")
 
 
+def tiny_files(spark: SparkSession, path: str, name: str = "*") -> DataFrame:
+    """All files below ``path`` as rows for :func:`triloom.operators.compact.compact`: file_no (from the path), path, func (the name's stem), n_bytes, body."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(path)
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return rows.select(F.xxhash64("path").alias("file_no"), "path", stem.alias("func"), F.col("length").alias("n_bytes"), F.col("content").cast("string").alias("body"))
+
+
 def function_names(spark: SparkSession, path: str) -> DataFrame:
     """(repo, cve, func) of ``<repo>/<cve>/funcnames`` files: names trimmed at the right, blank ones dropped."""
     rows = lines(spark, path, "funcnames").select(F.split("file_id", "/").alias("p"), F.rtrim("line").alias("func")).where("func <> ''")
