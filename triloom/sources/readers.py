@@ -48,7 +48,10 @@ def blobs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tiny_files(spark: SparkSession, path: str, name: str = "*") -> DataFrame:
-    """All files below ``path`` as rows for :func:`triloom.operators.compact.compact`: file_no (from the path), path, func (the name's stem), n_bytes, body."""
+    """All files below ``path`` as rows for :func:`triloom.operators.compact.compact`: file_no (from the path), path, func (the name's stem), n_bytes, body.
+
+    Files of no bytes hold no record: Spark's file scans leave them out.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(path)
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     return rows.select(F.xxhash64("path").alias("file_no"), "path", stem.alias("func"), F.col("length").alias("n_bytes"), F.col("content").cast("string").alias("body"))
