@@ -176,6 +176,40 @@ def test_versions_before_and_after(spark):
     assert after["p", 0] == (10, 50, 300) and after["q", 0] == (40, 50, 200) and after["p", 300] == (None, None, None)
 
 
+def plainly(commits):
+    """Both look-ups for the commits (ts, seq) of one path, by their definition."""
+    c = sorted(commits)
+    newest = lambda xs, *taken: next((x[1] for x in sorted(xs, reverse=True) if x[1] not in taken), None)
+    oldest = lambda xs, *taken: next((x[1] for x in sorted(xs) if x[1] not in taken), None)
+    out = {}
+    for t, q in c:
+        old, new = [x for x in c if x < (t, q)], [x for x in c if x > (t, q)]
+        b = newest(old)
+        m = newest([x for x in c if x[0] <= t - 30 * DAY], b) if b is not None else None
+        h = newest([x for x in c if x[0] <= t - 180 * DAY], b, m) if m is not None else None
+        after = [oldest(new)]
+        for days in (30, 180):
+            if after[-1] is None:
+                after.append(None)
+                continue
+            within = [x for x in new if x[0] <= t + days * DAY]
+            after.append(oldest([x for x in new if x > max(within)]) if within else oldest(new, *after))
+        out[q] = (b, m, h, *after)
+    return out
+
+
+def test_versions_of_paths_of_any_density(spark):
+    r = random.Random(8)
+    rows = [("hot", r.randint(0, 900) * DAY, i) for i in range(400)] + [(p, r.randint(0, 4000) * DAY, 1000 + 20 * k + i) for k, p in enumerate("abcdefgh") for i in range(r.randint(1, 15))]
+    rows += [("gap", t * DAY, 9000 + t) for t in (0, 1, 2, 700, 1500, 1501, 2400, 2401)]
+    c = df(spark, "path string, ts long, seq long", *rows)
+    before = {r.seq: tuple(r)[3:] for r in history.versions_before(c).collect()}
+    after = {r.seq: tuple(r)[3:] for r in history.versions_after(c).collect()}
+    for p in {x[0] for x in rows}:
+        for q, want in plainly([x[1:] for x in rows if x[0] == p]).items():
+            assert (*before[q], *after[q]) == want, (p, q)
+
+
 DIFF = """diff --git a/libx/gif.c b/libx/gif.c
 index 12ab..34cd 100644
 @@ -1,2 +1,3 @@ static int foo(bar(x

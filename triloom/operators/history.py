@@ -58,23 +58,44 @@ def first_productive(commits: DataFrame, group: list[str], order: list[str]) ->
     return commits.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def _spread(commits: DataFrame, path: str, ts: str, seq: str, ahead: bool) -> DataFrame:
+    """Commits laid out by path and half-year, so that a path with most of all commits isn't ordered in one task.
+
+    A part holds the commits of its half-year (``_own``), those of the half-year before it (with ``ahead``: after it), and
+    the three commits next to these on the far side: all that the look-ups of its own commits can reach. Only three
+    commits of each half-year are gathered to find the latter. Adds ``_blk`` and ``_own``.
+    """
+    rows = commits.select(path, ts, seq).withColumn("_blk", F.floor(F.col(ts) / HALF_YEAR))
+    step = 1 if ahead else -1
+    edge = Window.partitionBy(path, "_blk").orderBy(*([F.col(ts), F.col(seq)] if ahead else [F.desc(ts), F.desc(seq)]))
+    ends = rows.withColumn("_r", F.row_number().over(edge)).where("_r <= 3").groupBy(path, "_blk").agg(F.sort_array(F.collect_list(F.struct(ts, seq))).alias("_ends"))
+    frame = (2, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -2)
+    far = F.sort_array(F.flatten(F.collect_list("_ends").over(Window.partitionBy(path).orderBy("_blk").rangeBetween(*frame))))  # three for each half-year
+    seen = F.col("_far")
+    three = F.slice(seen, 1, 3) if ahead else F.slice(seen, F.greatest(F.lit(1), F.size(seen) - 2), 3)
+    carried = ends.withColumn("_far", far).select(path, "_blk", F.inline(three)).withColumn("_own", F.lit(False))
+    near = rows.select(path, ts, seq, (F.col("_blk") - step).alias("_blk")).join(ends.select(path, "_blk"), [path, "_blk"], "left_semi").withColumn("_own", F.lit(False))
+    return rows.withColumn("_own", F.lit(True)).unionByName(near).unionByName(carried)
+
+
 def versions_before(commits: DataFrame, path: str = "path", ts: str = "ts", seq: str = "seq") -> DataFrame:
     """For each commit of a path: the one before it, the newest at least 30 days older, and the newest at least 180 days older.
 
     No two of them are the same commit, and each is looked for only if the one before was found. As-of lookups are
-    maxima over growing frames of one window, in linear time and without a self-join. Columns: path, ts, seq,
+    maxima over growing frames of a window, in linear time and without a self-join. Columns: path, ts, seq,
     before_seq, before_1mo_seq, before_6mo_seq.
     """
-    w = Window.partitionBy(path).orderBy(ts, seq)
-    rows = commits.select(path, ts, seq, *[F.lag(seq, k).over(w).alias(f"_{k}") for k in (1, 2)])
-    at = lambda gap: F.max(F.struct(ts, seq, "_1", "_2")).over(Window.partitionBy(path).orderBy(ts).rangeBetween(Window.unboundedPreceding, -gap))
-    rows = rows.withColumns({"_m": at(MONTH), "_h": at(HALF_YEAR)})
+    keys = [path, "_blk"]
+    w = Window.partitionBy(*keys).orderBy(ts, seq)
+    rows = _spread(commits, path, ts, seq, ahead=False).select(*keys, ts, seq, "_own", *[F.lag(seq, k).over(w).alias(f"_{k}") for k in (1, 2)])
+    at = lambda gap: F.max(F.struct(ts, seq, "_1", "_2")).over(Window.partitionBy(*keys).orderBy(ts).rangeBetween(Window.unboundedPreceding, -gap))
+    rows = rows.withColumns({"_m": at(MONTH), "_h": at(HALF_YEAR)}).where("_own")
     pick = lambda s, *taken: F.filter(F.array(s[seq], s["_1"], s["_2"]), lambda x: x.isNotNull() & ~F.coalesce(F.array_contains(F.array(*taken), x), F.lit(False)))
     first = lambda a: F.try_element_at(a, F.lit(1))
     rows = rows.withColumn("before_seq", F.col("_1"))
     rows = rows.withColumn("before_1mo_seq", F.when(F.col("before_seq").isNotNull(), first(pick(F.col("_m"), F.col("before_seq")))))
     rows = rows.withColumn("before_6mo_seq", F.when(F.col("before_1mo_seq").isNotNull(), first(pick(F.col("_h"), F.col("before_seq"), F.col("before_1mo_seq")))))
-    return rows.drop("_1", "_2", "_m", "_h")
+    return rows.select(path, ts, seq, "before_seq", "before_1mo_seq", "before_6mo_seq")
 
 
 def versions_after(commits: DataFrame, path: str = "path", ts: str = "ts", seq: str = "seq") -> DataFrame:
@@ -83,14 +104,15 @@ def versions_after(commits: DataFrame, path: str = "path", ts: str = "ts", seq:
     Where no later commit is within the time, the oldest that isn't taken yet. The one of 180 days may be that of 30 days.
     Each is looked for only if the one before was found. Columns: path, ts, seq, after_seq, after_1mo_seq, after_6mo_seq.
     """
-    w = Window.partitionBy(path).orderBy(ts, seq)
-    rows = commits.select(path, ts, seq, *[F.lead(seq, k).over(w).alias(f"_{k}") for k in (1, 2, 3)])
-    at = lambda gap: F.max(F.struct(ts, seq, "_1")).over(Window.partitionBy(path).orderBy(ts).rangeBetween(Window.unboundedPreceding, gap))
-    rows = rows.withColumns({"_m": at(MONTH), "_h": at(HALF_YEAR), "after_seq": F.col("_1")})
+    keys = [path, "_blk"]
+    w = Window.partitionBy(*keys).orderBy(ts, seq)
+    rows = _spread(commits, path, ts, seq, ahead=True).select(*keys, ts, seq, "_own", *[F.lead(seq, k).over(w).alias(f"_{k}") for k in (1, 2, 3)])
+    at = lambda gap: F.max(F.struct(ts, seq, "_1")).over(Window.partitionBy(*keys).orderBy(ts).rangeBetween(Window.unboundedPreceding, gap))
+    rows = rows.withColumns({"_m": at(MONTH), "_h": at(HALF_YEAR), "after_seq": F.col("_1")}).where("_own")
     none = lambda s: F.col(f"{s}.{seq}") == F.col(seq)
     rows = rows.withColumn("after_1mo_seq", F.when(F.col("_1").isNotNull(), F.when(none("_m"), F.col("_2")).otherwise(F.col("_m._1"))))
     rows = rows.withColumn("after_6mo_seq", F.when(F.col("after_1mo_seq").isNotNull(), F.when(none("_h"), F.col("_3")).otherwise(F.col("_h._1"))))
-    return rows.drop("_1", "_2", "_3", "_m", "_h")
+    return rows.select(path, ts, seq, "after_seq", "after_1mo_seq", "after_6mo_seq")
 
 
 def descendants(edges: DataFrame, start: DataFrame) -> DataFrame:
