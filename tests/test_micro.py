@@ -6,8 +6,9 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
+from triloom import __main__ as cli
 from triloom.functions import scalars
-from triloom.operators import align, evaluate, graphalg, history, ingest, match, matchers, signature, structure, triples
+from triloom.operators import align, evaluate, fuzzy, graphalg, history, ingest, match, matchers, signature, structure, triples
 from triloom.sources import readers, writers
 
 
@@ -115,6 +116,31 @@ def test_fuzzy_scores(spark):
     assert got(match.score_fuzzy(pairs, parts, tg), "target_id", "cvg", "pvg", "nvg") == [("t", 100.0, 75.0, 0.0), ("u", 0.0, 0.0, 0.0)]
 
 
+def test_fuzzy_scores_of_all_targets(spark, tmp_path):
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdé", k=r.randint(0, 4)))
+    rows = {(f"f{i}", word(), r.choice("xy"), word()) for i in range(24) for _ in range(r.randint(2, 14))}
+    tr = df(spark, TR, *rows, (None, "a", "x", "b"), ("f1", None, "x", "b"))
+    parts = df(spark, "sig_id string, part string, a string, rel string, b string", *{(f"s{i}", p, word(), r.choice("xy"), word()) for i in range(6) for p in match.PARTS for _ in range(r.randint(1, 8))})
+    targets = [f"f{i}" for i in range(24)]
+    pairs = df(spark, "sig_id string, target_id string", *[(f"s{i}", t) for i in range(6) for t in targets])
+    want = got(match.score_fuzzy(pairs, parts, tr), "sig_id", "target_id", *match.PARTS)
+    assert got(fuzzy.score_all(parts, tr), "sig_id", "target_id", *match.PARTS) == [x for x in want if x[2] > 0]
+    assert got(fuzzy.score_all(parts, tr, floor=50.0), "sig_id", "target_id", *match.PARTS) == [x for x in want if x[2] > 50]
+
+    # the command line finds a clone under another CVE and another name
+    fn = lambda i, cve, role, func: (i, "r", cve, f"d/r/{cve}/{role}/h_1/f.c/graph/{func}.gpickle", "x", None)
+    df(spark, "fn_id string, repo string, cve string, path string, code string, loaded_at timestamp", fn("v", "C-1", "vuln", "g"), fn("p", "C-1", "patch", "g"), fn("c", "D-2", "vuln", "other")).write.parquet(f"{tmp_path}/data/funcs.parquet")
+    own = lambda i, *names: [(i, n, "x", "n") for n in names]
+    df(spark, TR, *own("v", "read", "kqz"), *own("p", "read", "0123"), *own("c", "reads", "kqzw")).write.parquet(f"{tmp_path}/data/triples.parquet")
+    tg = signature.targets(spark.read.parquet(f"{tmp_path}/data/funcs.parquet"))
+    own_sig = signature.pairs(tg)
+    own_sig.write.parquet(f"{tmp_path}/sig/sig")
+    signature.accepted(signature.parts(own_sig, spark.read.parquet(f"{tmp_path}/data/triples.parquet"))).write.parquet(f"{tmp_path}/sig/sig_parts")
+    cli.scan(spark, f"{tmp_path}/data", f"{tmp_path}/sig", f"{tmp_path}/out", "a")
+    assert any("D-2" in x.value for x in spark.read.text(f"{tmp_path}/out/hits").collect())
+
+
 TG = "fn_id string, repo string, cve string, role string, hsh string, file string, func string, epoch long, path string, code string"
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from triloom.functions.scalars import is_scan_hit
-from triloom.operators import evaluate, match, signature
+from triloom.operators import evaluate, fuzzy, match, signature
 from triloom.session import cut, table
 from triloom.sources import readers, writers
 
@@ -36,7 +36,7 @@ def scan(spark: SparkSession, data: str, sigs: str, out: str, how: str) -> None:
     if how == "e":
         scores, hits = match.score_exact(parts, triples), match.hits_scan(parts, triples)
     else:
-        scores = cut(match.score_fuzzy(match.related(sig, tg).join(parts.select("sig_id").distinct(), "sig_id", "left_semi"), parts, triples), "scores")
+        scores = cut(fuzzy.score_all(parts, triples), "scores")
         hits = scores.where(is_scan_hit(F.col("cvg"), F.col("pvg"), F.col("nvg")))
     writers.text(match.score_lines(scores, sig, tg), f"{out}/scores")
     writers.text(match.hit_lines(hits, sig, tg), f"{out}/hits")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from triloom.functions import scalars
 from triloom.functions.vocab import BOUNDARY_TYPES, VECTOR_DIMS
-from triloom.operators import align, evaluate, graphalg, history, ingest, match, matchers, rejects, signature, structure, triples
+from triloom.operators import align, evaluate, fuzzy, graphalg, history, ingest, match, matchers, rejects, signature, structure, triples
 from triloom.plans.files import LINES_SQL
 from triloom.plans.projections import GRAPH_SQL, LABEL_SQL, PARTS_SQL, SCORE_SQL, TARGET_SQL, TOKEN_SQL, VERDICT_SQL, code_graph, labels, token_graph
 from triloom.session import cut, table
@@ -178,6 +178,12 @@ def hits_fuzzy(spark, d):
     return score_fuzzy(spark, d).where(scalars.is_scan_hit(F.col("cvg"), F.col("pvg"), F.col("nvg")))
 
 
+def hits_fuzzy_all(spark, d):
+    # every signature against every target; hits_fuzzy is confined to related pairs
+    _, _, parts = _signatures(spark, d)
+    return fuzzy.score_all(parts, table(spark, d, "triples"), floor=50.0).where(scalars.is_scan_hit(F.col("cvg"), F.col("pvg"), F.col("nvg")))
+
+
 # --- evaluation
 
 
@@ -360,7 +366,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ingest_sessionize, last_write_wins, edge_endpoint_join, tripleize, tripleize_tokens, vector_node_counts, vector_edge_counts_k2, vectorize, path_fields, char_slice,
-        sig_pairs, sig_missing, sig_parts, sig_cvg, sig_pvg, sig_nvg, sig_stats, sig_reject_empty, score_exact, score_file, hits_scan, hits_eval, hit_file, threshold_grid, char_jaccard, score_fuzzy, hits_fuzzy,
+        sig_pairs, sig_missing, sig_parts, sig_cvg, sig_pvg, sig_nvg, sig_stats, sig_reject_empty, score_exact, score_file, hits_scan, hits_eval, hit_file, threshold_grid, char_jaccard, score_fuzzy, hits_fuzzy, hits_fuzzy_all,
         target_semi, target_names, ground_truth_counts, verdicts, eval_slices, unchanged_filter, line_diff, eval_test_modified, asof_before, asof_after, first_productive, diff_parse,
         align_nodes, changed_nodes, induced_edges, context_nodes, expand_1hop, two_hop, components, bfs_tree, subtree_size, nh_index, important_nodes, tale_node_score, path_node_match, edge_pattern_iso, exact_match, tale_match, path_match, aligned_signature,
     )
