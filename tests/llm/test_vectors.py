@@ -40,6 +40,15 @@ def test_recall_over_many_shards(spark):
     assert len(got & want) / len(want) >= 0.95
 
 
+def test_no_leaf_that_may_hold_a_neighbour_is_left_out(spark):
+    r = np.random.default_rng(4)
+    x = r.integers(0, 40, (6000, 16))  # no clusters: neighbours lie in many leaves
+    rows = [(f"f{i:05d}", v.tolist()) for i, v in enumerate(x)]
+    got = {(n.fn_id, n.neighbour) for n in nearest_neighbours(spark.createDataFrame(rows, SCHEMA), dim=16, leaf_rows=100).collect()}
+    want = {(a, b) for a, bs in brute(rows).items() for b in bs}
+    assert len(got & want) / len(want) >= 0.99  # 64 leaves
+
+
 def test_bad_rows_ties_and_small_tables(spark):
     rows = [("a", [0, 0]), ("b", [1, 0]), ("c", [0, 1]), ("a", [0, 0]), ("n", None), ("s", [1]), ("l", [1, 2, 3]), ("h", [None, 1]), (None, [0, 0])]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA + ", cid int, fn string")

@@ -2,7 +2,8 @@
 
 Shards are the leaves of a tree that halves a bounded sample along the line between two centres, so all are about equal
 in size however the vectors lie. Every vector is indexed in its own leaf and searched in the leaves whose half-spaces it
-violates least. Equal vectors are indexed once; of each, the few records with the smallest names stand for all, since no
+violates least. What lies behind no half-space farther than the k-th distance found so is then scanned too, so no leaf that
+may hold a nearer vector is left out. Equal vectors are indexed once; of each, the few records with the smallest names stand for all, since no
 other can be among the nearest of any.
 """
 
@@ -76,6 +77,20 @@ class Tree:
         best = np.argpartition(cost, k - 1, axis=1)[:, :k]
         return np.take_along_axis(best, np.argsort(np.take_along_axis(cost, best, 1), axis=1, kind="stable"), 1)
 
+    def lowest(self, x: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        """For each vector and leaf a bound below every squared distance to the leaf's vectors: the largest violation less ``slack``, squared.
+
+        Violations of several half-spaces don't add up, since their normals need not be at right angles.
+        """
+        far = np.zeros((len(x), 1))
+        for w, b in zip(self.normals, self.offsets):
+            side = x @ w.T.astype(np.float64) - b
+            off = np.empty((len(x), 2 * side.shape[1]))
+            off[:, 0::2] = np.maximum(far, side)
+            off[:, 1::2] = np.maximum(far, -side)
+            far = off
+        return np.maximum(0, far - slack[:, None]) ** 2
+
 
 def _numbers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int64)
@@ -139,13 +154,77 @@ def _nearest(dim: int, k: int, m: int, ef_build: int, ef: int):
     return run
 
 
+def _route_rest(tree: Tree, dim: int, probes: int):
+    """Each vector as a row of its leaf, and as a query of the leaves not searched yet that may hold a vector within ``bound``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                x = batch.column(1).flatten().to_numpy().reshape(-1, dim)
+                bound = np.nan_to_num(batch.column(2).cast(pa.float64()).to_numpy(zero_copy_only=False), nan=np.inf)
+                leaves = tree.leaves(x.astype(np.float32), probes)
+                reach = np.sqrt((x.astype(np.float64) ** 2).sum(1)) + np.sqrt(bound)
+                near = tree.lowest(x.astype(np.float64), 1e-4 * (1 + reach)) <= bound[:, None]
+                near[~np.isfinite(bound)] = True
+                np.put_along_axis(near, leaves, False, axis=1)
+                who, leaf = np.nonzero(near)
+                n = len(x)
+                raw = pa.array([v.tobytes() for v in x], pa.binary())
+                take = pa.array(np.r_[np.arange(n), who])
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[leaves[:, 0], leaf].astype(np.int32)), pa.array(np.r_[np.zeros(n, bool), np.ones(len(who), bool)]), batch.column(0).take(take), raw.take(take), pa.array(bound).take(take)], ["leaf", "query", "cid", "vec", "bound"])
+
+    return run
+
+
+def _scan(dim: int, k: int):
+    """Rows come sorted as for :func:`_nearest`: the leaf's vectors are compared with each query, those within its bound are returned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, x = None, None
+        ids: list[np.ndarray] = []
+        rows: list[np.ndarray] = []
+        for batch in batches:
+            leaves = batch.column(0).to_numpy()
+            edges = np.r_[0, np.flatnonzero(np.diff(leaves)) + 1, len(leaves)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if b == a:
+                    continue
+                part = batch.slice(a, b - a)
+                if leaves[a] != leaf:
+                    leaf, x, ids, rows = leaves[a], None, [], []
+                is_query = part.column(1).to_numpy(zero_copy_only=False)
+                cid, v, bound = part.column(2).to_numpy(), _numbers(part.column(3)).reshape(-1, dim), part.column(4).to_numpy()
+                if not is_query.all():
+                    ids.append(cid[~is_query])
+                    rows.append(v[~is_query])
+                if not is_query.any() or not ids:
+                    continue
+                if x is None:
+                    index, x = np.concatenate(ids), np.concatenate(rows)
+                    y = x.astype(np.float64)
+                    sq = (y**2).sum(1)
+                q, qv, most = cid[is_query], v[is_query], bound[is_query]
+                for lo in range(0, len(q), 256):
+                    p = qv[lo : lo + 256].astype(np.float64)
+                    d = sq[None] + (p**2).sum(1)[:, None] - 2 * p @ y.T
+                    pick = np.argpartition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+                    r, c = np.nonzero(np.take_along_axis(d, pick, 1) <= most[lo : lo + 256, None] * (1 + 1e-9))
+                    found = pick[r, c]
+                    gap = x[found] - qv[lo : lo + 256][r]
+                    yield pa.RecordBatch.from_arrays([pa.array(q[lo : lo + 256][r]), pa.array(index[found]), pa.array(np.einsum("ij,ij->i", gap, gap))], ["cid", "nb", "d2"])
+
+    return run
+
+
 def nearest_neighbours(df: DataFrame, record: str = "fn_id", vec: str = "vec", dim: int = 79, k: int = 5, leaf_rows: int = 8192, probes: int = 4, m: int = 16, ef_build: int = 80, ef: int = 48, sample: int = SAMPLE) -> DataFrame:
     """(fn_id, neighbour, d2, rank): about the ``k`` nearest other records of each record by Euclidean distance.
 
     Equal distances go to the smaller name; d2 is the exact squared distance. Vectors that are null, of another length
     than ``dim``, or hold a null are left out, as are records without a name; of several vectors of a record the smallest
     counts. With fewer than k other records, all are returned; an empty table gives no rows. The tree is fitted on at most
-    ``sample`` distinct vectors, chosen by hash; every vector is indexed and searched. Components must be integers, their
+    ``sample`` distinct vectors, chosen by hash; every vector is indexed and searched, by graph in ``probes`` leaves, then by
+    scan in all others that may hold a vector as near as the k-th so found. Components must be integers, their
     squared distances below 2^63.
     """
     name = col(df, record).cast("string")
@@ -167,7 +246,14 @@ def nearest_neighbours(df: DataFrame, record: str = "fn_id", vec: str = "vec", d
     routed = distinct.select("cid", "vec").transform(arrow, _route(tree, dim, probes), "leaf int, query boolean, cid long, vec binary")
     sharded = routed.repartitionById(1 << depth, "leaf").sortWithinPartitions("leaf", "query", "cid")
     per_leaf = sharded.transform(arrow, _nearest(dim, k + 4, m, ef_build, ef), "cid long, nb long, d2 long")
-    near = per_leaf.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("d2", "nb"))).where(F.col("r") <= k + 4)
+    top = lambda x: x.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("d2", "nb"))).where(F.col("r") <= k + 4)
+    near = top(per_leaf)
+    if probes < 1 << depth:
+        near = cut(near, "near")
+        bound = near.where(F.col("r") == k + 1).select("cid", F.col("d2").alias("bound"))  # the vector itself is among them
+        rest = distinct.join(bound, "cid", "left").select("cid", "vec", "bound").transform(arrow, _route_rest(tree, dim, probes), "leaf int, query boolean, cid long, vec binary, bound double")
+        more = rest.repartitionById(1 << depth, "leaf").sortWithinPartitions("leaf", "query", "cid").transform(arrow, _scan(dim, k + 4), "cid long, nb long, d2 long")
+        near = top(near.drop("r").unionByName(more))
     listed = near.select("cid", "nb", "d2").join(few.select(F.col("cid").alias("nb"), "fn"), "nb")
     best = Window.partitionBy("cid").orderBy("d2", "fn")
     listed = cut(listed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("cid", F.col("fn").alias("neighbour"), "d2"), "listed")
