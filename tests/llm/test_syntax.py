@@ -72,3 +72,27 @@ def test_files(spark):
     rates = {(r.repo, r.language): (r.n_files, r.n_invalid, r.n_wrong_extension) for r in error_rates(judged).collect()}
     assert rates["r", "c"] == (4, 2, 1)
     assert check_sources(df.limit(0)).count() == 0
+
+
+def test_long_files_are_judged_and_bounds_are_no_errors():
+    from triloom.llm.cgrammar import Undecided
+
+    assert check("#define N 1\nint a[] = {" + "1," * 210_000 + "N};\n", False) is None  # plain tokens are no expansion
+    assert check("#if " + "||".join(["0"] * 12_000) + "\nint a;\n#endif\n", False) is None
+    assert isinstance(check("#if " + "+".join(["1"] * 60_000) + "\n#endif\n", False), Undecided)
+    deep = "#define M0 int a;\n" + "".join(f"#define M{i} M{i - 1}\n" for i in range(1, 100)) + "M99\n"
+    assert check(deep, False) is None
+    broken = deep.replace("int a;", "int int ) a;")
+    assert check(broken, False) is not None and not isinstance(check(broken, False), Undecided)
+    endless = "#define M0 1,\n" + "".join(f"#define M{i} M{i - 1} M{i - 1}\n" for i in range(1, 25)) + "int a[] = {M24};\n"
+    assert isinstance(check(endless, False), Undecided)
+
+
+def test_undecided_files_are_not_flagged(spark):
+    from triloom.llm.syntax import check_sources, error_rates
+
+    endless = "#define M0 1,\n" + "".join(f"#define M{i} M{i - 1} M{i - 1}\n" for i in range(1, 25)) + "int a[] = {M24};\n"
+    df = spark.createDataFrame([(1, "a.c", endless, "r"), (2, "b.c", "int a;", "r")], "src_id long, curr_file string, content string, repo string")
+    judged = check_sources(df)
+    assert sorted((r.src_id, r.invalid, r.cause) for r in judged.collect()) == [(1, None, "undecided"), (2, False, None)]
+    assert [r.n_files for r in error_rates(judged).collect()] == [1]

@@ -16,6 +16,14 @@ class Invalid(Exception):
     pass
 
 
+class Unbounded(Exception):
+    """A bound was reached before the text was judged."""
+
+
+class Undecided(str):
+    """What kept a text from being judged."""
+
+
 _OPS = "<<= >>= ... ->* <=> -> ++ -- << >> <= >= == != && || += -= *= /= %= &= |= ^= :: .* ## { } ( ) [ ] ; , : ? . ~ ! + - * / % < > = & | ^ #".split()
 _LEX = re.compile(
     r"""(?P<nl>\r\n|\n|\r)|(?P<ws>[ \t\f\v]+|//[^\r\n]*|/\*.*?\*/)|(?P<open>/\*)
@@ -62,10 +70,11 @@ def tokens(text: str, cpp: bool) -> tuple[list[list[Token]], set[int]]:
 class Preprocessor:
     """Conditionals and macros of one file."""
 
-    LIMIT = 400_000  # tokens that expansion may make of one file
+    LIMIT = 400_000  # tokens that expansion may add to those it began with
+    USES = 4_000_000  # macros that may be expanded in one file
 
     def __init__(self, cpp: bool):
-        self.cpp = cpp
+        self.cpp, self.uses = cpp, 0
         self.macros: dict[str, tuple[list[str] | None, list[Token]]] = {}
 
     def run(self, lines: list[list[Token]], calls: set[int]) -> list[Token]:
@@ -178,15 +187,19 @@ class Preprocessor:
         if "?" in text:  # a ? b : c, without brackets inside
             text = re.sub(r"(.*)\?(.*):(.*)", r"((\2) if (\1) else (\3))", text)
         try:
-            if not text or len(text) > 20_000 or "**" in text or not re.fullmatch(r"[0-9()+\-*/%<>=!&|^~, a-z]*", text):
+            if not text or "**" in text or not re.fullmatch(r"[0-9()+\-*/%<>=!&|^~, a-z]*", text):
                 raise ValueError
             return bool(eval(text, {"__builtins__": {}}))  # only numbers and operators get here
         except ZeroDivisionError:
             return False
-        except Exception:
+        except (MemoryError, OverflowError, RecursionError):
+            raise Unbounded("#if condition too large") from None
+        except Exception as e:
+            if "too many nested" in str(e):
+                raise Unbounded("#if condition nested too deeply") from None
             raise Invalid("#if without a proper condition") from None
 
-    def expand(self, ts: list[Token], hidden: frozenset[str] = frozenset(), depth: int = 0) -> list[Token]:
+    def expand(self, ts: list[Token], hidden: frozenset[str] = frozenset()) -> list[Token]:
         if not self.macros:
             return ts
         out: list[Token] = []
@@ -194,12 +207,15 @@ class Preprocessor:
         while i < len(ts):
             kind, s = ts[i]
             i += 1
-            if kind != "id" or s not in self.macros or s in hidden or depth > 60:
+            if kind != "id" or s not in self.macros or s in hidden:
                 out.append((kind, s))
                 continue
             params, body = self.macros[s]
+            self.uses += 1
+            if self.uses > self.USES:
+                raise Unbounded("too many macros expanded")
             if params is None:
-                out += self.expand(self._paste(body, {}), hidden | {s}, depth + 1)
+                out += self.expand(self._paste(body, {}), hidden | {s})
             else:
                 if i >= len(ts) or ts[i] != ("op", "("):
                     out.append((kind, s))
@@ -225,10 +241,10 @@ class Preprocessor:
                         named["__VA_ARGS__"] = [t for n, a in enumerate(tail) for t in ([("op", ",")] if n else []) + a]
                     else:
                         named[p] = args[k] if k < len(args) else []
-                named = {p: self.expand(a, hidden, depth + 1) for p, a in named.items()}
-                out += self.expand(self._paste(body, named), hidden | {s}, depth + 1)
-            if len(out) > self.LIMIT:
-                raise Invalid("expansion without bound")
+                named = {p: self.expand(a, hidden) for p, a in named.items()}
+                out += self.expand(self._paste(body, named), hidden | {s})
+            if len(out) - i > self.LIMIT:
+                raise Unbounded("expansion without bound")
         return out
 
     @staticmethod
@@ -289,7 +305,7 @@ class Parser:
         self.i += 1
         self.steps += 1
         if self.steps > 60 * len(self.ts) + 100_000:
-            raise Invalid("no derivation found within the bound")
+            raise Unbounded("no derivation found within the bound")
 
     def take(self, s: str) -> bool:
         if self.s == s:
@@ -310,8 +326,6 @@ class Parser:
             f(*args)
             return True
         except Invalid:
-            if self.steps > 60 * len(self.ts) + 100_000:
-                raise
             self.far = max(self.far, self.i)
             self.rewind(at, splits)
             return False
@@ -1394,7 +1408,7 @@ class Parser:
 
 
 def check(text: str, cpp: bool) -> str | None:
-    """None if ``text`` is C, or C++, by its syntax; else what is wrong."""
+    """None if ``text`` is C, or C++, by its syntax; else what is wrong, as :class:`Undecided` if a bound was reached."""
     try:
         ts = Preprocessor(cpp).run(*tokens(text, cpp))
         for kind, s in ts:
@@ -1403,6 +1417,8 @@ def check(text: str, cpp: bool) -> str | None:
         Parser(ts, cpp).unit()
     except Invalid as e:
         return str(e)
+    except Unbounded as e:
+        return Undecided(e)
     except RecursionError:
-        return "nested too deeply"
+        return Undecided("nested too deeply")
     return None

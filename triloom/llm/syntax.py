@@ -41,7 +41,7 @@ def python_error(text: str) -> str | None:
     except (SyntaxError, ValueError) as e:
         return f"{type(e).__name__}: {getattr(e, 'msg', e)}"[:200]
     except (RecursionError, MemoryError):
-        return "nested too deeply"
+        return cgrammar.Undecided("nested too deeply")
     return None
 
 
@@ -88,7 +88,7 @@ def _deep_json_error(text: str) -> str | None:
 
 
 def error(text: str, language: str) -> str | None:
-    """None if ``text`` is syntactically valid in ``language``, else what is wrong."""
+    """None if ``text`` is syntactically valid in ``language``, else what is wrong, as ``Undecided`` if a bound was reached."""
     if language == "python":
         return python_error(text)
     if language == "json":
@@ -116,10 +116,12 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((None, fits[0] if fits else None, fits, None, None))
             elif errors[language] is None:
                 rows.append((False, language, fits, None, None))
+            elif isinstance(errors[language], cgrammar.Undecided):
+                rows.append((None, None, fits, "undecided", errors[language]))
             elif fits:
                 rows.append((True, fits[0], fits, "wrong extension", errors[language]))
             else:
-                rows.append((True, None, fits, "merge conflict" if _CONFLICT.search(text) else "corrupt", errors[language]))
+                rows.append((True, None, fits, "merge conflict" if _CONFLICT.search(text) else "undecided" if any(isinstance(e, cgrammar.Undecided) for e in errors.values()) else "corrupt", errors[language]))
         cols = list(zip(*rows)) or [()] * 5
         types = [pa.bool_(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
         names = ["invalid", "actual", "parses", "cause", "message"]
@@ -129,7 +131,9 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def check_sources(df: DataFrame, src_id: str = "src_id", file: str = "curr_file", content: str = "content", repo: str = "repo") -> DataFrame:
     """A flag for every file: src_id, language (by extension), invalid, actual (likeliest language it parses as), parses (all of them, likeliest first), cause, message, repo.
 
-    ``invalid`` is null for null content or an extension that isn't supported. ``cause`` is ``wrong extension`` if
+    ``invalid`` is null for null content, an extension that isn't supported, or a file whose own grammar reached a bound
+    before it could judge; ``cause`` is then ``undecided``, as it is for an invalid file that another grammar could not
+    judge. Else ``cause`` is ``wrong extension`` if
     another grammar takes the file, ``merge conflict`` if none does and it has conflict markers, else ``corrupt``. An empty
     file is valid C, C++ and Python, and invalid JSON. Repeated rows are each judged; whole texts are parsed. Other
     columns of ``df`` are not carried along.
