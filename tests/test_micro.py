@@ -349,6 +349,14 @@ def test_matchers_on_the_toy_graph():
     assert matchers.path_match(g, graph({"9": "zzz"}, []))[1] == 0 == matchers.tolerant_match(g, graph({"9": "zzz"}, []))[1]
 
 
+def test_path_match_has_no_budget_of_trials():
+    q = graph({"r": "R", **{f"a{i:02}": f"L{i}" for i in range(10)}, "z": "Z"}, [("r", "a00", "e"), ("r", "z", "e"), *[(f"a{i:02}", f"a{i + 1:02}", "e") for i in range(9)]])
+    layers = [[f"a{i:02}{k}" for k in range(4)] for i in range(10)]  # 4 ** 10 ways down
+    t = graph({"r": "R", "z": "Z", **{n: f"L{i}" for i, ns in enumerate(layers) for n in ns}}, [("r", "z", "e"), *[("r", n, "e") for n in layers[0]], *[(a, b, "e") for x, y in zip(layers, layers[1:]) for a in x for b in y]])
+    m, s = matchers.path_match(q, t)
+    assert s == 1.0 and len(m) == 12
+
+
 def test_matchers_as_a_table(spark):
     nodes = df(spark, GN, *[(f, n, t, "") for f in ("q", "t") for n, t in TOY[0].items()], ("e", "1", "one", ""))
     edges = df(spark, GE, *[(f, *e) for f in ("q", "t") for e in TOY[1]])

@@ -171,11 +171,11 @@ def tolerant_match(q: Graph, t: Graph, share: float = 0.2, miss_share: float = 0
     return done, sum(s for _, s in done.values()) / (2.0 * len(q.label)) if q.label else 0.0
 
 
-def path_match(q: Graph, t: Graph, share: float = 0.1, steps: int = 200_000) -> Match:
+def path_match(q: Graph, t: Graph, share: float = 0.1) -> Match:
     """Growth along a breadth-first tree from the best important node, trying each feasible neighbour on a copy of the mapping.
 
     A node scores 1 if the target covers it (label, degrees, neighbour labels and relations in both directions), else 0. The
-    score is the grown path's total over the number of query nodes. Search ends after ``steps`` trials with the best so far.
+    score is the grown path's total over the number of query nodes. Trials that can't be better, or were made before, are left out.
     """
 
     def index(g: Graph) -> dict[str, tuple]:
@@ -211,41 +211,48 @@ def path_match(q: Graph, t: Graph, share: float = 0.1, steps: int = 200_000) ->
     height = {}
     for n in reversed(order):
         height[n] = 1 + sum(height[c] for c in children[n])
-    left = [steps]
-
-    def grow(mapping: dict, a: str, b: str) -> float:
-        taken = {x for x, _ in mapping.values()}
-        options: dict[str, list[str]] = {}
-        for n in children[a]:
-            if n in mapping:
-                continue
-            ways = (t.out[b] if n in q.out[a] else set()) | (t.inn[b] if n in q.inn[a] else set())
-            if good := sorted(y for y in ways - taken if fits(n, y)):
-                options[n] = good
-        total = 0.0
-        for n in sorted(options, key=lambda x: (-height[x], x)):
+    ways: dict[tuple[str, str], dict[str, list[str]]] = {}
+    reach: dict[tuple[str, str], tuple[int, frozenset[str]]] = {}
+
+    def options(a: str, b: str) -> dict[str, list[str]]:
+        if (a, b) not in ways:
+            near = {n: (t.out[b] if n in q.out[a] else set()) | (t.inn[b] if n in q.inn[a] else set()) for n in sorted(children[a], key=lambda x: (-height[x], x))}
+            ways[a, b] = {n: good for n, ys in near.items() if (good := sorted(y for y in ys if fits(n, y)))}
+        return ways[a, b]
+
+    def most(a: str, b: str) -> tuple[int, frozenset[str]]:
+        """The score of growth from (a, b) if no target node were taken, and the target nodes it could come to."""
+        if (a, b) not in reach:
+            below = [[(y, *most(n, y)) for y in ys] for n, ys in options(a, b).items()]
+            reach[a, b] = sum(1 + max(s for _, s, _ in x) for x in below), frozenset().union(*(r | {y} for x in below for y, _, r in x))
+        return reach[a, b]
+
+    grown: dict[tuple[str, str, frozenset[str]], tuple[float, dict[str, str]]] = {}
+
+    def grow(a: str, b: str, taken: frozenset[str]) -> tuple[float, dict[str, str]]:
+        """Depends on no more of ``taken`` than growth from (a, b) can come to."""
+        key = a, b, taken & most(a, b)[1]
+        if key in grown:
+            return grown[key]
+        total, added, used = 0.0, {}, key[2]
+        for n, ys in options(a, b).items():
             best = None
-            used = {x for x, _ in mapping.values()}
-            for y in options[n]:
-                if y in used or left[0] <= 0:
+            for y in ys:
+                if y in used or best and most(n, y)[0] <= best[0]:  # only a better one counts
                     continue
-                left[0] -= 1
-                trial = dict(mapping)
-                trial[n] = (y, 1.0)
-                s = grow(trial, n, y)
+                s, more = grow(n, y, used | {y})
                 if best is None or s > best[0]:
-                    best = (s, y, trial)
-                if s >= height[n]:
-                    break
+                    best = (s, y, more)
             if best:
-                for k, x in best[2].items():
-                    mapping.setdefault(k, x)
-                mapping[n] = (best[1], 1.0)
+                added = {**added, **best[2], n: best[1]}
+                used = used | {best[1], *best[2].values()}
                 total += best[0] + 1.0
-        return total
+        grown[key] = total, added
+        return grown[key]
 
-    mapping = {root: (goal, 1.0)}
-    score = grow(mapping, root, goal) + 1.0
+    score, added = grow(root, goal, frozenset({goal}))
+    mapping = {root: (goal, 1.0), **{n: (y, 1.0) for n, y in added.items()}}
+    score += 1.0
     return mapping, score / len(q.label)
 
 
