@@ -204,3 +204,12 @@ def test_a_source_with_nearly_all_rows(spark, monkeypatch):
     docs = [(i, "a b c", "A" if i % 20 else "B") for i in range(3000)]
     seq, rep = mixed(spark, docs, [("A", 900, 1), ("B", 100, 3)])
     assert rep["A"].placed_docs == 2700 and len({x.doc_id for x in seq if x.source == "A"}) == 2700
+
+
+def test_names_are_slots_at_every_size_and_where_sentences_start(spark, monkeypatch):
+    item = "Every Monday the baker called Anna sold seven loaves. Anna then walked slowly home with the empty baskets."
+    doc = "every monday the baker called Zelda sold nine loaves. Zelda then walked slowly home with the empty baskets."
+    items, docs = spark.createDataFrame([(1, item)], "item_id long, text string"), spark.createDataFrame([(7, doc)], "doc_id long, text string")
+    for bound in (4_000_000, 0):
+        monkeypatch.setattr(leakage, "MAX_VOCABULARY_CHARS", bound)
+        assert [(r.doc_id, r.item_id, r.kind) for r in find_leaks(docs, items).collect()] == [(7, 1, "changed")]

@@ -7,8 +7,8 @@ value of the item always stands for the same value in the document. The type of
 nothing but the lower-case word, so equal passages always have equal templates.
 
 Documents are cut into words as vectors of code points, and only windows all of whose words can occur in a template leave
-the scan. That reduction is exact, and its vocabulary, of the held-out items only, has a bound; past it, every window is
-joined.
+the scan. That reduction is exact. Its vocabulary, the distinct words of the held-out items, is the same however many items
+there are; many items are only counted where they lie.
 """
 
 from __future__ import annotations
@@ -30,14 +30,14 @@ NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve t
 #: Units of measure, money and time.
 UNITS = "pence penny pound pounds dollar dollars euro euros crown crowns cent cents day days week weeks month months year years hour hours minute minutes mile miles metre metres meter meters km kg ton tons percent".split()
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
-#: Characters of all items up to which their words are held on the driver, to reduce the documents.
+#: Characters of all items up to which the driver reads them itself to list their words; beyond, tasks do.
 MAX_VOCABULARY_CHARS = 4_000_000
 #: Characters of all items up to which their templates, at most one for two characters, are broadcast.
 MAX_BROADCAST_CHARS = 400_000
 
 
-def words_of(text: str, opens: bool = True) -> list[tuple[str, bool]]:
-    """The words of ``text`` in lower case, and whether they were capitalised other than at the start of a sentence.
+def words_of(text: str, opens: bool = True) -> list[tuple[str, bool | None]]:
+    """The words of ``text`` in lower case, and whether they were capitalised; None where a sentence starts with a capital, which says nothing.
 
     ``opens``: a sentence begins where ``text`` does.
     """
@@ -45,7 +45,7 @@ def words_of(text: str, opens: bool = True) -> list[tuple[str, bool]]:
     out = []
     for i, (a, b) in enumerate(zip(starts, ends)):
         stop = _stops(text[ends[i - 1] : a]) if i else opens
-        out += [(w, text[a].isupper() and not stop) for w in _lower(text[a:b])]
+        out += [(w, (None if stop else True) if text[a].isupper() else False) for w in _lower(text[a:b])]
     return out
 
 
@@ -67,15 +67,29 @@ def _lower(word: str) -> list[str]:
 
 
 def vocabulary(items: list[str]) -> dict[str, str]:
-    """The canonical form of every word of the items. A name is a word that is only ever capitalised within sentences."""
-    capital: dict[str, bool] = {}
+    """The canonical form of every word of the items. A name is a word that is capitalised within a sentence, and never small."""
+    capital: dict[str, bool | None] = {}
     for text in items:
-        for w, up in words_of(text):
-            capital[w] = capital.get(w, True) and up
-    out = {}
-    for w, up in capital.items():
-        out[w] = NUM if w[0].isdigit() or w in _NUMBERS else UNIT if w in _UNITS else NAME if up else w
-    return out
+        _add(capital, words_of(text))
+    return _canonical(capital)
+
+
+def _add(capital: dict[str, bool | None], words: list[tuple[str, bool | None]]) -> None:
+    for w, up in words:
+        if w not in capital or capital[w] is None or up is False:
+            capital[w] = up
+
+
+def _canonical(capital: dict[str, bool | None]) -> dict[str, str]:
+    return {w: NUM if w[0].isdigit() or w in _NUMBERS else UNIT if w in _UNITS else NAME if up else w for w, up in capital.items()}
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        capital: dict[str, bool | None] = {}
+        for text in batch.column(0).to_pylist():
+            _add(capital, words_of(text))
+        yield pa.RecordBatch.from_arrays([pa.array(list(capital), pa.string()), pa.array(list(capital.values()), pa.bool_())], ["word", "up"])
 
 
 _NUMBERS, _UNITS = frozenset(NUMBERS), frozenset(UNITS)
@@ -91,7 +105,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """
     own = items.select(col(items, item_id).alias("item_id"), col(items, item_text).alias("text")).where("text is not null")
     chars = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    vocab = vocabulary([r.text for r in own.select("text").collect()]) if chars <= MAX_VOCABULARY_CHARS else None
+    if chars <= MAX_VOCABULARY_CHARS:
+        vocab = vocabulary([r.text for r in own.select("text").collect()])
+    else:
+        listed = own.select("text").transform(arrow, _item_words, "word string, up boolean").groupBy("word").agg(F.min("up").alias("up"))
+        vocab = _canonical({r.word: r.up for r in listed.collect()})
     schema = "id {}, template string, words string"
     wanted = own.transform(arrow, _windows(vocab, window), schema.format(dict(own.dtypes)["item_id"])).select(F.col("id").alias("item_id"), "template", F.col("words").alias("item_words")).distinct()
     body = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text")).where(F.length("text") > window)
@@ -116,7 +134,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)]), np.cumprod(np.r_[np.uint64(1), np.full(n, inverse)])
 
 
-def _windows(vocab: dict[str, str] | None, k: int):
+def _windows(vocab: dict[str, str], k: int):
     """(id, template, words) of every window of k words that can match; each distinct one of a text once."""
     known = np.zeros(0, np.uint64)
     if vocab:
@@ -124,16 +142,14 @@ def _windows(vocab: dict[str, str] | None, k: int):
         up, _ = _powers(max(map(len, listed)))
         known = np.unique(np.array([np.sum(code_points(w).astype(np.uint64) * up[: len(w)]) for w in listed], np.uint64))
 
-    def canon(w: str, capital: bool) -> str:
-        if vocab is not None and (c := vocab.get(w)) is not None:
+    def canon(w: str, capital: bool | None) -> str:
+        if (c := vocab.get(w)) is not None:
             return c
         if w[0].isdigit() or w in _NUMBERS:
             return NUM
         if w in _UNITS:
             return UNIT
-        if vocab is not None:
-            return NAME if capital else ""
-        return w
+        return "" if capital is False else NAME
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +157,7 @@ def _windows(vocab: dict[str, str] | None, k: int):
             templates: list[str] = []
             literals: list[str] = []
             for owners, texts in _pieces(batch.column(1).to_pylist(), k):
-                for i, stretch, opens in _stretches(texts, known if vocab is not None else None, k):
+                for i, stretch, opens in _stretches(texts, known, k):
                     ws = words_of(stretch, opens)
                     cs = [canon(*w) for w in ws]
                     seen = set()
@@ -197,11 +213,8 @@ def _parts(text: str, k: int) -> Iterator[str]:
     yield text[start:]
 
 
-def _stretches(texts: list[str], known: np.ndarray | None, k: int) -> Iterator[tuple[int, str, bool]]:
+def _stretches(texts: list[str], known: np.ndarray, k: int) -> Iterator[tuple[int, str, bool]]:
     """(text, part of it, whether it opens a sentence) for every part that has k or more words in a row that may be in a template."""
-    if known is None:
-        yield from ((i, t, True) for i, t in enumerate(texts) if t)
-        return
     odd = {i for i, t in enumerate(texts) if len(t.lower()) != len(t)}  # a letter becomes two: these few are taken whole
     yield from ((i, texts[i], True) for i in odd)
     texts = [t if i not in odd else "" for i, t in enumerate(texts)]
