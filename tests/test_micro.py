@@ -141,6 +141,19 @@ def test_fuzzy_scores_of_all_targets(spark, tmp_path):
     assert any("D-2" in x.value for x in spark.read.text(f"{tmp_path}/out/hits").collect())
 
 
+def test_score_files_have_a_line_for_every_pair(spark, tmp_path):
+    fn = lambda i, cve, role: (i, "r", cve, f"d/r/{cve}/{role}/h_1/f.c/graph/g.gpickle", "x", None)
+    df(spark, "fn_id string, repo string, cve string, path string, code string, loaded_at timestamp", fn("v", "C-1", "vuln"), fn("p", "C-1", "patch"), fn("z", "D-2", "before")).write.parquet(f"{tmp_path}/data/funcs.parquet")
+    df(spark, TR, *[(i, n, "x", "n") for i, names in (("v", ("read", "kqz")), ("p", ("read", "0123"))) for n in names], ("z", "zz", "other", "zz")).write.parquet(f"{tmp_path}/data/triples.parquet")
+    sig = signature.pairs(signature.targets(spark.read.parquet(f"{tmp_path}/data/funcs.parquet")))
+    sig.write.parquet(f"{tmp_path}/sig/sig")
+    signature.accepted(signature.parts(sig, spark.read.parquet(f"{tmp_path}/data/triples.parquet"))).write.parquet(f"{tmp_path}/sig/sig_parts")
+    for how in "ea":
+        cli.scan(spark, f"{tmp_path}/data", f"{tmp_path}/sig", f"{tmp_path}/{how}", how)
+        lines = [r.value for r in spark.read.text(f"{tmp_path}/{how}/scores").collect()]
+        assert len(lines) == 3 and [x for x in lines if x.endswith(" 0 0 0")] == ["r/C-1/h_1/f.c/g d/r/D-2/before/h_1/f.c/graph/g.gpickle 0 0 0"]
+
+
 TG = "fn_id string, repo string, cve string, role string, hsh string, file string, func string, epoch long, path string, code string"
 
 

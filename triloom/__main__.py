@@ -38,7 +38,7 @@ def scan(spark: SparkSession, data: str, sigs: str, out: str, how: str) -> None:
     else:
         scores = cut(fuzzy.score_all(parts, triples), "scores")
         hits = scores.where(is_scan_hit(F.col("cvg"), F.col("pvg"), F.col("nvg")))
-    writers.text(match.score_lines(scores, sig, tg), f"{out}/scores")
+    writers.text(match.score_lines(match.every_pair(scores, parts, tg), sig, tg), f"{out}/scores")
     writers.text(match.hit_lines(hits, sig, tg), f"{out}/hits")
 
 
