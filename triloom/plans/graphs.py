@@ -169,17 +169,12 @@ def char_jaccard(spark, d):
 
 
 def score_fuzzy(spark, d):
-    tg, sig, parts = _signatures(spark, d)
-    near = match.related(sig, tg).join(parts.select("sig_id").distinct(), "sig_id", "left_semi")
-    return match.score_fuzzy(near, parts, table(spark, d, "triples"))
+    # every signature against every target; pairs without a similar cvg triple score 0 and have no row
+    _, _, parts = _signatures(spark, d)
+    return fuzzy.score_all(parts, table(spark, d, "triples"))
 
 
 def hits_fuzzy(spark, d):
-    return score_fuzzy(spark, d).where(scalars.is_scan_hit(F.col("cvg"), F.col("pvg"), F.col("nvg")))
-
-
-def hits_fuzzy_all(spark, d):
-    # every signature against every target; hits_fuzzy is confined to related pairs
     _, _, parts = _signatures(spark, d)
     return fuzzy.score_all(parts, table(spark, d, "triples"), floor=50.0).where(scalars.is_scan_hit(F.col("cvg"), F.col("pvg"), F.col("nvg")))
 
@@ -366,7 +361,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ingest_sessionize, last_write_wins, edge_endpoint_join, tripleize, tripleize_tokens, vector_node_counts, vector_edge_counts_k2, vectorize, path_fields, char_slice,
-        sig_pairs, sig_missing, sig_parts, sig_cvg, sig_pvg, sig_nvg, sig_stats, sig_reject_empty, score_exact, score_file, hits_scan, hits_eval, hit_file, threshold_grid, char_jaccard, score_fuzzy, hits_fuzzy, hits_fuzzy_all,
+        sig_pairs, sig_missing, sig_parts, sig_cvg, sig_pvg, sig_nvg, sig_stats, sig_reject_empty, score_exact, score_file, hits_scan, hits_eval, hit_file, threshold_grid, char_jaccard, score_fuzzy, hits_fuzzy,
         target_semi, target_names, ground_truth_counts, verdicts, eval_slices, unchanged_filter, line_diff, eval_test_modified, asof_before, asof_after, first_productive, diff_parse,
         align_nodes, changed_nodes, induced_edges, context_nodes, expand_1hop, two_hop, components, bfs_tree, subtree_size, nh_index, important_nodes, tale_node_score, path_node_match, edge_pattern_iso, exact_match, tale_match, path_match, aligned_signature,
     )
@@ -415,11 +410,15 @@ _RATES = ", ".join(
     for n, h, w in (("nominal", "tp", "fp"), ("worst", "tp", "fp + unk"), ("best", "tp + unk", "fp"))
     for p, r in [(f"({h})::double / nullif({h} + {w}, 0)", f"({h})::double / nullif({h} + fn, 0)")]
 )
-_FUZZY = f"""{_PT}, pr as (select distinct sig.sig_id, fn_id as target_id from sig join tg on tg.cve = sig.cve and tg.func = sig.func where sig.sig_id in (select sig_id from ok)),
-l as (select pr.sig_id, target_id, part, ap.a, ap.rel, ap.b from pr join ap using (sig_id)),
-m as (select sig_id, target_id, part, a, rel, b, max(s) as best from (select l.sig_id, target_id, part, l.a, l.rel, l.b, (({_jaccard('l.a', 'tr.a')}) + ({_jaccard('l.b', 'tr.b')})) / 2 as s from l join tr on tr.fn_id = target_id and tr.rel = l.rel) l where s > 0.7 group by sig_id, target_id, part, a, rel, b),
-t as (select sig_id, target_id, sum(best) filter (where part = 'cvg') as c, sum(best) filter (where part = 'pvg') as p, sum(best) filter (where part = 'nvg') as n from m group by sig_id, target_id),
-f0 as (select pr.sig_id, target_id, round(100.0::double * coalesce(c, 0) / nc, 9) as cvg, 100.0::double * coalesce(p, 0) / np as p, 100.0::double * coalesce(n, 0) / nn as n from pr join sz using (sig_id) left join t using (sig_id, target_id)),
+# each side of a pair of triples must be above 0.4 for the mean to be above 0.7
+_FUZZY = f"""{_PT}, xs as (select a as x from ap union select b from ap), ys as (select a as y from tr union select b from tr),
+xc as (select x, {_CHARS.format('x')} as cx from xs), yc as (select y, {_CHARS.format('y')} as cy from ys),
+ss as (select * from (select x, y, {_SIM.format('x', 'y', 'cx', 'cy')} as s from xc cross join yc) where s > 0.4),
+lt as (select distinct a, rel, b from ap), rt as (select distinct a, rel, b from tr),
+lm as (select l.a, l.rel, l.b, r.a as ta, r.b as tb, (sa.s + sb.s) / 2 as s from lt l join ss sa on sa.x = l.a join rt r on r.rel = l.rel and r.a = sa.y join ss sb on sb.x = l.b and sb.y = r.b where (sa.s + sb.s) / 2 > 0.7),
+lb as (select fn_id as target_id, lm.a, lm.rel, lm.b, max(s) as best from lm join tr on tr.a = ta and tr.rel = lm.rel and tr.b = tb group by all),
+t as (select sig_id, target_id, sum(best) filter (where part = 'cvg') as c, sum(best) filter (where part = 'pvg') as p, sum(best) filter (where part = 'nvg') as n from ap join lb on lb.a = ap.a and lb.rel = ap.rel and lb.b = ap.b group by sig_id, target_id),
+f0 as (select sig_id, target_id, round(100.0::double * c / nc, 9) as cvg, 100.0::double * coalesce(p, 0) / np as p, 100.0::double * coalesce(n, 0) / nn as n from t join sz using (sig_id) where c > 0),
 fz as (select sig_id, target_id, cvg, case when cvg > 50 then round(p, 9) else 0 end as pvg, case when cvg > 50 then round(n, 9) else 0 end as nvg from f0)"""
 _DIRECTED = f"""with{GRAPH_SQL},{TARGET_SQL},
 oi as (select g1.fn_id, src as node_id, count(*) as d, list(distinct type) as l, list(distinct rel) as r from g1 join gn on gn.fn_id = g1.fn_id and gn.node_id = dst group by all),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,24 +21,35 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a folder of our own."""
+    """A folder of this application below the cluster's ``spark.checkpoint.dir``, deleted when the application ends.
+
+    Only with a local master, where all tasks run on this machine, is a folder of our own taken if that is unset;
+    elsewhere no folder would be shared, so that is an error.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _own:
+        return _own[app]
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="triloom-")
-        _made.append(_own[app])
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return "file://" + _own[app]
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="triloom-")
+        _made.append(folder)
+        sc.setCheckpointDir(folder)
+        named = f"file://{folder}"
+    path = f"{named.rstrip('/')}/triloom/{app}"
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    system.mkdirs(at)
+    system.deleteOnExit(at)  # whatever the file system: when the driver's JVM ends
+    _own[app] = path
+    return path
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    path = f"{shared_dir(spark)}/triloom/{name}-{uuid.uuid4().hex}"
-    if path.startswith("file:"):
-        _made.append(path.removeprefix("file://").removeprefix("file:"))
-    return path
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
