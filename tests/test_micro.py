@@ -274,8 +274,82 @@ def test_commits(spark):
     c = df(spark, "hash string, is_merge boolean, message string", ("a", False, "Fix CVE-2014-12 and CVE-2015-1"), ("b", True, "CVE-2014-1"), ("c", False, "nothing"), ("d", False, "about CVE-20"))
     assert got(history.cve_commits(c), "hash", "cve") == [("a", "CVE-2014-12")]
     assert got(history.not_known(c, df(spark, "hash string", ("a",), ("b",)), ["hash"]), "hash") == [("c",), ("d",)]
-    edges = df(spark, "child string, parent string", ("b", "a"), ("c", "b"), ("d", "a"))
-    assert got(history.descendants(edges, df(spark, "hash string", ("a",), ("b",))), "root", "hash") == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c")]
+
+
+COMMITS = "repo string, hash string, ts long, seq long, parents array<string>, paths array<string>"
+
+
+def below(parents):
+    """For each commit its descendants, by following every link."""
+    kids = {}
+    for c, ps in parents.items():
+        for p in ps:
+            kids.setdefault(p, set()).add(c)
+    out = {}
+    for c in parents:
+        todo, seen = [c], set()
+        while todo:
+            for k in kids.get(todo.pop(), ()):
+                if k not in seen:
+                    seen.add(k)
+                    todo.append(k)
+        out[c] = seen
+    return out
+
+
+def test_descendants_of_a_long_chain(spark):
+    n = 5000
+    rows = [("r", str(i), n - i if i % 2 else i, i, [str(i - 1)] if i else [], []) for i in range(n)]  # times in no order
+    d = history.descendants(df(spark, COMMITS, *rows), df(spark, "repo string, hash string", ("r", "0"), ("r", "4000"), ("r", "9999"), ("s", "0"), (None, "0")))
+    assert {r.root: r.n for r in d.groupBy("root").agg(F.count_distinct("hash").alias("n")).collect()} == {"0": n - 1, "4000": 999} and d.count() == n + 998
+
+
+def test_descendants_and_later_versions_in_merged_histories(spark):
+    r = random.Random(3)
+    for trial in range(3):
+        names = [f"c{i:02d}" for i in range(40)]
+        parents = {c: sorted({r.choice(names[max(0, i - 5) : i]) for _ in range(r.choice([1, 1, 2]))}) if i and r.random() > 0.05 else [] for i, c in enumerate(names)}
+        parents["c07"] = [*parents["c07"], "gone"]
+        ts = {c: (i * 20 + r.randint(-30, 30)) * DAY for i, c in enumerate(names)}
+        paths = {c: r.sample("pq", r.randint(0, 2)) for c in names}
+        commits = df(spark, COMMITS, *[("r", c, ts[c], i, parents[c], paths[c]) for i, c in enumerate(names)], ("r", "c03", ts["c03"], 3, parents["c03"], paths["c03"]))
+        reach = below(parents)
+        got_d = got(history.descendants(commits, df(spark, "repo string, hash string", *[("r", c) for c in names])), "root", "hash")
+        assert got_d == sorted((c, x) for c in names for x in reach[c])
+        order = lambda c: (ts[c], names.index(c))
+        want = []
+        for c in names:
+            for p in paths[c]:
+                new = sorted((x for x in reach[c] if p in paths[x]), key=order)
+                picks = [new[0] if new else None]
+                for days in (30, 180):
+                    if picks[-1] is None:
+                        picks.append(None)
+                        continue
+                    within = [x for x in new if ts[x] <= ts[c] + days * DAY]
+                    rest = sorted((x for x in reach[within[-1]] if p in paths[x]), key=order) if within else [x for x in new if x not in picks]
+                    picks.append(rest[0] if rest else None)
+                want.append((p, c, *picks))
+        roots = df(spark, "repo string, hash string, path string", *[("r", c, p) for c in names for p in paths[c]])
+        text = lambda rows: sorted(map(str, rows))
+        assert text(got_rows(history.versions_along(commits, roots), "path", "hash", "after", "after_1mo", "after_6mo")) == text(want)
+
+
+def got_rows(frame, *cols):
+    return [tuple(x) for x in frame.select(*cols).collect()]
+
+
+def test_mined_commits_and_versions(spark):
+    text = {"a": "fix CVE-2001-1, CVE-2002-2\n" + DIFF, "b": DIFF, "c": "CVE-2003-3", "d": "CVE-2004-4\n" + "diff --git a/x.c b/x.c\n" * 6, "e": "CVE-2005-5\n" + DIFF}
+    lines = df(spark, "repo string, hash string, line_no int, line string", *[("r", h, i, x) for h, t in text.items() for i, x in enumerate(t.split("\n"))])
+    m = history.mined(lines, ["repo", "hash"], df(spark, "repo string, cve string", ("r", "CVE-2005-5")))
+    assert sorted(map(str, got_rows(m, "hash", "n_files", "cve", "reason"))) == sorted(map(str, [("a", 3, "CVE-2001-1", None), ("b", 3, None, "no CVE"), ("c", 0, "CVE-2003-3", "no file"), ("d", 6, "CVE-2004-4", "too many files"), ("e", 3, "CVE-2005-5", "CVE covered already")]))
+    assert got(history.counters(m, ["repo"]), "*") == [("r", 1, 4)]
+    blobs = df(spark, "blob_id string, content string", ("12abff", "old"), ("34cd00", "new"), ("3", "three"), ("99", "x"))
+    v = history.with_versions(history.parse_diffs(lines.where("hash = 'a'"), ["hash"]), blobs, ["hash"])
+    assert got(v, "path", "role", "content") == [("b.cpp", "vuln", "three"), ("libx/gif.c", "patch", "new"), ("libx/gif.c", "vuln", "old")]
+    at = history.versions_at(df(spark, "cve string, commit string, path string, role string", ("C", "k", "p", "after"), ("C", "k", "q", "after")), df(spark, "commit string, path string, content string", ("k", "p", "text")), ["cve"])
+    assert got(at, "*") == [("C", "k", "p", "after", "text")]
 
 
 def greedy(v, p):

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from triloom.session import arrow
+
 MONTH, HALF_YEAR = 2_592_000, 15_552_000  # 30 and 180 days, in seconds
+#: What is taken from the lines of a diff. File name, path with the ``a/`` before it, blob ids, names before a bracket.
+FILE_NAME = r"[a-zA-Z0-9_]*\.c[pp]*"
+FILE_PATH = r"a/[/a-zA-Z0-9_-]*\.c[pp]*"
+BLOB_IDS = r"^index ([a-z0-9]*)\.\.([a-z0-9]*)"
+CALLED = r"([a-zA-Z0-9_]*)\("
+#: Roots that are followed at once through the commits of a repo.
+ROOTS = 4096
 
 
 def cve_commits(commits: DataFrame) -> DataFrame:
@@ -28,29 +40,67 @@ def small_commits(diff_lines: DataFrame, keys: list[str], most: int = 5) -> Data
     return file_counts(diff_lines, keys).where(F.col("n_files").between(1, most))
 
 
+def mined(diff_lines: DataFrame, keys: list[str], done: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """(keys, n_files, cve, reason): every commit with the first CVE id in its text; ``reason`` says why it is skipped, or is null.
+
+    ``done`` (cve and some of the keys) has what earlier runs covered. Commits that change no file or more than ``most``
+    are skipped, as are those that name no CVE.
+    """
+    found = F.regexp_extract("line", r"CVE-[0-9]*-[0-9]*", 0)
+    per = diff_lines.groupBy(*keys).agg(F.count_if(F.col("line").startswith("diff --git")).alias("n_files"), F.min_by(found, F.when(found != "", F.col("line_no"))).alias("cve"))
+    covered = F.lit(False)
+    if done is not None:
+        on = [c for c in done.columns if c == "cve" or c in keys]
+        per = per.join(done.select(*on).distinct().withColumn("_done", F.lit(True)), on, "left")
+        covered = F.coalesce("_done", F.lit(False))
+    reason = F.when(F.col("n_files") == 0, "no file").when(F.col("n_files") > most, "too many files").when(F.col("cve").isNull(), "no CVE").when(covered, "CVE covered already")
+    return per.select(*keys, "n_files", "cve", reason.alias("reason"))
+
+
+def counters(mined_commits: DataFrame, by: list[str]) -> DataFrame:
+    """Commits processed and skipped."""
+    return mined_commits.groupBy(*by).agg(F.count_if(F.col("reason").isNull()).alias("n_processed"), F.count_if(F.col("reason").isNotNull()).alias("n_skipped"))
+
+
 def parse_diffs(diff_lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, segment, file, path, old_id, new_id, funcs): one row for each changed C or C++ file with function names.
 
-    The state of the line-by-line parser (file, blob ids) is filled forward within the segment that a ``diff --git`` line
-    opens: names count only on ``@@`` lines after the blob ids. The last segment needs both ids, others only names.
+    A ``diff --git`` line opens a segment and names its file; a file of another kind has no name and no row. ``index``
+    lines give the blob ids, and ``@@`` lines after both ids the name of the last function before a bracket. Blanks
+    around lines don't count. ``line_no`` may be of any type that has an order.
     """
-    order = Window.partitionBy(*keys).orderBy("line_no")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     line = F.trim("line")
-    head = line.startswith("diff --git")
-    rows = diff_lines.select(*keys, "line_no", line.alias("line"), F.count_if(head).over(upto).alias("segment")).where("segment > 0")
-    in_file = F.col("line").startswith("diff --git")
-    file = F.when(in_file, F.regexp_extract("line", r"[a-zA-Z0-9_]*\.c[p]*", 0))
-    path = F.when(in_file, F.substring(F.regexp_extract("line", r"a/[/a-zA-Z0-9_-]*\.c[p]*", 0), 3, 1 << 20))
-    ids = F.regexp_extract("line", r"^index ([a-z0-9]*)\.\.([a-z0-9]*)", 0)
-    is_index = ids != ""
-    func = F.when(F.col("line").contains("@@"), F.try_element_at(F.regexp_extract_all("line", F.lit(r"([a-zA-Z0-9_]*)\("), 1), F.lit(-1)))
-    seg = Window.partitionBy(*keys, "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.select(*keys, "segment", "line_no", file.alias("file"), path.alias("path"), F.when(is_index, F.regexp_extract("line", r"^index ([a-z0-9]*)\.\.([a-z0-9]*)", 1)).alias("old_id"), F.when(is_index, F.regexp_extract("line", r"^index ([a-z0-9]*)\.\.([a-z0-9]*)", 2)).alias("new_id"), func.alias("func"))
-    seen = F.last("old_id", True).over(seg).isNotNull() & (F.last("old_id", True).over(seg) != "") & (F.last("new_id", True).over(seg) != "")
-    rows = rows.withColumn("func", F.when(seen, F.col("func")))
-    per = rows.groupBy(*keys, "segment").agg(F.max("file").alias("file"), F.max("path").alias("path"), F.max_by("old_id", F.when(F.col("old_id").isNotNull(), F.col("line_no"))).alias("old_id"), F.max_by("new_id", F.when(F.col("new_id").isNotNull(), F.col("line_no"))).alias("new_id"), F.array_sort(F.collect_set(F.nullif("func", F.lit("")))).alias("funcs"))
-    return per.where((F.col("file") != "") & (F.size("funcs") > 0))
+    opens = line.startswith("diff --git")
+    ids = F.when(line.rlike(BLOB_IDS), F.struct(F.regexp_extract(line, BLOB_IDS, 1).alias("old"), F.regexp_extract(line, BLOB_IDS, 2).alias("new")))
+    names = F.when(line.contains("@@"), F.try_element_at(F.regexp_extract_all(line, F.lit(CALLED), F.lit(1)), F.lit(-1)))
+    # lines that say nothing don't reach the windows
+    said = diff_lines.select(*keys, "line_no", F.when(opens, line).alias("head"), F.when(~opens, ids).alias("ids"), F.when(~opens, names).alias("func"))
+    said = said.where("head is not null or ids is not null or func <> ''")
+    upto = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    said = said.withColumn("segment", F.count("head").over(upto)).where("segment > 0")
+    within = Window.partitionBy(*keys, "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    said = said.withColumn("at", F.last("ids", ignorenulls=True).over(within))
+    known = (F.col("at.old") != "") & (F.col("at.new") != "")
+    per = said.groupBy(*keys, "segment").agg(F.max("head").alias("head"), F.max_by("at", "line_no").alias("at"), F.array_sort(F.collect_set(F.when(known, F.col("func")))).alias("funcs"))
+    out = per.select(*keys, "segment", F.regexp_extract("head", FILE_NAME, 0).alias("file"), F.substring(F.regexp_extract("head", FILE_PATH, 0), 3, 1 << 20).alias("path"), F.col("at.old").alias("old_id"), F.col("at.new").alias("new_id"), F.filter("funcs", lambda x: x != "").alias("funcs"))
+    return out.where((F.col("file") != "") & (F.size("funcs") > 0))
+
+
+def with_versions(changed: DataFrame, blobs: DataFrame, keys: list[str]) -> DataFrame:
+    """Both versions of changed files by blob id: (keys, file, path, role, content). ``changed`` as :func:`parse_diffs` gives it, ``blobs``: blob_id, content.
+
+    Diffs shorten ids, so a blob is found by the part that is given; of several the smallest id counts.
+    """
+    ends = F.array(F.struct(F.lit("vuln").alias("role"), F.col("old_id").alias("short")), F.struct(F.lit("patch").alias("role"), F.col("new_id").alias("short")))
+    wanted = changed.select(*keys, "file", "path", F.inline(ends)).withColumn("n", F.length("short"))
+    lengths = wanted.select("n").distinct()  # a handful
+    cut_to = blobs.join(F.broadcast(lengths), F.length("blob_id") >= F.col("n")).groupBy(F.substring("blob_id", F.lit(1), F.col("n")).alias("short")).agg(F.min("blob_id").alias("blob_id"))
+    return wanted.join(cut_to, "short").join(blobs.select("blob_id", "content"), "blob_id").select(*keys, "file", "path", "role", "content")
+
+
+def versions_at(wanted: DataFrame, tree: DataFrame, keys: list[str]) -> DataFrame:
+    """Contents of (commit, path): ``wanted`` has keys, commit, path, role; ``tree`` has commit, path, content."""
+    return wanted.join(tree.select("commit", "path", "content"), ["commit", "path"]).select(*keys, "commit", "path", "role", "content")
 
 
 def first_productive(commits: DataFrame, group: list[str], order: list[str]) -> DataFrame:
@@ -115,9 +165,124 @@ def versions_after(commits: DataFrame, path: str = "path", ts: str = "ts", seq:
     return rows.select(path, ts, seq, "after_seq", "after_1mo_seq", "after_6mo_seq")
 
 
-def descendants(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(root, hash) of all commits reachable from each root over parent edges (child, parent); a recursive query."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_commit_edges")
-    start.createOrReplaceTempView("_commit_roots")
-    return spark.sql("with recursive r(root, hash) as (select hash, hash from _commit_roots union all select r.root, e.child from r join _commit_edges e on e.parent = r.hash) select distinct root, hash from r where root <> hash")
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by slot, roots before commits, commits by time. Of each commit the set of roots above it is kept, as bits.
+
+    A commit whose parents come later waits for them, so any order is right. What is held for a commit that adds no root
+    to what its parent has is a reference.
+    """
+    out: list[tuple] = []
+    slot, roots, bit_of, in_path, masks, waiting, absent = None, [], {}, {}, {}, {}, {}
+
+    def emit() -> Iterator[pa.RecordBatch]:
+        if out:
+            cols = list(zip(*out))
+            out.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["repo", "root", "path", "hash", "ts", "seq"])
+
+    def settle(row: tuple) -> None:
+        todo = [row]
+        while todo:
+            repo, name, paths, ts, seq, parents = todo.pop()
+            mask = 0
+            for p in parents:
+                above = masks.get(p, 0)
+                mask = above if not mask else mask if above == mask else mask | above
+            for path in paths if mask else ():
+                left = mask & in_path.get(path, 0)
+                while left:
+                    low = left & -left
+                    out.append((repo, roots[low.bit_length() - 1], path, name, ts, seq))
+                    left ^= low
+            own = bit_of.get(name, 0)
+            masks[name] = mask | own if own else mask
+            for other in waiting.pop(name, ()):
+                absent[other[1]].discard(name)
+                if not absent[other[1]]:
+                    del absent[other[1]]
+                    todo.append(other)
+
+    def rest() -> None:
+        """Commits that wait for what isn't there: such parents have no root above them."""
+        while waiting:
+            for p in [p for p in waiting if p not in absent] or list(waiting)[:1]:
+                settle(("", p, (), None, None, ()))
+
+    for batch in batches:
+        for at, kind, repo, name, paths, ts, seq, parents in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            if at != slot:
+                rest()
+                slot, roots, bit_of, in_path, masks, waiting, absent = at, [], {}, {}, {}, {}, {}
+            if not kind:
+                bit = 1 << len(roots)
+                roots.append(name)
+                bit_of[name] = bit_of.get(name, 0) | bit
+                for p in paths:
+                    in_path[p] = in_path.get(p, 0) | bit
+                continue
+            row = (repo, name, paths, ts, seq, parents)
+            missing = {p for p in parents if p not in masks}
+            if missing:
+                absent[name] = missing
+                for p in missing:
+                    waiting.setdefault(p, []).append(row)
+            else:
+                settle(row)
+            if len(out) > 20_000:
+                yield from emit()
+    rest()
+    yield from emit()
+
+
+def following(commits: DataFrame, roots: DataFrame) -> DataFrame:
+    """(repo, root, path, hash, ts, seq): commits of a root's path among the root's descendants.
+
+    ``commits``: repo, hash, ts, seq, parents (array), paths (array); ``roots``: repo, hash, path. Ids are strings. A repo's commits
+    pass through a task as a stream, once for every ROOTS of its roots; merges, chains of any length and parents that
+    aren't there are no special cases. Rows with a null repo or hash are left out, repeated ones count once.
+    """
+    wanted = roots.select("repo", "hash", "path").dropna().distinct()
+    blocks = wanted.groupBy("repo").agg(F.ceil(F.count("*") / ROOTS).cast("int").alias("n"))
+    first = wanted.join(blocks, "repo").select(F.struct("repo", F.pmod(F.xxhash64("hash", "path"), "n").cast("int").alias("block")).alias("slot"), F.lit(False).alias("kind"), "repo", "hash", F.array("path").alias("paths"), F.lit(None).cast("long").alias("ts"), F.lit(None).cast("long").alias("seq"), F.array().cast("array<string>").alias("parents"))
+    own = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    rows = commits.where("repo is not null and hash is not null").groupBy("repo", "hash").agg(F.min("ts").alias("ts"), F.min("seq").alias("seq"), F.min(own("parents")).alias("parents"), F.array_distinct(F.flatten(F.collect_list(own("paths")))).alias("paths"))
+    rows = rows.join(blocks, "repo").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    rows = rows.select(F.struct("repo", "block").alias("slot"), F.lit(True).alias("kind"), "repo", "hash", "paths", F.col("ts").cast("long"), F.col("seq").cast("long"), "parents")
+    both = first.unionByName(rows).repartition("slot").sortWithinPartitions("slot", "kind", "ts", "seq")
+    return both.transform(arrow, _followed, "repo string, root string, path string, hash string, ts long, seq long")
+
+
+def descendants(commits: DataFrame, roots: DataFrame) -> DataFrame:
+    """(repo, root, hash) of all commits reachable from each root over parent links. ``commits``: repo, hash, ts, seq, parents; ``roots``: repo, hash."""
+    every = F.array(F.lit("")).cast("array<string>")
+    return following(commits.withColumn("paths", every), roots.select("repo", "hash", F.lit("").alias("path"))).select("repo", "root", "hash")
+
+
+def versions_along(commits: DataFrame, roots: DataFrame) -> DataFrame:
+    """(repo, path, hash, after, after_1mo, after_6mo) for each root: later versions of its path along the ancestry, so only among its descendants.
+
+    ``after`` is the oldest. The one after a month is the oldest descendant of the newest version within 30 days, or, where none is
+    within them, the oldest not taken yet; the same for 180 days. Each is looked for only if the one before was found, and
+    the one after half a year may be that after a month. Input as for :func:`following`.
+    """
+    found = following(commits, roots)
+    at = F.struct("ts", "seq", "hash")
+    time = commits.where("repo is not null and hash is not null").groupBy("repo", F.col("hash").alias("root")).agg(F.min("ts").cast("long").alias("t0"))
+    near = found.join(time, ["repo", "root"])
+    within = lambda gap: F.max(F.when(F.col("ts") <= F.col("t0") + gap, at))
+    # the three oldest are all that can be taken where nothing is within the time
+    low = F.array_sort(F.slice(F.array_sort(F.collect_list(at)), 1, 3))
+    few = near.withColumn("r", F.row_number().over(Window.partitionBy("repo", "root", "path").orderBy("ts", "seq", "hash"))).where("r <= 3")
+    old = few.groupBy("repo", "root", "path").agg(low.alias("old"))
+    per = near.groupBy("repo", "root", "path").agg(within(MONTH)["hash"].alias("m"), within(HALF_YEAR)["hash"].alias("h"))
+    turns = per.select("repo", "path", F.explode(F.array("m", "h")).alias("hash")).dropna().distinct()
+    after = following(commits, turns).groupBy("repo", F.col("root").alias("turn"), "path").agg(F.min_by("hash", F.struct("ts", "seq", "hash")).alias("next"))
+    rows = roots.select("repo", "path", "hash").dropna().distinct().join(per.withColumnRenamed("root", "hash"), ["repo", "path", "hash"], "left").join(old.withColumnRenamed("root", "hash"), ["repo", "path", "hash"], "left")
+    for c in ("m", "h"):
+        rows = rows.join(after.select("repo", "path", F.col("turn").alias(c), F.col("next").alias(f"{c}_next")), ["repo", "path", c], "left")
+    names = F.coalesce(F.transform("old", lambda x: x["hash"]), F.array().cast("array<string>"))
+    first = lambda *taken: F.try_element_at(F.filter(names, lambda x: ~F.coalesce(F.array_contains(F.array(*taken), x), F.lit(False))), F.lit(1))
+    rows = rows.withColumn("after", F.try_element_at(names, F.lit(1)))
+    rows = rows.withColumn("after_1mo", F.when(F.col("after").isNotNull(), F.when(F.col("m").isNull(), first("after")).otherwise(F.col("m_next"))))
+    rows = rows.withColumn("after_6mo", F.when(F.col("after_1mo").isNotNull(), F.when(F.col("h").isNull(), first("after", "after_1mo")).otherwise(F.col("h_next"))))
+    return rows.select("repo", "path", "hash", "after", "after_1mo", "after_6mo")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from triloom.functions import scalars
@@ -246,9 +247,38 @@ def first_productive(spark, d):
     return history.first_productive(rows.join(files, "seq"), ["repo", "cve"], ["seq"])
 
 
+def _diffs(spark, d):
+    """Diff text of each commit (repo, hsh): every mined version of it as one changed file, with a hunk for each line that may open a function."""
+    src = table(spark, d, "vuln_patch_src_db").where("repo is not null and hsh is not null and content is not null")
+    at = F.coalesce("path", "curr_file", F.lit(""))
+    body = F.transform(F.split("content", "\r\n|\n|\r"), lambda x, i: F.when(x.rlike(r"^[A-Za-z_].*\("), F.concat(F.lit("@@ -"), i.cast("string"), F.lit(" @@ "), x)).otherwise(F.concat(F.lit("+"), x)))
+    head = F.array(F.concat(F.lit("    fix "), F.coalesce("cve", F.lit("it"))), F.concat(F.lit("diff --git a/"), at, F.lit(" b/"), at), F.concat(F.lit("index "), F.substring(F.sha2(at, 256), 1, 7), F.lit(".."), F.substring(F.sha2("content", 256), 1, 7), F.lit(" 100644")))
+    lines = src.select("repo", "hsh", "src_id", F.posexplode(F.concat(head, body)).alias("pos", "line"))
+    return lines.select("repo", "hsh", F.struct("src_id", "pos").alias("line_no"), "line")
+
+
 def diff_parse(spark, d):
-    lines = table(spark, d, "vuln_patch_src_db").where("content is not null").select("src_id", F.posexplode(F.split("content", "\r\n|\n|\r")).alias("line_no", "line"))
-    return history.file_counts(lines, ["src_id"]).where("n_files > 0")
+    lines = _diffs(spark, d)
+    kept = history.small_commits(lines, ["repo", "hsh"]).select("repo", "hsh")
+    return history.parse_diffs(lines, ["repo", "hsh"]).join(kept, ["repo", "hsh"], "left_semi").withColumn("funcs", F.array_join("funcs", ","))
+
+
+def mined_commits(spark, d):
+    return history.mined(_diffs(spark, d), ["repo", "hsh"])
+
+
+def mine_counters(spark, d):
+    return history.counters(mined_commits(spark, d), ["repo"])
+
+
+def after_ancestry(spark, d):
+    # orders are commits of five repos, in order of time; some start from the last but one, some merge two lines
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderpriority").alias("repo"), F.col("o_orderkey").alias("seq"), F.unix_timestamp("o_orderdate").alias("ts"), F.col("c_nationkey").cast("string").alias("path"), "o_orderstatus")
+    w = Window.partitionBy("repo").orderBy("ts", "seq")
+    back = lambda k: F.lag(F.col("seq").cast("string"), k).over(w)
+    parents = F.array_compact(F.array(F.when(F.col("seq") % 5 == 0, back(2)).otherwise(back(1)), F.when(F.col("seq") % 11 == 0, back(3))))
+    commits = cut(o.select("repo", "seq", F.col("seq").cast("string").alias("hash"), "ts", "path", F.array("path").alias("paths"), parents.alias("parents"), "o_orderstatus"), "commits")
+    return history.versions_along(commits, commits.where("o_orderstatus = 'P'"))
 
 
 # --- graphs
@@ -362,7 +392,7 @@ QUERIES = {
     for f in (
         ingest_sessionize, last_write_wins, edge_endpoint_join, tripleize, tripleize_tokens, vector_node_counts, vector_edge_counts_k2, vectorize, path_fields, char_slice,
         sig_pairs, sig_missing, sig_parts, sig_cvg, sig_pvg, sig_nvg, sig_stats, sig_reject_empty, score_exact, score_file, hits_scan, hits_eval, hit_file, threshold_grid, char_jaccard, score_fuzzy, hits_fuzzy,
-        target_semi, target_names, ground_truth_counts, verdicts, eval_slices, unchanged_filter, line_diff, eval_test_modified, asof_before, asof_after, first_productive, diff_parse,
+        target_semi, target_names, ground_truth_counts, verdicts, eval_slices, unchanged_filter, line_diff, eval_test_modified, asof_before, asof_after, after_ancestry, first_productive, diff_parse, mined_commits, mine_counters,
         align_nodes, changed_nodes, induced_edges, context_nodes, expand_1hop, two_hop, components, bfs_tree, subtree_size, nh_index, important_nodes, tale_node_score, path_node_match, edge_pattern_iso, exact_match, tale_match, path_match, aligned_signature,
     )
 }
@@ -399,6 +429,20 @@ lab as (select g1.fn_id, src as node_id, list_sort(list(distinct type)) as label
 lnk as (select x.fn_id, x.src as node_id, count(*) as n from g1 x join g1 y on y.fn_id = x.fn_id and y.src = x.dst join g1 z on z.fn_id = x.fn_id and z.src = x.src and z.dst = y.dst group by all),
 ix as (select gn.fn_id, gn.node_id, type as label, coalesce(degree, 0) as degree, coalesce(labels, []) as labels, coalesce(n, 0) // 2 as links from gn left join dgr using (fn_id, node_id) left join lab using (fn_id, node_id) left join lnk using (fn_id, node_id))"""
 _COMMITS = "with c as (select o_custkey as path, epoch(o_orderdate)::bigint as ts, o_orderkey as seq from orders)"
+_DIFFS = r"""with s as (select repo, hsh, src_id, content, regexp_extract(cve, 'CVE-[0-9]*-[0-9]*') as c, coalesce(path, curr_file, '') as p from vuln_patch_src_db where repo is not null and hsh is not null and content is not null),
+h as (select repo, hsh, src_id, nullif(c, '') as cve, 'diff --git a/' || p || ' b/' || p as head, substr(sha256(p), 1, 7) as old_id, substr(sha256(content), 1, 7) as new_id, row_number() over (partition by repo, hsh order by src_id) as k, count(*) over (partition by repo, hsh) as all_files from s),
+l as (select repo, hsh, src_id, case when regexp_matches(x, '^[A-Za-z_].*\(') then '@@ ' || x else '+' || x end as line from (select repo, hsh, src_id, unnest(string_split_regex(content, '\r\n|\n|\r')) as x from s))"""
+_ANCESTRY = """with recursive c as (select o_orderpriority as repo, o_orderkey as hash, epoch(o_orderdate)::bigint as ts, c_nationkey as path, o_orderstatus as st from orders join customer on c_custkey = o_custkey),
+k as (select repo, hash, lag(hash) over w as p1, lag(hash, 2) over w as p2, lag(hash, 3) over w as p3 from c window w as (partition by repo order by ts, hash)),
+e as (select hash as child, case when hash % 5 = 0 then p2 else p1 end as parent from k union select hash, p3 from k where hash % 11 = 0),
+r1 as (select hash as root, hash from c where st = 'P' union select root, child from r1 join e on parent = hash),
+d1 as (select x.hash as root, x.ts as t0, y.ts, y.hash from r1 join c x on x.hash = root join c y on y.hash = r1.hash where y.path = x.path and y.hash <> x.hash),
+a1 as (select root, arg_min(hash, (ts, hash)) as a, arg_max(hash, (ts, hash)) filter (where ts <= t0 + 2592000) as m, arg_max(hash, (ts, hash)) filter (where ts <= t0 + 15552000) as h from d1 group by root),
+r2 as (select m as root, m as hash from a1 where m is not null union select h, h from a1 where h is not null union select root, child from r2 join e on parent = hash),
+n2 as (select root, arg_min(y.hash, (y.ts, y.hash)) as nx from r2 join c x on x.hash = root join c y on y.hash = r2.hash where y.path = x.path and y.hash <> x.hash group by root),
+b1 as (select a1.root, a, h, case when m is null then (select arg_min(hash, (ts, hash)) from d1 where d1.root = a1.root and hash <> a) else (select nx from n2 where n2.root = m) end as b from a1),
+c1 as (select root, a, b, case when b is null then null when h is null then (select arg_min(hash, (ts, hash)) from d1 where d1.root = b1.root and hash not in (a, b)) else (select nx from n2 where n2.root = h) end as s from b1)
+select c.repo, c.path::varchar as path, c.hash::varchar as hash, a::varchar as after, b::varchar as after_1mo, s::varchar as after_6mo from c left join c1 on root = c.hash where st = 'P'"""
 _VERDICT = f"{_SC},{LABEL_SQL},{VERDICT_SQL}"
 _MOD = """,
 m0 as (select *, case when role in ('vuln', 'before') then 'v' else 'p' end as kind from tg where code is not null),
@@ -472,7 +516,10 @@ select q_fn, t_fn, count(*) as n_pairs, round(sum(score), 6) as total from x whe
     "components": "with recursive " + TARGET_SQL.lstrip() + """, e as (select fn_id as a, 'c:' || repo || '/' || cve as b from tg where cve is not null union select fn_id, 'h:' || hsh from tg), u as (select a, b from e union select b, a from e),
 r as (select distinct a as node, a as seen from u union select r.node, u.b from r join u on u.a = r.seen) select node, min(seen) as component from r group by node""",
     "first_productive": "select seq, repo, cve, n_files from (select *, row_number() over (partition by repo, cve order by seq) as r from (select o_orderkey as seq, o_orderpriority as repo, o_custkey as cve, count(*) as n_files from orders join lineitem on l_orderkey = o_orderkey group by all having count(*) between 1 and 5)) where r = 1",
-    "diff_parse": r"select src_id, len(list_filter(string_split_regex(content, '\r\n|\n|\r'), lambda x: starts_with(x, 'diff --git'))) as n_files from vuln_patch_src_db where content is not null and len(list_filter(string_split_regex(content, '\r\n|\n|\r'), lambda x: starts_with(x, 'diff --git'))) > 0",
+    "diff_parse": _DIFFS + ", f as (select *, regexp_extract(head, '[a-zA-Z0-9_]*\\.c[pp]*') as file, substr(regexp_extract(head, 'a/[/a-zA-Z0-9_-]*\\.c[pp]*'), 3) as path from h), n as (select repo, hsh, src_id, list_sort(list(distinct name)) as names from (select *, regexp_extract_all(line, '([a-zA-Z0-9_]*)\\(', 1)[-1] as name from l where contains(line, '@@')) where name <> '' group by all) select repo, hsh, k as segment, file, path, old_id, new_id, array_to_string(names, ',') as funcs from f join n using (repo, hsh, src_id) where file <> '' and all_files between 1 and 5",
+    "mined_commits": _DIFFS + " select repo, hsh, count(*) as n_files, arg_min(cve, src_id) as cve, case when count(*) > 5 then 'too many files' when count(cve) = 0 then 'no CVE' end as reason from h group by all",
+    "mine_counters": _DIFFS + ", c as (select repo, hsh, count(*) <= 5 and count(cve) > 0 as ok from h group by all) select repo, count(*) filter (where ok) as n_processed, count(*) filter (where not ok) as n_skipped from c group by all",
+    "after_ancestry": _ANCESTRY,
     "align_nodes": _ALIGN + "select sig_id, v_node, p_node from mp",
     "changed_nodes": _ALIGN + "select sig_id, side, node_id from ch",
     "induced_edges": _ALIGN + "select a.sig_id, a.side, src, dst, min(rel) as rel from ge join ch a on a.fn_id = ge.fn_id and a.node_id = src join ch b on b.fn_id = ge.fn_id and b.node_id = dst and b.sig_id = a.sig_id and b.side = a.side group by all",
