@@ -106,10 +106,35 @@ def test_nothing_is_published_if_rows_are_missing(spark, monkeypatch):
         compact(made(spark, [(1, "a", "f", 1, "x"), (2, "b", "f", 1, "x")]))
 
 
+def test_nothing_is_published_if_files_are_not_what_was_written(spark, monkeypatch):
+    from triloom.operators import compact as module
+
+    real = module._files
+    monkeypatch.setattr(module, "_files", lambda *args: real(*args).withColumn("body", F.regexp_replace("body", "q", "r")))
+    with pytest.raises(RuntimeError, match="files differ"):
+        compact(made(spark, [(1, "a", "f", 1, "x"), (2, "b", "f", 1, "q")]))
+
+
+def test_many_repeated_records_take_the_other_way(spark, monkeypatch):
+    from triloom.operators import compact as module
+
+    df = spark.range(400).select(F.col("id").alias("file_no"), F.concat(F.lit("p"), F.col("id") % 150).alias("path"), F.lit("f").alias("func"), F.lit(1).cast("long").alias("n_bytes"), F.lit("x").alias("body"))
+    assert nos(left_out(df, compact(df))) == list(range(150, 400))
+    monkeypatch.setattr(module, "MOST_REPEATED", 3)
+    assert nos(left_out(df, compact(df))) == list(range(150, 400))
+
+
 def test_real_files_and_a_published_folder(spark, tmp_path):
     from triloom.sources.readers import tiny_files
 
-    (tmp_path / "in" / "x").mkdir(parents=True)
+    (tmp_path / "in" / "x" / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "in" / "empty").mkdir()
+    (tmp_path / "in" / "x" / "none.vec").write_text("")
+    (tmp_path / "in" / "x" / "deep" / "er" / "b.txt").write_bytes(b"\xff\xfe\x00z")
+    assert [(r.path.rsplit("/", 1)[1], r.func, r.n_bytes) for r in tiny_files(spark, f"file://{tmp_path}/in", "*.t?t").collect()] == [("b.txt", "b", 4)]
+    kept = compact(tiny_files(spark, str(tmp_path / "in"))).read()
+    assert kept.select(F.hex(F.col("body").cast("binary"))).first()[0] == "FFFE007A"
+    (tmp_path / "in" / "x" / "deep" / "er" / "b.txt").unlink()
     for i in range(1, 41):
         (tmp_path / "in" / "x" / f"f{i}.vec").write_text("1," * i)
     out = f"file://{tmp_path}/out"

@@ -1,11 +1,12 @@
 """Consolidation of tiny files: every distinct record once, in a few balanced large files.
 
 Shape of the job: the identity of each record is reduced to a digest, the lowest number of each digest is found with
-a map-side combine (so a record that makes up a third of all rows costs one partial row per task), and only the
-winners are shuffled in full, once, into shards. A shard's task reads its winners longest first and gives each to the
-least loaded of its output groups with a heap; every group is one open pyarrow writer, so memory is bounded by the
-writers' row groups, whatever the shard holds. Attempts write files of their own; only the files in the manifest of
-the attempt that succeeded are part of the result.
+a map-side combine (so a record that makes up a third of all rows costs one partial row per task), rows that lose to a
+smaller number are dropped where they are read, and the others are shuffled in full, once, into shards. A shard's task
+reads its rows longest first and gives each to the least loaded of its output groups with a heap; every group is one open
+pyarrow writer, so memory is bounded by the writers' row groups, whatever the shard holds. Attempts write files of their
+own; only the files in the manifest are part of the result. The manifest is published after the written files were read
+again and their rows, bytes and record digests found to be those of the input.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from triloom.session import arrow, col, cut, fresh, scratch
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 LAST = (1 << 63) - 1
+#: Records stored more than once (40 bytes each) up to which they are broadcast, so that their copies are dropped without a shuffle.
+MOST_REPEATED = 500_000
 
 
 def trimmed(c: Column) -> Column:
@@ -64,25 +67,40 @@ class Packed:
 
     @property
     def manifest(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/manifest")
+        return self.spark.read.parquet(f"{self.path}/{published(self.spark, self.path)}")
 
     def read(self) -> DataFrame:
-        files = self.manifest.select(F.col("file").alias("_of"))
-        data = self.spark.read.parquet(f"{self.path}/data").select("*", F.col("_metadata.file_name").alias("_in"))
-        return data.join(files, F.col("_in") == F.col("_of"), "left_semi").drop("_in")
+        return _files(self.spark, self.path, self.manifest).drop("_in")
 
 
-def _publish(spark: SparkSession, old: str, new: str) -> None:
-    """One rename, which either happens or doesn't."""
-    jvm = spark.sparkContext._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
-    if not a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(a, b):
-        raise OSError(f"{new} can't be published")
+def _files(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
+    """The rows of the files that a manifest lists, and the file's name as ``_in``."""
+    listed = manifest.select(F.col("file").alias("_of"))
+    return spark.read.parquet(f"{out}/data").select("*", F.col("_metadata.file_name").alias("_in")).join(listed, F.col("_in") == F.col("_of"), "left_semi")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _publish(spark: SparkSession, out: str, name: str) -> None:
+    """One small file that names the manifest, created only if there is none. It counts only when its last byte, the line's
+    end, is there, and object stores show a file only when it is whole, so no rename is needed."""
+    at, system = _system(spark, f"{out}/PUBLISHED")
+    stream = system.create(at, False)
+    stream.write(bytearray(f"{name}\n".encode()))
+    stream.close()
+
+
+def published(spark: SparkSession, out: str) -> str | None:
+    """The name of the manifest in ``out``, or None if nothing is published."""
+    at, system = _system(spark, f"{out}/PUBLISHED")
+    if not system.exists(at):
+        return None
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream := system.open(at), "UTF-8")
+    stream.close()
+    return text[:-1] if text.endswith("\n") else None
 
 
 def compact(df: DataFrame, number: str = "file_no", path: str = "path", func: str = "func", body: str = "body", out: str | None = None, target_bytes: int = 256 << 20, groups: int = 4) -> Packed:
@@ -91,32 +109,46 @@ def compact(df: DataFrame, number: str = "file_no", path: str = "path", func: st
     Two rows are the same record if their paths resolve to the same location, their names are equal but for white space
     at the ends, and their bodies are equal; null equals only null. Of equal rows the one with the smallest number stays
     (one without a number only where none has one). All columns of ``df`` are kept. An empty table gives an empty
-    manifest. ``out`` may hold what a failed run left, but no published manifest. ``target_bytes`` is the wanted size of a group before compression, ``groups`` the fixed number of output
-    groups of each shard; the number of shards follows from the total size.
+    manifest. ``out`` may hold what a failed run left, but no published manifest. ``target_bytes`` is the wanted size of a
+    group before compression, ``groups`` the fixed number of output groups of each shard; the number of shards follows
+    from the total size.
     """
     spark = df.sparkSession
     out = out or scratch(spark, "packed")
-    if _exists(spark, f"{out}/manifest"):
+    if published(spark, out):
         raise FileExistsError(f"{out} holds a published consolidation")
-    key, no, size = fresh(df, "key", "no", "size")
-    keyed = df.withColumns({key: identity(col(df, path), col(df, func), col(df, body)), no: F.coalesce(col(df, number).cast("long"), F.lit(LAST)), size: F.coalesce(F.octet_length(col(df, body)), F.lit(0)).cast("long")})
-    winners = cut(keyed.groupBy(key).agg(F.min(no).alias(no), F.max(size).alias(size)), "winners")
-    rows, total, marks = winners.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64(key)), F.lit(0))).first()
+    key, no, size, least = fresh(df, "key", "no", "size", "least")
+    keys = lambda x: identity(col(x, path), col(x, func), col(x, body))
+    length = lambda x: F.coalesce(F.octet_length(col(x, body)), F.lit(0)).cast("long")
+    keyed = df.withColumns({key: keys(df), no: F.coalesce(col(df, number).cast("long"), F.lit(LAST)), size: length(df)})
+    winners = cut(keyed.groupBy(key).agg(F.min(no).alias(no), F.max(size).alias(size), F.count("*").alias("_n")), "winners")
+    rows, total, marks, repeated = winners.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64(key)), F.lit(0)), F.count_if(F.col("_n") > 1)).first()
     shards = max(1, -(-total // (target_bytes * groups)), -(-rows // 5_000_000))
-    # both sides are laid out alike, so the join needs no further exchange, and its output is already sharded
+    if repeated <= MOST_REPEATED:
+        # only rows of repeated records can lose, and what those lose to fits in every task
+        first = winners.where("_n > 1").select(key, F.col(no).alias(least))
+        keyed = keyed.join(F.broadcast(first), key, "left").where(F.col(least).isNull() | (F.col(no) == F.col(least))).drop(least)
+        kept = keyed.repartition(shards, key, no)
+    else:
+        # both sides are laid out alike, so the join needs no further exchange, and its output is already sharded
+        kept = keyed.repartition(shards, key, no).join(winners.select(key, no).repartition(shards, key, no), [key, no], "left_semi")
     names = df.columns
-    kept = keyed.repartition(shards, key, no).join(winners.select(key, no).repartition(shards, key, no), [key, no], "left_semi")
     kept = kept.sortWithinPartitions(F.desc(size), key, no).select(*[col(df, c) for c in names], key, size, no)
     plain = [f"c{i}" for i in range(len(names))]  # mapInArrow can't take names with dots
     written = kept.toDF(*plain, key, size, no).transform(arrow, _packer(f"{out}/data", groups, names, key, size, no), "file string, shard long, grp int, n_rows long, n_bytes long, longest long, marks long")
-    written.write.mode("overwrite").parquet(f"{out}/_staged")  # a run that failed may have left one
-    staged = spark.read.parquet(f"{out}/_staged")
-    got = staged.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.coalesce(F.bit_xor("marks"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-    if tuple(got) != (rows, marks, total):
-        raise RuntimeError(f"packed {tuple(got)} rows, marks and bytes instead of {(rows, marks, total)}; nothing was published")
+    manifest = f"_manifest-{uuid.uuid4().hex}"
+    written.write.parquet(f"{out}/{manifest}")
+    staged = spark.read.parquet(f"{out}/{manifest}")
     if not rows:
-        df.limit(0).write.parquet(f"{out}/data")
-    _publish(spark, f"{out}/_staged", f"{out}/manifest")
+        df.limit(0).write.mode("append").parquet(f"{out}/data")
+    # what was written is read again, file by file
+    back = _files(spark, out, staged)
+    each = back.groupBy("_in").agg(F.count("*").alias("rows"), F.sum(length(back)).alias("bytes"), F.bit_xor(F.xxhash64(keys(back))).alias("seen"))
+    both = staged.join(each, F.col("file") == F.col("_in"), "left").select("*", (F.col("n_rows").eqNullSafe(F.col("rows")) & F.col("n_bytes").eqNullSafe(F.col("bytes")) & F.col("marks").eqNullSafe(F.col("seen"))).alias("same"))
+    *got, good = both.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.coalesce(F.bit_xor("marks"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.bool_and("same"), F.lit(True))).first()
+    if tuple(got) != (rows, marks, total) or not good:
+        raise RuntimeError(f"packed {tuple(got)} rows, marks and bytes instead of {(rows, marks, total)}{'' if good else ', and files differ from what was written'}; nothing was published")
+    _publish(spark, out, manifest)
     return Packed(spark, out, names)
 
 
@@ -175,10 +207,6 @@ def _packer(folder: str, groups: int, names: list[str], key: str, size: str, no:
         for w in writers.values():
             w.close()
         out = [(f"part-{shard:05d}-{g}-{attempt}.parquet", shard, g, *stats[g]) for g in sorted(writers)]
-        for f, *_ in out:  # what was written must be readable, and whole
-            g = int(f.split("-")[2])
-            if pq.ParquetFile(f"{base}/{f}", filesystem=system).metadata.num_rows != stats[g][0]:
-                raise OSError(f"{f} isn't whole")
         types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         cols = list(zip(*out)) or [[] for _ in types]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["file", "shard", "grp", "n_rows", "n_bytes", "longest", "marks"])

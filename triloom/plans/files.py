@@ -19,7 +19,8 @@ def p1_packed(spark, d):
 
 
 def p1_manifest(spark, d):
-    return compact.compact(table(spark, d, "graph_files")).manifest.drop("file")
+    # how rows are spread over files depends on sizes and settings; the totals don't
+    return compact.compact(table(spark, d, "graph_files")).manifest.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"), F.max("longest").alias("longest"))
 
 
 def p6_found(spark, d):
@@ -59,6 +60,7 @@ v as (select line_id, nodes_path, coalesce(six and regexp_full_match(c[2], '[0-9
 SQL = {
     "p1_found": _KEYS + " select file_no from k join m on k.p = m.p and k.f is not distinct from m.f and k.body = m.body where file_no > keep",
     "p1_packed": _KEYS + " select file_no, path, func, n_bytes, k.body from k join m on k.p = m.p and k.f is not distinct from m.f and k.body = m.body where file_no = keep",
+    "p1_manifest": _KEYS + " select count(*) as n_rows, sum(coalesce(strlen(k.body), 0))::bigint as n_bytes, max(coalesce(strlen(k.body), 0)) as longest from k join m on k.p = m.p and k.f is not distinct from m.f and k.body = m.body where file_no = keep",
     "p6_nodes": LINES_SQL + "select u.line_id, u.nodes_path, n.line_no, c[1] as command, try_cast(c[2] as bigint) as node_key, c[3] as type, c[4] as code, c[5] as location, try_cast(nullif(c[6], '') as bigint) as function_id from u join v on v.line_id = u.line_id join node_lines n on n.line_id = u.line_id where ok",
     "p6_found": LINES_SQL + "select line_id from v where not ok",
     "p6_summary": LINES_SQL + "select nodes_path, count(*) as n_lines, count(*) filter (where not ok) as n_rejected from v group by nodes_path",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triloom.functions.scalars import graph_key
 from triloom.operators.rejects import check_node_lines
+from triloom.session import arrow, cut
 
 
 def lines(spark: SparkSession, path: str, name: str = "*") -> DataFrame:
@@ -47,14 +50,74 @@ def blobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path"), F.decode("content", "UTF-8").alias("content"), "length")
 
 
-def tiny_files(spark: SparkSession, path: str, name: str = "*") -> DataFrame:
+def _place(uri: str):
+    """pyarrow's file system of an address, the path in it, and what made the address of such paths."""
+    from pyarrow import fs
+
+    if ":" not in uri:
+        return fs.LocalFileSystem(), uri, ""
+    system, base = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    return system, base, uri.removesuffix("/")[: len(uri.removesuffix("/")) - len(base.removesuffix("/"))]
+
+
+def _listing(batches):
+    """Rows (path) of folders become rows (path, is_dir, length) of what they hold."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        for uri in batch.column(0).to_pylist():
+            system, base, before = _place(uri)
+            found = system.get_file_info(fs.FileSelector(base))
+            for at in range(0, len(found), 10_000):
+                part = found[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([before + f.path for f in part], pa.string()), pa.array([f.type == fs.FileType.Directory for f in part]), pa.array([f.size or 0 for f in part], pa.int64())], ["path", "is_dir", "length"])
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of all files below ``path``. Folders are listed in tasks, one level after the other, so the driver holds no
+    list; the entries of one folder are listed in one task. Links aren't followed into folders twice."""
+    level = spark.createDataFrame([(path.removesuffix("/") or "/",)], "path string")
+    found = None
+    while True:
+        held = cut(level.repartition(min(4096, 4 * spark.sparkContext.defaultParallelism)).transform(arrow, _listing, "path string, is_dir boolean, length long"), "listing")
+        files = held.where("not is_dir").select("path", "length")
+        found = files if found is None else found.unionByName(files)
+        level = held.where("is_dir").select("path")
+        if level.isEmpty():
+            return found
+
+
+def _bodies(batches):
+    """Rows (path, length) become rows with the file's bytes."""
+    import pyarrow as pa
+
+    for batch in batches:
+        held, size = [], 0
+        for uri, n in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+            system, base, _ = _place(uri)
+            with system.open_input_stream(base) as f:
+                held.append((uri, f.read()))
+            size += n
+            if size > 16 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held), (pa.string(), pa.binary()))], ["path", "content"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held), (pa.string(), pa.binary()))], ["path", "content"])
+
+
+def tiny_files(spark: SparkSession, path: str, name: str = "*", task_bytes: int = 128 << 20) -> DataFrame:
     """All files below ``path`` as rows for :func:`triloom.operators.compact.compact`: file_no (from the path), path, func (the name's stem), n_bytes, body.
 
-    Files of no bytes hold no record: Spark's file scans leave them out.
+    ``name`` may hold ``*`` and ``?``. Neither listing nor reading passes through the driver. Files of no bytes hold no
+    record and are left out. A task reads about ``task_bytes``, and no more than 20,000 files.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(path)
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return rows.select(F.xxhash64("path").alias("file_no"), "path", stem.alias("func"), F.col("length").alias("n_bytes"), F.col("content").cast("string").alias("body"))
+    last = F.element_at(F.split("path", "/"), -1)
+    like = "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in name) + "$"
+    listed = list_files(spark, path).where((F.col("length") > 0) & last.rlike(like))
+    n, total = listed.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    rows = listed.repartition(max(1, -(-total // task_bytes), -(-n // 20_000), min(n, spark.sparkContext.defaultParallelism))).transform(arrow, _bodies, "path string, content binary")
+    return rows.select(F.xxhash64("path").alias("file_no"), "path", F.regexp_replace(last, r"\.[^.]*$", "").alias("func"), F.length("content").cast("long").alias("n_bytes"), F.col("content").cast("string").alias("body"))
 
 
 def function_names(spark: SparkSession, path: str) -> DataFrame:
