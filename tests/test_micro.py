@@ -517,3 +517,96 @@ def test_streaming_scores_each_batch_once(spark, tmp_path):
     put("late", ["1", "2"])
     watch(spark, str(tmp_path / "in"), parts, str(tmp_path / "out"), str(tmp_path / "ck"), once=True).awaitTermination(120)
     assert got(spark.read.parquet(str(tmp_path / "out")), "target_id") == [("hit",)]
+
+
+def parser_files(folder, nodes, edges):
+    folder.mkdir(parents=True)
+    (folder / "nodes.csv").write_text("command\tkey\ttype\tcode\tlocation\tfunctionId\n" + "".join("\t".join(["ANR", *n]) + "\n" for n in nodes))
+    (folder / "edges.csv").write_text("start\tend\ttype\n" + "".join("\t".join(e) + "\n" for e in edges))
+
+
+def test_from_parser_output_to_hits(spark, tmp_path, capsys):
+    src, parsed, out = tmp_path / "src", tmp_path / "parsed", tmp_path / "db"
+    node = lambda k, kind, code, fn: (k, kind, code, "", fn)
+    fn = lambda k, name, at: (k, "Function", name, at, "")
+    def version(cve, role, body, extra=()):
+        place = f"r/{cve}/{role}/ab_5/x.c"
+        rows = [fn("1", "foo", "1:0:0:3"), *[node(str(10 + i), "Symbol", c, "1") for i, c in enumerate(body)], ("99", "BadType", "", "", ""), fn("2", "bar", "2:0:4:7"), node("30", "Callee", "z", "2")]
+        parser_files(parsed / place, rows, [(str(10 + i), str(11 + i), "USE") for i in range(len(body) - 1)] + [("10", "30", "USE"), *extra])
+        (src / place).parent.mkdir(parents=True)
+        (src / place).write_text("foo;bar;")
+    version("C-1", "vuln", ["a", "b", "c"])
+    version("C-1", "patch", ["a", "b", "d"])
+    version("C-2", "vuln", ["a", "b"])  # no fixed file
+    (src / "r/C-1/funcnames").write_text("foo\n\n")
+    (src / "r/C-2/funcnames").write_text("foo\n")
+    cli.ingestion(spark, str(parsed), str(out), str(src))
+    db = readers.graph_db(spark, str(out))
+    assert sorted((r.role, r.func, r.code, r.ext) for r in db["funcs"].collect()) == [("patch", "foo", "foo;", "c"), ("vuln", "foo", "foo;", "c")]
+    assert db["nodes"].count() == 6 and db["edges"].count() == 4 and db["vectors"].count() == 2
+    assert got(spark.read.parquet(f"{out}/rejects"), "reason") == [("type",)] * 3
+    cli.ingestion(spark, str(parsed), f"{tmp_path}/all")
+    every = readers.graph_db(spark, f"{tmp_path}/all")
+    assert every["funcs"].count() == 6 and sorted((r.n_functions, r.n_edges, r.n_kept) for r in spark.read.parquet(f"{tmp_path}/all/counts").collect()) == [(2, 2, 1), (2, 3, 2), (2, 3, 2)]
+    v, p = (db["funcs"].where(F.col("role") == role).first().fn_id for role in ("vuln", "patch"))
+    cli.pair(spark, str(out), v, p, f"{tmp_path}/one")
+    cli.signatures(spark, str(out), f"{tmp_path}/sig")
+    for at in ("one", "sig"):
+        sig, parts, _ = readers.signature_db(spark, f"{tmp_path}/{at}")
+        assert sig.count() == 1 and got(parts.where("part = 'pvg'"), "a", "b") == [("Symbol", "c"), ("b", "c")]
+    capsys.readouterr()
+    cli.ad_hoc(spark, f"{tmp_path}/one", str(out), v)
+    said = capsys.readouterr().out.split("\n")
+    assert said[0].endswith(" 100.0 100.0 0.0") and said[0].startswith("exact") and said[1].startswith("approximate")
+    parts.where("part <> 'nvg'").write.parquet(f"{tmp_path}/torn/sig_parts")
+    for t in ("sig", "sig_vec"):
+        spark.read.parquet(f"{tmp_path}/sig/{t}").write.parquet(f"{tmp_path}/torn/{t}")
+    with pytest.raises(ValueError, match="incomplete"):
+        readers.signature_db(spark, f"{tmp_path}/torn")
+
+
+def test_functions_of_one_name_and_without_nodes(spark):
+    rows = df(spark, "file_id string, line_no int, key string, type string, code string, location string, function_id string", ("x", 2, "1", "Function", "f", "a", ""), ("x", 3, "5", "A", "old", "", ""), ("x", 4, "2", "Function", "f", "b", ""), ("x", 5, "5", "A", "p", "", ""), ("x", 6, "5", "A", "q", "", ""), ("x", 7, "3", "Function", "g", "c", ""))
+    edges = df(spark, "file_id string, src string, dst string, rel string", ("x", "5", "5", "r"), ("x", "5", "5", "r"), ("x", "5", "1", "r"))
+    functions, nodes, links = ingest.graphs(rows, edges)
+    assert got(functions, "fn_id", "location") == [("x#f", "b"), ("x#g", "c")] and got(nodes, "node_id", "code") == [("5", "q")] and links.count() == 2
+    none = ingest.graphs(rows.limit(0), edges)
+    assert [x.count() for x in none] == [0, 0, 0]
+
+
+def test_mining_from_files(spark, tmp_path):
+    import json as j
+
+    (tmp_path / "diffs" / "r").mkdir(parents=True)
+    for h in ("h1", "h2", "h3"):
+        (tmp_path / "diffs" / "r" / f"{h}.diff").write_text("fix CVE-2001-1\n" + (DIFF if h != "h1" else "diff --git a/x.h b/x.h"))
+    commit = lambda i, m, message: {"repo": "r", "seq": i, "hash": f"h{i}", "author_ts": i, "message": message, "is_merge": m, "parents": []}
+    (tmp_path / "log.json").write_text("\n".join(j.dumps(x) for x in (commit(1, False, "CVE-2001-1"), commit(2, False, "CVE-2001-1"), commit(3, False, "CVE-2001-1"), commit(4, True, "CVE-2001-1"))))
+    df(spark, "blob_id string, content string", ("12ab", "old"), ("34cd", "new"), ("3", "x"), ("4", "y")).write.parquet(f"{tmp_path}/blobs")
+    cli.mine(spark, f"{tmp_path}/log.json", f"{tmp_path}/diffs", f"{tmp_path}/blobs", f"{tmp_path}/out")
+    assert sorted(map(str, got_rows(spark.read.parquet(f"{tmp_path}/out/mined"), "hash", "reason"))) == ["('h1', 'no function')", "('h2', None)", "('h3', 'CVE covered already')"]
+    assert got(spark.read.parquet(f"{tmp_path}/out/src"), "role", "hsh", "content") == [("patch", "h2_2", "new"), ("patch", "h2_2", "y"), ("vuln", "h2_2", "old"), ("vuln", "h2_2", "x")]
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out/names").collect()) == ["bar", "baz", "late"]
+    cli.mine(spark, f"{tmp_path}/log.json", f"{tmp_path}/diffs", f"{tmp_path}/blobs", f"{tmp_path}/again", f"{tmp_path}/out")
+    assert got(spark.read.parquet(f"{tmp_path}/again/counters"), "*") == [("r", 0, 3)]
+
+
+def test_rates_as_text(spark):
+    counts = df(spark, "slice string, tp long, fp long, tn long, fn long, unk long", ("m", 6, 2, 0, 2, 2), ("z", 0, 0, 0, 0, 0))
+    assert [r.value for r in evaluate.rate_lines(evaluate.rates(counts)).collect()][:4] == ["m nominal 0.750000 0.750000 0.750000", "m worst 0.600000 0.750000 0.666667", "m best 0.800000 0.800000 0.800000", "z nominal - - -"]
+
+
+def test_no_folder_of_our_own_on_a_cluster():
+    from types import SimpleNamespace
+
+    from triloom import session
+
+    for master, fails in (("yarn", True), ("spark://h:7077", True), ("local-cluster[3,2,1024]", True), ("local[4]", False)):
+        made = []
+        sc = SimpleNamespace(applicationId=f"app-{master}", master=master, setCheckpointDir=made.append)
+        try:
+            session.shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
+        except RuntimeError:
+            assert fails and not made
+        except AttributeError:  # beyond the check there is no JVM here
+            assert not fails and made

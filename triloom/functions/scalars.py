@@ -23,6 +23,12 @@ def graph_key(path: Column) -> dict[str, Column]:
     }
 
 
+def source_key(path: Column, below: int = 0) -> dict[str, Column]:
+    """Key columns of the layout ``<root>/<repo>/<cve>/<role>/<hash>_<epoch>/<file>``, with ``below`` more parts after it."""
+    at = resolved(path)
+    return {name: path_part(at, below + k) for name, k in (("repo", 5), ("cve", 4), ("role", 3), ("hsh", 2), ("file", 1))}
+
+
 def epoch(hsh: Column) -> Column:
     """Seconds from ``<hash>_<epoch>``."""
     return F.try_element_at(F.split(hsh, "_"), F.lit(2)).try_cast("long")

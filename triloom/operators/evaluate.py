@@ -86,6 +86,13 @@ def rates(counts: DataFrame, zero: bool = False) -> DataFrame:
     return out
 
 
+def rate_lines(rated: DataFrame) -> DataFrame:
+    """The rates as text, one line for each slice and kind: ``slice kind precision recall f1`` with six decimals; an undefined rate is ``-``."""
+    number = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.format_string("%02f", c))
+    line = lambda k: F.concat_ws(" ", "slice", F.lit(k), *[number(f"{m}_{k}") for m in ("p", "r", "f1")])
+    return rated.select(F.explode(F.array(*[line(k) for k in ("nominal", "worst", "best")])).alias("value"))
+
+
 def modified(tg: DataFrame) -> DataFrame:
     """Historic versions (before, after) whose text differs from every original of their CVE and function.
 

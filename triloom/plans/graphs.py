@@ -44,6 +44,46 @@ def ingest_sessionize(spark, d):
     return ingest.sessionize(once, order="line_no").select("file_id", "line_no", "key", "type", "fn_key", "func")
 
 
+def _parsed(spark, d):
+    """Node rows of the parser's files, each line once, and edges from each row to the two after it, whatever they are."""
+    rows = rejects.check_node_lines(table(spark, d, "node_lines")).where("reason is null").select(F.col("nodes_path").alias("file_id"), "line_no", "line_id", "key", "type", "code", "location", "function_id")
+    rows = cut(ingest.last_wins(rows, ["file_id", "line_no"], ["line_id"]), "rows")
+    w = Window.partitionBy("file_id").orderBy("line_no")
+    step = rows.select("file_id", F.col("key").alias("src"), F.array(*[F.struct(F.lead("key", k).over(w).alias("dst"), F.lit(r).alias("rel")) for k, r in ((1, "FLOWS_TO"), (2, "REACHES"))]).alias("to"))
+    return rows, step.select("file_id", "src", F.inline("to")).where("dst is not null")
+
+
+def ingest_graphs(spark, d):
+    rows, edges = _parsed(spark, d)
+    functions, nodes, links = ingest.graphs(rows, edges)
+    return triples.tripleize(links, nodes).join(functions.select("fn_id", "file_id", "func"), "fn_id").select("file_id", "func", "a", "rel", "b")
+
+
+def ingest_vectors(spark, d):
+    rows, edges = _parsed(spark, d)
+    functions, nodes, links = ingest.graphs(rows, edges)
+    vec = triples.vectorize(nodes, links).select("fn_id", F.concat_ws(",", F.col("vec").cast("array<string>")).alias("vec"))
+    return functions.join(vec, "fn_id").select("file_id", "func", "location", "vec")
+
+
+def ingest_counts(spark, d):
+    rows, edges = _parsed(spark, d)
+    functions, nodes, _ = ingest.graphs(rows, edges)
+    own = nodes.join(functions.select("fn_id", "file_id"), "fn_id").select("file_id", F.col("fn_id").alias("fn_key"), F.col("node_id").alias("key"))
+    read = rows.groupBy("file_id").agg(F.count_if(F.col("type") == "Function").alias("n_functions"))
+    return read.join(ingest.dropped_edges(own, edges), "file_id").select("file_id", "n_functions", "n_edges", "n_kept")
+
+
+def ingest_named(spark, d):
+    # the functions of a repo's fixed files are its list; repos without a vulnerable or a fixed file are left out
+    rows, edges = _parsed(spark, d)
+    rows = rows.select("*", *[c.alias(n) for n, c in scalars.source_key(F.col("file_id"), 1).items()])
+    names = rows.where("type = 'Function' and role = 'patch'").select("repo", F.col("code").alias("func"))
+    both = ingest.complete(rows.select("file_id", "repo", "role").distinct(), ["repo"])
+    functions, nodes, _ = ingest.graphs(rows.join(both, "repo", "left_semi"), edges, names)
+    return functions.join(nodes, "fn_id", "left").groupBy("file_id", "func").agg(F.count("node_id").alias("n_nodes"))
+
+
 def last_write_wins(spark, d):
     rows = rejects.check_node_lines(table(spark, d, "node_lines")).where("reason is null").select(F.col("nodes_path").alias("file_id"), "key", "line_no", "line_id", "type")
     return ingest.last_wins(rows, ["file_id", "key"], ["line_no", "line_id"]).select("file_id", "key", "line_no", "type")
@@ -390,7 +430,7 @@ def aligned_signature(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_sessionize, last_write_wins, edge_endpoint_join, tripleize, tripleize_tokens, vector_node_counts, vector_edge_counts_k2, vectorize, path_fields, char_slice,
+        ingest_sessionize, ingest_graphs, ingest_vectors, ingest_counts, ingest_named, last_write_wins, edge_endpoint_join, tripleize, tripleize_tokens, vector_node_counts, vector_edge_counts_k2, vectorize, path_fields, char_slice,
         sig_pairs, sig_missing, sig_parts, sig_cvg, sig_pvg, sig_nvg, sig_stats, sig_reject_empty, score_exact, score_file, hits_scan, hits_eval, hit_file, threshold_grid, char_jaccard, score_fuzzy, hits_fuzzy,
         target_semi, target_names, ground_truth_counts, verdicts, eval_slices, unchanged_filter, line_diff, eval_test_modified, asof_before, asof_after, after_ancestry, first_productive, diff_parse, mined_commits, mine_counters,
         align_nodes, changed_nodes, induced_edges, context_nodes, expand_1hop, two_hop, components, bfs_tree, subtree_size, nh_index, important_nodes, tale_node_score, path_node_match, edge_pattern_iso, exact_match, tale_match, path_match, aligned_signature,
@@ -471,7 +511,21 @@ ix as (select gn.fn_id, gn.node_id, type as label, coalesce(ii.d, 0) as ind, coa
 _NODE_ROWS = LINES_SQL + ", w as (select u.nodes_path as file_id, line_no, u.line_id, c[2] as key, c[3] as type, c[4] as code from u join v on v.line_id = u.line_id join node_lines n on n.line_id = u.line_id where ok)"
 
 
+_INGEST = _NODE_ROWS + """, x as (select file_id, line_no, arg_max(key, line_id) as key, arg_max(type, line_id) as type, arg_max(code, line_id) as code, arg_max(loc, line_id) as loc from (select w.*, u.c[5] as loc from w join u on u.line_id = w.line_id) group by file_id, line_no),
+y as (select *, max(case when type = 'Function' then line_no end) over (partition by file_id order by line_no) as s from x),
+fs as (select file_id, code as func, max(line_no) as s, arg_max(loc, line_no) as location from x where type = 'Function' group by all),
+gn as (select y.file_id, func, key, arg_max(type, line_no) as type, arg_max(code, line_no) as code from y join fs on fs.file_id = y.file_id and fs.s = y.s where type <> 'Function' group by all),
+ld as (select file_id, key as src, lead(key) over w as n1, lead(key, 2) over w as n2 from x window w as (partition by file_id order by line_no)),
+eg as (select file_id, src, n1 as dst, 'FLOWS_TO' as rel from ld where n1 is not null union all select file_id, src, n2, 'REACHES' from ld where n2 is not null),
+gk as (select eg.file_id, a.func, src, dst, rel, a.type as type1, a.code as code1, b.type as type2, b.code as code2 from eg join gn a on a.file_id = eg.file_id and a.key = src join gn b on b.file_id = eg.file_id and b.func = a.func and b.key = dst)"""
+_KEYED = "string_split(file_id, '/')"
+
+
 SQL = {
+    "ingest_graphs": _INGEST + f", ee as (select * from gk where type1 not in ({_BOUND}) and type2 not in ({_BOUND})) " + _FOUR.replace("select fn_id", "select file_id, func"),
+    "ingest_vectors": _INGEST + f", dims as (select unnest([{_DIMS}]) as dim, unnest(range(0, 79)) as pos), par as (select file_id, func, src, dst, count(*) as k from gk group by all), cnt as (select file_id, func, type as dim, count(*) as n from gn group by all union all select gk.file_id, gk.func, rel, sum(k) from gk join par using (file_id, func, src, dst) group by all), hold as (select distinct fs.* from fs join gn using (file_id, func)) select hold.file_id, hold.func, hold.location, array_to_string(list(coalesce(n, 0)::bigint order by pos), ',') as vec from hold cross join dims left join cnt on cnt.file_id = hold.file_id and cnt.func = hold.func and cnt.dim = dims.dim group by all",
+    "ingest_counts": _INGEST + " select x.file_id, n_functions, n_edges, coalesce(n_kept, 0) as n_kept from (select file_id, count(*) filter (where type = 'Function') as n_functions from x group by file_id) x join (select file_id, count(*) as n_edges from eg group by file_id) e using (file_id) left join (select file_id, count(*) as n_kept from gk group by file_id) k using (file_id)",
+    "ingest_named": _INGEST + f", fr as (select *, {_KEYED}[-6] as repo, {_KEYED}[-4] as role from fs), pk as (select distinct repo, func from fr where role = 'patch'), bo as (select repo from (select {_KEYED}[-6] as repo, {_KEYED}[-4] as role from x) group by repo having count(*) filter (where role = 'vuln') > 0 and count(*) filter (where role = 'patch') > 0) select fr.file_id, fr.func, count(key) as n_nodes from fr join pk using (repo, func) join bo using (repo) left join gn on gn.file_id = fr.file_id and gn.func = fr.func group by all",
     "ingest_sessionize": _NODE_ROWS + ", x as (select file_id, line_no, arg_max(key, line_id) as key, arg_max(type, line_id) as type, arg_max(code, line_id) as code from w group by file_id, line_no), y as (select *, max(case when type = 'Function' then line_no end) over (partition by file_id order by line_no) as s from x) select y.file_id, y.line_no, y.key, y.type, f.key as fn_key, f.code as func from y join x f on f.file_id = y.file_id and f.line_no = s where y.type <> 'Function'",
     "last_write_wins": _NODE_ROWS + " select file_id, key, (max((line_no, line_id)))[1] as line_no, arg_max(type, (line_no, line_id)) as type from w group by file_id, key",
     "edge_endpoint_join": f"{_G}, ee as ({_ENDS}) select type1, rel, type2, count(*) as n_edges from ee group by all",

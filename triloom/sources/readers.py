@@ -147,3 +147,26 @@ def functions_of(sources: DataFrame, located: DataFrame) -> DataFrame:
     at = F.split("location", ":")
     start, end = (F.try_element_at(at, F.lit(i)).try_cast("int") for i in (3, 4))
     return located.join(sources, keys).select(*located.columns, F.expr("content").alias("content"), start.alias("_s"), end.alias("_e")).select(*located.columns, F.substring("content", F.col("_s") + 1, F.col("_e") - F.col("_s") + 1).alias("code"))
+
+
+def diff_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, hash, line_no, line) of diff texts in ``<repo>/<hash>.diff`` files."""
+    p = F.split("file_id", "/")
+    return lines(spark, path, "*.diff").select(F.element_at(p, -2).alias("repo"), F.regexp_replace(F.element_at(p, -1), r"\.diff$", "").alias("hash"), "line_no", "line")
+
+
+def signature_db(spark: SparkSession, path: str, vectors: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(sig, sig_parts, sig_vec) as written by :func:`triloom.sources.writers.signature_tables`. A signature that lacks one of its parts is
+    an error, as is a missing table; that of vectors only if it is wanted."""
+    sig, parts = (spark.read.parquet(f"{path}/{t}") for t in ("sig", "sig_parts"))
+    vec = spark.read.parquet(f"{path}/sig_vec") if vectors else None
+    held = parts.groupBy("sig_id").agg(F.count_distinct("part").alias("n"))
+    torn = held.where("n < 3").select("sig_id").unionByName(held.join(sig, "sig_id", "left_anti").select("sig_id")).limit(10).collect()
+    if torn:
+        raise ValueError(f"incomplete signatures: {', '.join(sorted(str(r.sig_id) for r in torn))}")
+    return sig.join(held, "sig_id", "left_semi"), parts, vec
+
+
+def graph_db(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that :func:`triloom.sources.writers.graph_tables` wrote."""
+    return {name: spark.read.parquet(f"{path}/{name}.parquet") for name in ("funcs", "nodes", "edges", "triples", "vectors")}

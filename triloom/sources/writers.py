@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def graph_tables(nodes: DataFrame, edges: DataFrame, triples: DataFrame, vectors: DataFrame, path: str, by: list[str]) -> None:
-    """Four Parquet tables of function graphs, each partitioned by ``by`` (such as repo and role)."""
-    for name, df in (("nodes", nodes), ("edges", edges), ("triples", triples), ("vectors", vectors)):
-        df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
+def graph_tables(tables: dict[str, DataFrame], path: str, by: list[str]) -> None:
+    """Parquet tables of function graphs (such as funcs, nodes, edges, triples, vectors), each partitioned by those of ``by`` (such
+    as repo and role) that it has. A repo with most of all rows is split over many tasks."""
+    for name, df in tables.items():
+        keys = [c for c in by if c in df.columns]
+        out = df.hint("rebalance", *keys) if keys else df
+        out.write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/{name}.parquet")
 
 
 def signature_tables(sig: DataFrame, parts: DataFrame, vectors: DataFrame, path: str) -> None:
@@ -22,6 +25,23 @@ def sources(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("repo", "role").parquet(path)
 
 
+def function_names(changed: DataFrame, path: str, last_file: bool = False) -> None:
+    """Names of changed functions, each once and in order, as ``<path>/repo=<repo>/cve=<cve>`` text. ``changed``: repo, cve, segment, funcs.
+
+    Names of all files of a CVE are kept; with ``last_file`` only those of its last one.
+    """
+    rows = changed
+    if last_file:
+        rows = rows.groupBy("repo", "cve").agg(F.max_by("funcs", F.struct("segment", "funcs")).alias("funcs"))
+    names = rows.select("repo", "cve", F.explode("funcs").alias("value")).where("value <> ''").distinct()
+    names.hint("rebalance", "repo", "cve").sortWithinPartitions("repo", "cve", "value").write.mode("overwrite").partitionBy("repo", "cve").text(path)
+
+
+def commit_list(commits: DataFrame, path: str) -> None:
+    """One line for each commit in the log's order, below ``repo=<repo>``, unless the list is there already."""
+    commits.hint("rebalance", "repo").sortWithinPartitions("repo", "seq").select("repo", F.col("hash").alias("value")).write.mode("ignore").partitionBy("repo").text(path)
+
+
 def text(df: DataFrame, path: str) -> None:
     """One column ``value`` as lines: score files, hit files, statistics."""
     df.write.mode("overwrite").text(path)
