@@ -62,6 +62,12 @@ SQL = {
     "p1_packed": _KEYS + " select file_no, path, func, n_bytes, k.body from k join m on k.p = m.p and k.f is not distinct from m.f and k.body = m.body where file_no = keep",
     "p1_manifest": _KEYS + " select count(*) as n_rows, sum(coalesce(strlen(k.body), 0))::bigint as n_bytes, max(coalesce(strlen(k.body), 0)) as longest from k join m on k.p = m.p and k.f is not distinct from m.f and k.body = m.body where file_no = keep",
     "p6_nodes": LINES_SQL + "select u.line_id, u.nodes_path, n.line_no, c[1] as command, try_cast(c[2] as bigint) as node_key, c[3] as type, c[4] as code, c[5] as location, try_cast(nullif(c[6], '') as bigint) as function_id from u join v on v.line_id = u.line_id join node_lines n on n.line_id = u.line_id where ok",
+    "p6_rejects": LINES_SQL.replace("as six from l", f"as six, regexp_full_match(s, '(?s){_F}(\\t{_F})*') as sound from l") + """, e as (select q.line_id, q.nodes_path, n.line_no, q.s, q.sound, q.six, c, case when q.s is null then 'null line' when not q.sound then 'quoting' when not q.six then 'columns'
+    when not regexp_full_match(c[2], '[0-9]+') then 'key' when c[3] not in (""" + _TYPES + """) then 'type' when regexp_matches(c[4], '[\\x{FFFD}\\x00-\\x08\\x0a-\\x1f\\x7f]') then 'code'
+    when not regexp_full_match(c[5], '([0-9]+:[0-9]+:[0-9]+:[0-9]+)?') then 'location' when not regexp_full_match(c[6], '[0-9]*') then 'function_id' end as reason
+  from q left join u on u.line_id = q.line_id left join node_lines n on n.line_id = q.line_id)
+select line_id, nodes_path, line_no, reason, case when reason in ('null line', 'quoting') then 0 when reason = 'columns' then len(c) else 6 end as n_columns,
+  case reason when 'quoting' then s when 'columns' then s when 'key' then c[2] when 'type' then c[3] when 'code' then c[4] when 'location' then c[5] when 'function_id' then c[6] end as cell from e where reason is not null""",
     "p6_found": LINES_SQL + "select line_id from v where not ok",
     "p6_summary": LINES_SQL + "select nodes_path, count(*) as n_lines, count(*) filter (where not ok) as n_rejected from v group by nodes_path",
 }

@@ -190,6 +190,15 @@ def hits_scan(spark, d):
     return match.hits_scan(parts, table(spark, d, "triples"))
 
 
+def hits_pruned(spark, d):
+    # the candidates that the bound leaves, before any is scored, hold every hit
+    _, _, parts = _signatures(spark, d)
+    rows = table(spark, d, "triples")
+    near = cut(match.candidates(parts, rows, "cvg", lambda n: F.floor(n / 2) + 1), "candidates")
+    hits = match.score_exact(parts, rows).where(scalars.is_scan_hit(F.col("cvg"), F.col("pvg"), F.col("nvg")))
+    return hits.join(near, ["sig_id", "target_id"])
+
+
 def hits_eval(spark, d):
     _, _, parts = _signatures(spark, d)
     return match.hits_eval(parts, table(spark, d, "triples"))
@@ -421,6 +430,39 @@ def path_match(spark, d):
     return _matched(spark, d, "path")
 
 
+def match_checks(spark, d):
+    """For each matcher the pairs, and those whose mapping or score can't be: other types, nodes that aren't there, a score that isn't that of the mapping."""
+    nodes, edges = code_graph(spark, d)
+    pairs = signature.pairs(_targets(spark, d)).select(F.col("v_id").alias("q_fn"), F.col("p_id").alias("t_fn"))
+    graphs, nodes = cut(matchers.packed(nodes, edges), "graphs"), cut(nodes, "nodes")
+    size = nodes.groupBy(F.col("fn_id").alias("q_fn")).agg(F.count("*").alias("n"))
+    kind = lambda fn, at, name: nodes.select(F.col("fn_id").alias(fn), F.col("node_id").alias(at), F.col("type").alias(name))
+    out = None
+    for how in ("tolerant", "path"):
+        found = cut(matchers.match(pairs, graphs, how), "matched").join(size, "q_fn")
+        each = found.select("q_fn", "t_fn", F.explode("mapping").alias("a", "m")).select("q_fn", "t_fn", "a", F.col("m.t").alias("b"), F.col("m.score").alias("s"))
+        odd = each.join(kind("q_fn", "a", "qt"), ["q_fn", "a"], "left").join(kind("t_fn", "b", "tt"), ["t_fn", "b"], "left").groupBy("q_fn", "t_fn").agg(F.count_if(~(F.col("qt") == F.col("tt")) | F.col("qt").isNull() | F.col("tt").isNull()).alias("odd"), F.count_distinct("b").alias("images"), F.count("*").alias("k"), F.sum("s").alias("total"))
+        all_ = found.join(odd, ["q_fn", "t_fn"], "left").fillna(0)
+        most = F.col("n") * (2.0 if how == "tolerant" else 1.0)
+        bad = (F.col("odd") > 0) | (F.abs(F.col("score") - F.col("total") / most) > 1e-9) | (F.col("score") > 1 + 1e-9) | ((F.lit(how) == "path") & (F.col("images") < F.col("k")))
+        row = all_.agg(F.lit(how).alias("how"), F.count("*").alias("n_pairs"), F.count_if(bad).alias("n_wrong"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def aligned_checks(spark, d):
+    """For each signature whether its node sets can be: positive and negative hold all that changed, as many nodes as they must, and no context of either."""
+    sig, nodes, edges, mapping = _aligned(spark, d)
+    changed = cut(align.changed_nodes(sig, nodes, mapping), "changed")
+    sets = cut(matchers.aligned_signature(sig, changed, mapping, matchers.packed(nodes, edges)), "sets")
+    own = lambda s: changed.where(F.col("side") == s).groupBy("sig_id").agg(F.collect_set("node_id").alias(f"{s}_only"))
+    rows = sets.join(sig.select("sig_id", "v_id", "p_id"), "sig_id").join(own("v"), "sig_id", "left").join(own("p"), "sig_id", "left")
+    for s in ("v", "p"):
+        rows = rows.join(nodes.groupBy(F.col("fn_id").alias(f"{s}_id")).agg(F.count("*").alias(f"n_{s}")), f"{s}_id")
+    held = lambda s, name: F.when(F.col(f"{s}_only").isNull(), F.size(name) == 0).otherwise((F.size(F.array_except(f"{s}_only", name)) == 0) & (F.size(name) >= F.least(F.lit(50), f"n_{s}")))
+    return rows.select("sig_id", held("v", "positive").alias("positive"), held("p", "negative").alias("negative"))
+
+
 def aligned_signature(spark, d):
     sig, nodes, edges, mapping = _aligned(spark, d)
     out = matchers.aligned_signature(sig, align.changed_nodes(sig, nodes, mapping), mapping, matchers.packed(nodes, edges))
@@ -431,9 +473,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         ingest_sessionize, ingest_graphs, ingest_vectors, ingest_counts, ingest_named, last_write_wins, edge_endpoint_join, tripleize, tripleize_tokens, vector_node_counts, vector_edge_counts_k2, vectorize, path_fields, char_slice,
-        sig_pairs, sig_missing, sig_parts, sig_cvg, sig_pvg, sig_nvg, sig_stats, sig_reject_empty, score_exact, score_file, hits_scan, hits_eval, hit_file, threshold_grid, char_jaccard, score_fuzzy, hits_fuzzy,
+        sig_pairs, sig_missing, sig_parts, sig_cvg, sig_pvg, sig_nvg, sig_stats, sig_reject_empty, score_exact, score_file, hits_scan, hits_pruned, hits_eval, hit_file, threshold_grid, char_jaccard, score_fuzzy, hits_fuzzy,
         target_semi, target_names, ground_truth_counts, verdicts, eval_slices, unchanged_filter, line_diff, eval_test_modified, asof_before, asof_after, after_ancestry, first_productive, diff_parse, mined_commits, mine_counters,
-        align_nodes, changed_nodes, induced_edges, context_nodes, expand_1hop, two_hop, components, bfs_tree, subtree_size, nh_index, important_nodes, tale_node_score, path_node_match, edge_pattern_iso, exact_match, tale_match, path_match, aligned_signature,
+        align_nodes, changed_nodes, induced_edges, context_nodes, expand_1hop, two_hop, components, bfs_tree, subtree_size, nh_index, important_nodes, tale_node_score, path_node_match, edge_pattern_iso, exact_match, tale_match, path_match, match_checks, aligned_signature, aligned_checks,
     )
 }
 
@@ -547,6 +589,7 @@ SQL = {
     "score_exact": _SC + " select * from sc",
     "score_file": _SC + " select concat_ws(' ', concat_ws('/', sig.repo, sig.cve, sig.hsh, sig.file, sig.func), tg.path, trunc(cvg)::int, trunc(pvg)::int, trunc(nvg)::int) as value from sc join sig using (sig_id) join tg on tg.fn_id = target_id",
     "hits_scan": _SC + " select * from hs",
+    "hits_pruned": _SC + " select * from hs",
     "hits_eval": _SC + " select * from he",
     "hit_file": _SC + " select concat_ws(' ', concat_ws('/', sig.repo, sig.cve, sig.hsh, sig.file, sig.func), tg.path) as value from hs join sig using (sig_id) join tg on tg.fn_id = target_id",
     "threshold_grid": _SC + ", g as (select unnest(range(0, 101, 20)) as t) select c.t as cvg_least, p.t as pvg_least, count(sc.sig_id) as n_hits from g c cross join g p left join sc on pvg > nvg and cvg >= c.t and pvg >= p.t group by all",
@@ -557,6 +600,11 @@ SQL = {
     "verdicts": _VERDICT + " select target_id, sig_id, verdict from vr",
     "eval_slices": _VERDICT + ", s as (select 'all' as slice, verdict from vr union all select 'train', verdict from vr where contains(path, '/vuln/') or contains(path, '/patch/') union all select 'test', verdict from vr where contains(path, '/before/') or contains(path, '/after/')), k as (select slice, count(*) filter (where verdict = 'TP') as tp, count(*) filter (where verdict = 'FP') as fp, count(*) filter (where verdict = 'TN') as tn, count(*) filter (where verdict = 'FN') as fn, count(*) filter (where verdict = 'UNK') as unk from s group by slice) select slice, tp, fp, tn, fn, unk, " + _RATES + " from k",
     "unchanged_filter": _TG + _MOD + " select fn_id, role from md",
+    "line_diff": _TG.replace("with", "with recursive", 1) + _MOD + """, x as (select fn_id, string_split(regexp_replace(original, '\\n$', ''), chr(10)) as a, string_split(regexp_replace(code, '\\n$', ''), chr(10)) as b, length(original) - length(replace(original, chr(10), '')) as n from md),
+lcs as (select fn_id, 0 as i, list_transform(range(0, len(b) + 1), lambda j: 0) as prev from x
+  union all select x.fn_id, i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j::int]), lambda acc, j: list_append(acc, case when a[i + 1] = b[j[1]] then prev[j[1]] + 1 else greatest(prev[j[1] + 1], acc[-1]) end), [0]) from lcs join x on x.fn_id = lcs.fn_id where i < len(a)),
+y as (select x.fn_id, len(b) - prev[-1] as added, len(a) - prev[-1] as removed, n from x join lcs on lcs.fn_id = x.fn_id and i = len(a))
+select fn_id, added, removed, n as n_original, case when added = removed then 2 when added + removed > floor(n * 0.5) then 4 else 3 end as clone_type from y""",
     "eval_test_modified": _SC + _MOD + ", w as (select case when exists (select 1 from he join sig using (sig_id) where target_id = md.fn_id and contains(md.path, sig.cve)) then case when contains(path, '/vuln/') or contains(path, '/before/') then 'TP' else 'FP' end when contains(path, '/patch/') or contains(path, '/after/') then 'TN' else 'FN' end as verdict from md) select verdict, count(*) as n from w group by verdict",
     "asof_before": _COMMITS + ", k as (select c.*, (select max((x.ts, x.seq)) from c x where x.path = c.path and (x.ts, x.seq) < (c.ts, c.seq)) as b from c), m as (select k.*, case when b is not null then (select max((x.ts, x.seq)) from c x where x.path = k.path and x.ts <= k.ts - 2592000 and x.seq <> b[2]) end as m from k), h as (select m.*, case when m.m is not null then (select max((x.ts, x.seq)) from c x where x.path = m.path and x.ts <= m.ts - 15552000 and x.seq <> b[2] and x.seq <> m.m[2]) end as h from m) select path, ts, seq, b[2] as before_seq, m[2] as before_1mo_seq, h[2] as before_6mo_seq from h",
     "asof_after": _COMMITS + ", k as (select c.*, (select min((x.ts, x.seq)) from c x where x.path = c.path and (x.ts, x.seq) > (c.ts, c.seq)) as a, (select max((x.ts, x.seq)) from c x where x.path = c.path and (x.ts, x.seq) > (c.ts, c.seq) and x.ts <= c.ts + 2592000) as m, (select max((x.ts, x.seq)) from c x where x.path = c.path and (x.ts, x.seq) > (c.ts, c.seq) and x.ts <= c.ts + 15552000) as h from c), o as (select k.*, case when a is null then null when m is null then (select min((x.ts, x.seq)) from c x where x.path = k.path and (x.ts, x.seq) > k.a) else (select min((x.ts, x.seq)) from c x where x.path = k.path and (x.ts, x.seq) > k.m) end as b from k), s as (select o.*, case when b is null then null when h is null then (select min((x.ts, x.seq)) from c x where x.path = o.path and (x.ts, x.seq) > o.b) else (select min((x.ts, x.seq)) from c x where x.path = o.path and (x.ts, x.seq) > o.h) end as d from o) select path, ts, seq, a[2] as after_seq, b[2] as after_1mo_seq, d[2] as after_6mo_seq from s",
@@ -584,5 +632,16 @@ r as (select distinct a as node, a as seen from u union select r.node, u.b from
     "subtree_size": _TRADE + ", up as (select node, node as top from tree union all select up.node, tree.parent from up join tree on tree.node = up.top where tree.parent is not null) select top as node, count(*) as size from up group by top",
     "nh_index": _INDEX + " select fn_id, node_id, label, degree, array_to_string(labels, ',') as labels, links from ix",
     "important_nodes": _INDEX + " select fn_id, node_id, degree from (select *, row_number() over (partition by fn_id order by degree desc, node_id desc) as r, count(*) over (partition by fn_id) as n from ix) where r <= greatest(1, floor(n * 0.2))",
+    # partial images of the first k nodes, grown by one node at a time
+    "exact_match": f"""with recursive {GRAPH_SQL.lstrip()},{TARGET_SQL},
+ns as (select fn_id, list(node_id order by seq) as ids, list(type order by seq) as types from gs group by fn_id), es as (select fn_id, map_from_entries(list((src || '|' || dst, rel))) as rels from g1 group by fn_id),
+gr as (select ns.fn_id, ids, types, coalesce(rels, map([], [])) as rels from ns left join es using (fn_id)),
+pr as (select v_id as q_fn, p_id as t_fn, q.ids as qi, q.types as qt, q.rels as qr, t.ids as ti, t.types as tt, t.rels as tr from sig join gr q on q.fn_id = v_id join gr t on t.fn_id = p_id),
+im as (select q_fn, t_fn, 0 as k, []::varchar[] as m from pr
+  union all select * from (select q_fn, t_fn, k + 1 as k, list_append(m, c) as m from (select im.q_fn, im.t_fn, k, im.m, qi, qt, qr, tt, tr, unnest(ti) as c, unnest(tt) as ct from im join pr on pr.q_fn = im.q_fn and pr.t_fn = im.t_fn where k < len(qi))
+    where ct = qt[k + 1] and not list_contains(m, c) and len(list_filter(range(1, k + 2), lambda i: tr[coalesce(m[i], c) || '|' || c] is distinct from qr[qi[i] || '|' || qi[k + 1]] or tr[c || '|' || coalesce(m[i], c)] is distinct from qr[qi[k + 1] || '|' || qi[i]])) = 0))
+select pr.q_fn, pr.t_fn, case when exists (select 1 from im where im.q_fn = pr.q_fn and im.t_fn = pr.t_fn and k = len(qi)) then 100.0::double else 0.0::double end as score, 0 as n_mapped from pr""",
+    "match_checks": f"with{GRAPH_SQL},{TARGET_SQL}, pr as (select 1 from sig where v_id in (select fn_id from gn) and p_id in (select fn_id from gn)) select how, (select count(*) from pr) as n_pairs, 0 as n_wrong from (values ('tolerant'), ('path')) h(how)",
+    "aligned_checks": f"with{GRAPH_SQL},{TARGET_SQL} select sig_id, true as positive, true as negative from sig where v_id in (select fn_id from gn) and p_id in (select fn_id from gn)",
     "edge_pattern_iso": f"{_G} select distinct x.fn_id, x.src as a, x.dst as b, y.dst as c from ge x join ge y on y.fn_id = x.fn_id and y.src = x.dst and y.rel = 'FLOWS_TO' join gn na on na.fn_id = x.fn_id and na.node_id = x.src and na.type = 'Callee' join gn nb on nb.fn_id = x.fn_id and nb.node_id = x.dst and nb.type = 'ArgumentList' join gn nc on nc.fn_id = x.fn_id and nc.node_id = y.dst and nc.type = 'ExpressionStatement' where x.rel = 'FLOWS_TO' and not exists (select 1 from ge z where z.fn_id = x.fn_id and z.src in (x.src, x.dst, y.dst) and z.dst in (x.src, x.dst, y.dst) and not (z.rel = 'FLOWS_TO' and (z.src, z.dst) in ((x.src, x.dst), (y.src, y.dst)) or z.rel = 'REACHES' and z.src = x.src and z.dst = y.dst)) and exists (select 1 from ge z where z.fn_id = x.fn_id and z.src = x.src and z.dst = y.dst and z.rel = 'REACHES')",
 }
