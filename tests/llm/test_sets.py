@@ -112,8 +112,34 @@ def test_overlap_across_splits(spark, size):
     assert sorted((x.fn_a, x.fn_b) for x in pairs.collect()) == want
     for o in over.collect():
         assert o.both == len(fam[o.fn_a] & fam[o.fn_b]) and 0 <= o.overlap_a <= o.both / o.n_a + 1e-9
-    report = overlap.overlap_report(pairs, fu).collect()
-    assert sum(x.n_pairs for x in report if x.split == "train") == len(want)
+    report = {(x.split, x.repo): (x.n_records, x.n_pairs) for x in overlap.overlap_report(overlap.alike(df, fu), fu).collect()}
+    assert sum(n for (side, _), (_, n) in report.items() if side == "train") == len(want)
+    repo = {f: f"repo{i % 3}" for i, f in enumerate(roles)}
+    ends = [x for p in want for x in p]
+    assert report == {(("train", "eval")[k], q): (len({x for x in ends if split[x] == k and repo[x] == q}), sum(split[x] == k and repo[x] == q for x in ends)) for k, q in {(split[x], repo[x]) for x in ends}}
+
+
+def test_a_record_of_both_splits_is_no_partner_of_itself(spark):
+    df = spark.createDataFrame([(f, "a", "r", str(k)) for f in ("x", "y") for k in range(20)], SCHEMA)
+    at = lambda f, role, repo: (f, repo, f"/d/r/C/{role}/abcdef0_1/f.c/graph/g.gpickle")
+    fu = spark.createDataFrame([at("x", "vuln", "p"), at("x", "after", "p"), at("y", "vuln", "q")], "fn_id string, repo string, path string")
+    assert sorted(tuple(r) for r in overlap.overlap_report(overlap.alike(df, fu), fu).collect()) == [("eval", "p", 1, 1), ("train", "q", 1, 1)]
+
+
+@pytest.mark.parametrize("t", [0.6, 0.7, 0.8, 0.95])
+def test_small_sets_share_no_word_unless_alike(spark, t):
+    r = random.Random(7)
+    fam = {f"f{i:03d}": {("w", "r", str(k)) for k in (0, 1, 2)} | {("u", "r", str(k)) for k in r.sample(range(60), r.randint(0, 11))} for i in range(500)}
+    df = spark.createDataFrame([(f, *x) for f, s in fam.items() for x in s], SCHEMA)
+    assert sorted(map(tuple, neardup.near_duplicates(df, t=t).collect())) == brute(fam, t)
+    members, reps = sets.classes(sets.token_sets(df, "fn_id", ("a", "rel", "b")))
+    words = reps.transform(neardup.arrow, neardup._small_keys(t), "grp int, key long, id long, bits int, n long, home boolean, guest boolean").collect()
+    rep = {m.rep: fam[m.rec] for m in members.collect()}
+    met = {}
+    for x in words:
+        met.setdefault((x.grp, x.key), []).append(x)
+    pairs = [(rep[a.id], rep[b.id]) for group in met.values() for a in group for b in group if a.home and b.guest and a.id != b.id]
+    assert (pairs or t > 0.9) and all(len(a & b) >= t * len(a | b) - 1e-9 for a, b in pairs)
 
 
 def test_overlap_of_empty_tables(spark):

@@ -6,11 +6,18 @@ of similarity t and sizes a and b differ in at most d = (1 - t) / (1 + t) · (a
 joined on equal words in bands of sizes, in which m and d fit; a record is in the band of its size and in the one below.
 Candidates whose bit sketches (one bit flipped for each token) are further apart than d in Hamming distance are dropped,
 the others verified on the sets.
+
+Pairs with a set of at most SMALL tokens have a band for each pair of sizes and a word for the whole set: the XOR of all
+its tokens, with as many XORed out as such a pair may differ in. Two sets meet if what is left is the same, so if they are
+alike, and no word is shared by sets that are not. The method is meant for t of 0.6 or more: below, d exceeds the words of small sets.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +29,10 @@ from triloom.session import arrow, cut
 
 #: Words of 64 bits in a record's bit sketch.
 SKETCH = 8
+#: Parts of a set, at least: with more parts than tokens, hardly any set has fewer full parts than it must post (one in a million of 10 tokens).
+PARTS = 64
+#: Words that a small set may post for partners of one size.
+MOST_WORDS = 512
 
 
 def _band(n: np.ndarray, t: float) -> np.ndarray:
@@ -48,7 +59,7 @@ def _keys(t: float):
                     band = own if home else own - 1
                     low, high = np.power(1 / t, band), np.power(1 / t, band + 1)  # the sizes that are at home here
                     d_band = _most(high, high / t, t)
-                    m = 2 * (d_band + 1)
+                    m = np.maximum(2 * (d_band + 1), PARTS)
                     # partners: at home, or guests up to the size t allows; for a guest only those at home
                     need = _most(n, np.minimum(n / t, high / t) if home else np.minimum(n, high), t) + 1
                     use = np.flatnonzero((band >= 0) & (home | (low >= n * t * t - 1)))
@@ -68,6 +79,48 @@ def _keys(t: float):
     return run
 
 
+def _least(a: int, b: int, t: float) -> int:
+    """The tokens that sets of sizes a and b with similarity t share, at least."""
+    return int(np.ceil(t / (1 + t) * (a + b) - 1e-9))
+
+
+@functools.cache
+def _small(t: float) -> int:
+    """The size up to which sets are small: 9 for t = 0.7."""
+    n = 0
+    while n < 16 and all(comb(b, _least(n + 1, b, t)) <= MOST_WORDS for b in range(n + 1, int((n + 1) / t + 1e-9) + 1)):
+        n += 1
+    return n
+
+
+def _small_keys(t: float):
+    """For each set of at most small / t tokens its words for partners of each size, where one of the two is small."""
+    most = _small(t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                ident, bits, n = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("id", "bits", "n"))
+                row, h = S.flat(batch, "tokens")
+                label, first = S.mixed(h, 1), np.r_[0, np.cumsum(n)]
+                for a in np.unique(n):
+                    who = np.flatnonzero(n == a)
+                    sets = label[first[who][:, None] + np.arange(a)]
+                    for b in range(max(1, int(np.ceil(a * t - 1e-9))), int(a / t + 1e-9) + 1):
+                        keep = _least(a, b, t)
+                        if min(a, b) > most or keep > min(a, b):
+                            continue
+                        pick = np.array(list(combinations(range(a), keep)), np.int64)
+                        words = np.bitwise_xor.reduce(sets[:, pick], axis=2).ravel().view(np.int64)
+                        r = np.repeat(who, len(pick))
+                        low, high = min(a, b), max(a, b)
+                        grp = np.full(len(r), -1 - (low << 10) - high, np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (grp, words, ident[r], bits[r], n[r], np.full(len(r), a == low), np.full(len(r), a == high))], ["grp", "key", "id", "bits", "n", "home", "guest"])
+
+    return run
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         row, h = S.flat(batch, "tokens")
@@ -80,13 +133,14 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_pairs(sets: DataFrame, reps: DataFrame, t: float) -> DataFrame:
     """(id_a, id_b, n_a, n_b, both) of all pairs of representatives with |A ∩ B| / |A ∪ B| of at least ``t``."""
     schema = "grp int, part int, id long, bits int, n long, home boolean, word long, m int, need int, total long"
-    words = reps.select("id", "bits", "n", "tokens").transform(arrow, _keys(t), schema)
+    small = _small(t)
+    words = reps.where(F.col("n") > small).select("id", "bits", "n", "tokens").transform(arrow, _keys(t), schema)
     blocks = reps.where("bits > 0").limit(1).count() > 0
     if blocks:  # a part's word is the XOR over the blocks
         words = words.groupBy("grp", "part", "id", "bits", "n", "home", "m", "need").agg(F.bit_xor("word").alias("word"))
         words = words.join(words.groupBy("grp", "id").agg(F.count("*").alias("total")), ["grp", "id"])
-    # Empty parts are words too, the most frequent of all, so they are left out first. Few records have so few full parts
-    # that some of their empty ones are needed: they post all full parts, and of the empty ones the first in order.
+    # Empty parts are words too, the most frequent of all, so they are left out first. Hardly any record has so few full
+    # parts that some of its empty ones are needed: it posts all full parts, and of the empty ones the first in order.
     keys = words.select("grp", F.xxhash64("part", "word").alias("key"), "id", "bits", "n", "home", "total", F.least("need", "total").alias("need"))
     short = words.where("total < need").select("grp", "id", "bits", "n", "home", "m", (F.col("need") - F.col("total")).alias("more"), "part")
     short = short.groupBy("grp", "id", "bits", "n", "home", "m", "more").agg(F.collect_list("part").alias("held"))  # fewer than need
@@ -96,7 +150,14 @@ def similar_pairs(sets: DataFrame, reps: DataFrame, t: float) -> DataFrame:
     a = post.where("home").select("grp", "key", F.col("id").alias("id_a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a"))
     b = post.select("grp", "key", F.col("id").alias("id_b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"), F.col("home").alias("home_b"))
     near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(t) - 1e-6
-    met = a.join(b, ["grp", "key"]).where("id_a <> id_b and (not home_b or id_a < id_b)").where(near).select("id_a", "id_b", "bits_a", "bits_b", "n_a", "n_b").distinct()
+    met = a.join(b, ["grp", "key"]).where("id_a <> id_b and (not home_b or id_a < id_b)").where(near).select("id_a", "id_b", "bits_a", "bits_b", "n_a", "n_b")
+    few = reps.where(F.col("n") <= int(small / t + 1e-9)).select("id", "bits", "n", "tokens")
+    if blocks:  # many rows, but few tokens
+        few = few.groupBy("id", "bits", "n").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    few = few.transform(arrow, _small_keys(t), "grp int, key long, id long, bits int, n long, home boolean, guest boolean")
+    end = lambda x, role: few.where(role).select("grp", "key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "bits", "n")])
+    alike = end("a", "home").join(end("b", "guest"), ["grp", "key"]).where("n_a < n_b or id_a < id_b").select(*met.columns)
+    met = met.unionByName(alike).distinct()
     sketch = reps.select("id", "tokens").transform(arrow, _sketches, "id long, " + ", ".join(f"w{i} long" for i in range(SKETCH)))
     if blocks:
         sketch = sketch.groupBy("id").agg(*[F.bit_xor(f"w{i}").alias(f"w{i}") for i in range(SKETCH)])

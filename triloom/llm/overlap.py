@@ -11,6 +11,7 @@ which every token is a chunk.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -80,13 +81,21 @@ def _sided(df: DataFrame, splits: DataFrame, record: str, parts: tuple[str, ...]
     return found, members, reps.join(sides.withColumnRenamed("rep", "id"), "id")
 
 
-def cross_split(df: DataFrame, funcs: DataFrame, record: str = "fn_id", parts: tuple[str, ...] = ("a", "rel", "b"), path: str = "path", t: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a training and an evaluation record whose sets have a Jaccard similarity of at least ``t``.
+@dataclass
+class Alike:
+    """``members``: rec, rep, split, .. of every record of a split. ``exact``: paired representatives (id_a, id_b, n_a, n_b, both). ``reps``: their sets."""
+
+    members: DataFrame
+    exact: DataFrame
+    reps: DataFrame
+    t: float
+
+
+def alike(df: DataFrame, funcs: DataFrame, record: str = "fn_id", parts: tuple[str, ...] = ("a", "rel", "b"), path: str = "path", t: float = 0.9) -> Alike:
+    """Representatives of equal sets, one with a training and the other with an evaluation record, of a Jaccard similarity of at least ``t``.
 
     The split follows from the role in ``funcs.path``: vuln and patch train, before and after evaluate; records of other
-    or no role are left out. First result: fn_a, fn_b (fn_a < fn_b), split_a, split_b, each pair once. Second result:
-    the paired representatives (the smallest names of records with equal sets) with both (tokens shared) and, from the lengths of the chunks shared, overlap_a and
-    overlap_b. Rows with a null part or record are left out, repeated rows count once; empty tables give no rows.
+    or no role are left out. Rows with a null part or record are left out, repeated rows count once; empty tables give no rows.
     """
     role = role_of(col(funcs, path))
     split = F.when(role.isin(TRAINING), "train").when(role.isin(EVALUATION), "eval")
@@ -106,21 +115,44 @@ def cross_split(df: DataFrame, funcs: DataFrame, record: str = "fn_id", parts: t
     met = a.join(b, ["grp", "key"]).where("id_a <> id_b").where(near).select("id_a", "id_b", "bits_a", "bits_b", "n_a", "n_b").distinct()
     exact = S.shared(found, met).where(F.col("both") >= F.lit(t) * (F.col("n_a") + F.col("n_b") - F.col("both")) - 1e-9)
     exact = cut(exact, "alike")
-    pairs = S.expanded(exact.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct(), members).where("split_a <> split_b").distinct()
-    # overlap fractions: lengths of all chunks that both have, of the first level
+    return Alike(members, exact, reps, t)
+
+
+def pairs(found: Alike) -> DataFrame:
+    """(fn_a, fn_b, split_a, split_b), fn_a < fn_b: all pairs of a training and an evaluation record that are alike, each once."""
+    ends = found.exact.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    return S.expanded(ends, found.members).where("split_a <> split_b").distinct()
+
+
+def overlaps(found: Alike) -> DataFrame:
+    """The paired representatives (fn_a, fn_b: the smallest names of records with equal sets) with n_a, n_b, both (tokens shared) and, from the lengths of the chunks shared, overlap_a and overlap_b."""
+    exact, members = found.exact, found.members
     wanted = exact.select(F.col("id_a").alias("id")).unionAll(exact.select(F.col("id_b").alias("id"))).distinct()
-    cuts = reps.join(wanted, "id", "left_semi").transform(arrow, _chunks(t, 0), _SCHEMA).select("id", "key", "size")
+    cuts = found.reps.join(wanted, "id", "left_semi").transform(arrow, _chunks(found.t, 0), _SCHEMA).select("id", "key", "size")
     ca = cuts.select(F.col("id").alias("id_a"), "key", "size")
     cb = cuts.select(F.col("id").alias("id_b"), "key")
     length = exact.select("id_a", "id_b").join(ca, "id_a").join(cb, ["id_b", "key"]).groupBy("id_a", "id_b").agg(F.sum("size").alias("chunked"))
     name = lambda x: members.groupBy("rep").agg(F.min("rec").alias(f"fn_{x}")).withColumnRenamed("rep", f"id_{x}")
-    over = exact.join(length, ["id_a", "id_b"], "left").join(name("a"), "id_a").join(name("b"), "id_b").select("fn_a", "fn_b", "n_a", "n_b", "both", (F.coalesce("chunked", F.lit(0)) / F.col("n_a")).alias("overlap_a"), (F.coalesce("chunked", F.lit(0)) / F.col("n_b")).alias("overlap_b"))
-    return pairs, over
+    named = exact.join(length, ["id_a", "id_b"], "left").join(name("a"), "id_a").join(name("b"), "id_b")
+    return named.select("fn_a", "fn_b", "n_a", "n_b", "both", (F.coalesce("chunked", F.lit(0)) / F.col("n_a")).alias("overlap_a"), (F.coalesce("chunked", F.lit(0)) / F.col("n_b")).alias("overlap_b"))
+
 
+def overlap_report(found: Alike, funcs: DataFrame, record: str = "fn_id", repo: str = "repo") -> DataFrame:
+    """For each split and repo: records that have a partner in the other split, and pairs they are in.
 
-def overlap_report(pairs: DataFrame, funcs: DataFrame, record: str = "fn_id", repo: str = "repo") -> DataFrame:
-    """For each split and repo: records that have a partner in the other split, and pairs they are in."""
-    ends = pairs.select(F.col("fn_a").alias("rec"), F.col("split_a").alias("split"), F.col("fn_b").alias("other")).unionAll(pairs.select("fn_b", "split_b", "fn_a"))
+    Counted from classes: a record's partners are the other split's members of its own class and of those it is paired
+    with, so no pair of records is ever listed.
+    """
+    sizes = found.members.groupBy("rep", "split").agg(F.count_distinct("rec").alias("k"))
+    links = found.exact.select("id_a", "id_b").unionAll(found.exact.select("id_b", "id_a")).unionAll(found.members.select("rep", "rep")).toDF("rep", "other").distinct()
+    facing = links.join(sizes.select(F.col("rep").alias("other"), F.when(F.col("split") == "train", "eval").otherwise("train").alias("split"), "k"), "other").groupBy("rep", "split").agg(F.sum("k").alias("n"))
+    both = found.members.groupBy("rec").agg((F.count_distinct("split") - 1).alias("own"))  # a record of both splits is no partner of itself
+    per = found.members.select("rec", "rep", "split").distinct().join(facing, ["rep", "split"]).join(both, "rec").select("rec", "split", (F.col("n") - F.col("own")).alias("n")).where("n > 0")
     named = funcs.select(col(funcs, record).cast("string").alias("rec"), col(funcs, repo).alias("repo")).distinct()
-    per = ends.groupBy("rec", "split").agg(F.count("*").alias("n"))
     return per.join(named, "rec").groupBy("split", "repo").agg(F.countDistinct("rec").alias("n_records"), F.sum("n").alias("n_pairs"))
+
+
+def cross_split(df: DataFrame, funcs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """What :func:`pairs` and :func:`overlaps` give for :func:`alike`."""
+    found = alike(df, funcs, **how)
+    return pairs(found), overlaps(found)

@@ -41,17 +41,28 @@ def p4_neighbours(spark, d):
     return vectors.nearest_neighbours(table(spark, d, "vectors"))
 
 
+def _alike(spark, d):
+    return overlap.alike(table(spark, d, "triples"), table(spark, d, "funcs"))
+
+
 def p5_found(spark, d):
-    return overlap.cross_split(table(spark, d, "triples"), table(spark, d, "funcs"))[0].select("fn_a", "fn_b")
+    return overlap.pairs(_alike(spark, d)).select("fn_a", "fn_b")
 
 
 def p5_report(spark, d):
-    funcs = table(spark, d, "funcs")
-    return overlap.overlap_report(overlap.cross_split(table(spark, d, "triples"), funcs)[0], funcs)
+    return overlap.overlap_report(_alike(spark, d), table(spark, d, "funcs"))
 
 
 def p5_overlaps(spark, d):
-    return overlap.cross_split(table(spark, d, "triples"), table(spark, d, "funcs"))[1]
+    return overlap.overlaps(_alike(spark, d))
+
+
+def p5_classes(spark, d):
+    # without the fractions, which follow from hashes, but with what must hold for them
+    sound = [F.col(f"overlap_{x}").between(0, F.col("both") / F.col(f"n_{x}") + 1e-9) for x in "ab"]
+    rows = overlap.overlaps(_alike(spark, d)).select("fn_a", "fn_b", "n_a", "n_b", "both", (sound[0] & sound[1]).alias("sound"))
+    swap = F.col("fn_a") > F.col("fn_b")
+    return rows.select(*[F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for c in ("fn", "n") for x, y in (("a", "b"), ("b", "a"))], "both", "sound").distinct()
 
 
 def p7_found(spark, d):
@@ -96,7 +107,7 @@ def p10_pieces(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_neighbours, p5_found, p5_report, p5_overlaps, p7_found, p7_files, p7_rates, p8_found, p8_leaks, p9_found, p9_shares, p9_sequence, p10_found, p10_pieces)
+    own = (p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_neighbours, p5_found, p5_report, p5_overlaps, p5_classes, p7_found, p7_files, p7_rates, p8_found, p8_leaks, p9_found, p9_shares, p9_sequence, p10_found, p10_pieces)
     return {f.__name__: f for f in own}
 
 
@@ -157,6 +168,9 @@ def oracle_sql() -> dict[str, str]:
         "p4_neighbours": _NEAREST + "select f as fn_id, g as neighbour, d::bigint as d2, r as rank from k where r <= 5",
         "p5_found": _PAIRS + _ROLES + "select distinct fn_a, fn_b from f",
         "p5_report": _PAIRS + _ROLES + ", x as (select fn_a as fn_id, split_a as split, fn_b as other from f union all select fn_b, split_b, fn_a from f) select split, repo, count(distinct fn_id) as n_records, count(*) as n_pairs from x join (select distinct fn_id, repo from funcs) using (fn_id) group by split, repo",
+        "p5_classes": _PAIRS + _ROLES + """, q as (select fn_id, 1 as k from r where split is not null group by fn_id), eq as (select z.fn_id, least(z.fn_id, coalesce(min(o), z.fn_id)) as rep from z join q using (fn_id) left join (select fn_a as s, fn_b as o from p where j = 1 union all select fn_b, fn_a from p where j = 1) e on e.s = z.fn_id and e.o in (select fn_id from q) group by z.fn_id),
+g as (select distinct least(x.rep, y.rep) as fn_a, greatest(x.rep, y.rep) as fn_b from f join eq x on x.fn_id = f.fn_a join eq y on y.fn_id = f.fn_b where x.rep <> y.rep)
+select g.fn_a, g.fn_b, za.n as n_a, zb.n as n_b, i.n as "both", true as sound from g join z za on za.fn_id = g.fn_a join z zb on zb.fn_id = g.fn_b join i on i.fn_a = g.fn_a and i.fn_b = g.fn_b""",
         "p8_found": _WORDS,
         "p9_found": _SUMS + "select source from t where max_repeats * tokens * 1000 < target_permille * (select sum(tokens) from t)",
         "p10_found": f"select doc_id from documents where {_TOKENS.format('text')} > 900",
