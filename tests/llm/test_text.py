@@ -124,6 +124,32 @@ def test_exact_leaks(spark, monkeypatch, bound, size):
     assert {p for p, v in got.items() if v[0] == "exact"} == brute(docs, items)
 
 
+PLANTED = {
+    "en": ("Before noon Zeldundt carried 14 kilos of salted herring over the bridge, then {n} sold 9 crates to the miller", {"Zeldundt": "Orvik", "14 kilos": "370 pounds", "9 crates": "twelve barrels"}, {"n": "Zeldundt"}),
+    "de": ("Am Morgen trug Zeldundt 14 Kilo gesalzene Heringe über die Brücke und danach verkaufte {n} noch 9 Kisten an den Müller", {"Zeldundt": "Orvik", "14 Kilo": "zwölf Pfund", "9 Kisten": "31 Fässer"}, {"n": "Zeldundt"}),
+    "fr": ("Avant midi Zeldundt porta 14 kilos de harengs salés par le pont puis {n} vendit encore 9 caisses au meunier du village", {"Zeldundt": "Orvik", "14 kilos": "trente livres", "9 caisses": "7 barils"}, {"n": "Zeldundt"}),
+    "ru": ("До полудня Зельдунд нёс через мост 14 килограммов солёной сельди, а потом {n} продал мельнику ещё 9 ящиков рыбы", {"Зельдунд": "Орвик", "14 килограммов": "37 фунтов", "9 ящиков": "12 бочек"}, {"n": "Зельдунд"}),
+}
+
+
+def test_changed_slots_in_several_languages(spark):
+    items, docs, want = [], [], set()
+    for k, (text, changes, names) in enumerate(PLANTED.values()):
+        item = text.format(**names)
+        items.append((k, item))
+        new = item
+        for a, b in changes.items():
+            new = new.replace(a, b)
+        torn = new[::-1].replace("Orvik"[::-1], "Velm"[::-1], 1)[::-1].replace("Орвик", "Велм", 1)  # one name in the item, two in the document
+        docs += [(10 * k, item), (10 * k + 1, f"As was said. {new} And so on."), (10 * k + 2, torn)]
+        want |= {(10 * k, k, "exact"), (10 * k + 1, k, "changed")}
+    got = {(d, i, kind) for (d, i), (kind, _, _) in leaks(spark, docs, items).items()}
+    assert want <= got and {x for x in got - want if x[2] == "exact"} == set()
+    for k, (_, item) in enumerate(items):  # as a whole, the torn one is another question
+        whole = leaks(spark, docs[3 * k : 3 * k + 3], [(k, item)], window=len(WORDS.findall(item)))
+        assert {(d, kind) for (d, _), (kind, _, _) in whole.items()} == {(10 * k, "exact"), (10 * k + 1, "changed")}
+
+
 def test_changed_slots(spark):
     item = "Marta told Zeldundt that she had paid 20 pence for three miles of rope before Zeldundt returned on day 4"
     docs = [

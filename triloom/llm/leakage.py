@@ -3,8 +3,13 @@
 Words are canonicalised: numbers, names and units become placeholders, all others stay. A template is a window of k
 canonical words in a row. Templates of the items are joined by hash with those of the documents; a join partner is an
 exact leak if the words themselves are equal, and a re-parameterised one if the placeholders are filled consistently: one
-value of the item always stands for the same value in the document. The type of a word that occurs in an item depends on
-nothing but the lower-case word, so equal passages always have equal templates.
+value of the item always stands for the same value in the document.
+
+A number is a word that begins with a digit or another numeric character, or a number word of one of the languages given. A
+unit is whatever follows a number, so no list of units is needed; the first word of a window has nothing before it and is
+none. A name is a word that items capitalise within a sentence, and never write small; a language that capitalises other
+words too has more slots, and the check of consistency decides. The type of a word in a window depends on nothing but the
+window's lower-case words and the items' words, so equal passages always have equal templates.
 
 Documents are cut into words as vectors of code points, and only windows all of whose words can occur in a template leave
 the scan. That reduction is exact. Its vocabulary, the distinct words of the held-out items, is the same however many items
@@ -25,10 +30,13 @@ from pyspark.sql import functions as F
 from triloom.llm.tokens import WORD, classes, code_points
 from triloom.session import arrow, col
 
-#: Number words.
-NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
-#: Units of measure, money and time.
-UNITS = "pence penny pound pounds dollar dollars euro euros crown crowns cent cents day days week weeks month months year years hour hours minute minutes mile miles metre metres meter meters km kg ton tons percent".split()
+#: Number words by language, without those that are common as other words.
+NUMBERS = {
+    "en": "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split(),
+    "de": "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend".split(),
+    "fr": "zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante mille".split(),
+    "es": "cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil".split(),
+}
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Characters of all items up to which the driver reads them itself to list their words; beyond, tasks do.
 MAX_VOCABULARY_CHARS = 4_000_000
@@ -66,12 +74,16 @@ def _lower(word: str) -> list[str]:
     return [low[a:b] for a, b in zip(starts, ends)]
 
 
-def vocabulary(items: list[str]) -> dict[str, str]:
-    """The canonical form of every word of the items. A name is a word that is capitalised within a sentence, and never small."""
+def is_number(word: str, numbers: frozenset[str]) -> bool:
+    return word[0].isnumeric() or word in numbers
+
+
+def vocabulary(items: list[str], numbers: frozenset[str]) -> dict[str, str]:
+    """The canonical form of every word of the items, by itself. A name is a word that is capitalised within a sentence, and never small."""
     capital: dict[str, bool | None] = {}
     for text in items:
         _add(capital, words_of(text))
-    return _canonical(capital)
+    return _canonical(capital, numbers)
 
 
 def _add(capital: dict[str, bool | None], words: list[tuple[str, bool | None]]) -> None:
@@ -80,8 +92,8 @@ def _add(capital: dict[str, bool | None], words: list[tuple[str, bool | None]])
             capital[w] = up
 
 
-def _canonical(capital: dict[str, bool | None]) -> dict[str, str]:
-    return {w: NUM if w[0].isdigit() or w in _NUMBERS else UNIT if w in _UNITS else NAME if up else w for w, up in capital.items()}
+def _canonical(capital: dict[str, bool | None], numbers: frozenset[str]) -> dict[str, str]:
+    return {w: NUM if is_number(w, numbers) else NAME if up else w for w, up in capital.items()}
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,28 +104,27 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(capital), pa.string()), pa.array(list(capital.values()), pa.bool_())], ["word", "up"])
 
 
-_NUMBERS, _UNITS = frozenset(NUMBERS), frozenset(UNITS)
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, languages: tuple[str, ...] = tuple(NUMBERS), number_words: tuple[str, ...] = ()) -> DataFrame:
     """Documents that hold ``window`` consecutive words of an item, as they are or with other numbers, names and units.
 
     Columns: doc_id, item_id, n_exact and n_changed (distinct templates of the item that match with equal words, or with
     consistent other slot values), kind (``exact`` if any matches exactly, else ``changed``). Words are maximal runs of
     letters and digits in lower case; what stands between them is ignored. Null and empty texts, and items shorter than
-    the window, match nothing. Repeated rows of a document or item count once.
+    the window, match nothing. Repeated rows of a document or item count once. ``languages`` choose among NUMBERS,
+    ``number_words`` adds words (in lower case) of others.
     """
+    numbers = frozenset(number_words).union(*(NUMBERS[x] for x in languages))
     own = items.select(col(items, item_id).alias("item_id"), col(items, item_text).alias("text")).where("text is not null")
     chars = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if chars <= MAX_VOCABULARY_CHARS:
-        vocab = vocabulary([r.text for r in own.select("text").collect()])
+        vocab = vocabulary([r.text for r in own.select("text").collect()], numbers)
     else:
         listed = own.select("text").transform(arrow, _item_words, "word string, up boolean").groupBy("word").agg(F.min("up").alias("up"))
-        vocab = _canonical({r.word: r.up for r in listed.collect()})
+        vocab = _canonical({r.word: r.up for r in listed.collect()}, numbers)
     schema = "id {}, template string, words string"
-    wanted = own.transform(arrow, _windows(vocab, window), schema.format(dict(own.dtypes)["item_id"])).select(F.col("id").alias("item_id"), "template", F.col("words").alias("item_words")).distinct()
+    wanted = own.transform(arrow, _windows(vocab, window, numbers), schema.format(dict(own.dtypes)["item_id"])).select(F.col("id").alias("item_id"), "template", F.col("words").alias("item_words")).distinct()
     body = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text")).where(F.length("text") > window)
-    found = body.transform(arrow, _windows(vocab, window), schema.format(dict(body.dtypes)["doc_id"])).select(F.col("id").alias("doc_id"), "template", "words")
+    found = body.transform(arrow, _windows(vocab, window, numbers), schema.format(dict(body.dtypes)["doc_id"])).select(F.col("id").alias("doc_id"), "template", "words")
     if chars <= MAX_BROADCAST_CHARS:
         wanted = F.broadcast(wanted)
     pairs = found.join(wanted, "template")
@@ -134,22 +145,27 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)]), np.cumprod(np.r_[np.uint64(1), np.full(n, inverse)])
 
 
-def _windows(vocab: dict[str, str], k: int):
+def _hashes(words: list[str]) -> np.ndarray:
+    if not words:
+        return np.zeros(0, np.uint64)
+    up, _ = _powers(max(map(len, words)))
+    return np.unique(np.array([np.sum(code_points(w).astype(np.uint64) * up[: len(w)]) for w in words], np.uint64))
+
+
+def _in(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
+def _windows(vocab: dict[str, str], k: int, numbers: frozenset[str]):
     """(id, template, words) of every window of k words that can match; each distinct one of a text once."""
-    known = np.zeros(0, np.uint64)
-    if vocab:
-        listed = [*vocab, *_NUMBERS, *_UNITS]
-        up, _ = _powers(max(map(len, listed)))
-        known = np.unique(np.array([np.sum(code_points(w).astype(np.uint64) * up[: len(w)]) for w in listed], np.uint64))
+    known, counted = (_hashes(sorted(x)) for x in ({*vocab, *numbers} if vocab else (), numbers))
 
     def canon(w: str, capital: bool | None) -> str:
         if (c := vocab.get(w)) is not None:
             return c
-        if w[0].isdigit() or w in _NUMBERS:
-            return NUM
-        if w in _UNITS:
-            return UNIT
-        return "" if capital is False else NAME
+        return NUM if is_number(w, numbers) else "" if capital is False else NAME
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,16 +173,17 @@ def _windows(vocab: dict[str, str], k: int):
             templates: list[str] = []
             literals: list[str] = []
             for owners, texts in _pieces(batch.column(1).to_pylist(), k):
-                for i, stretch, opens in _stretches(texts, known, k):
+                for i, stretch, opens in _stretches(texts, known, counted, k):
                     ws = words_of(stretch, opens)
-                    cs = [canon(*w) for w in ws]
+                    alone = [canon(*w) for w in ws]
+                    within = [UNIT if j and alone[j - 1] == NUM and c != NUM else c for j, c in enumerate(alone)]
                     seen = set()
                     gap = -1  # the last word that is in no template
-                    for j, c in enumerate(cs):
+                    for j, c in enumerate(within):
                         if not c:
                             gap = j
-                        if j - gap >= k:
-                            pair = (" ".join(cs[j - k + 1 : j + 1]), " ".join(w for w, _ in ws[j - k + 1 : j + 1]))
+                        if j - gap >= k and alone[first := j - k + 1]:
+                            pair = (" ".join([alone[first], *within[first + 1 : j + 1]]), " ".join(w for w, _ in ws[first : j + 1]))
                             if pair not in seen:
                                 seen.add(pair)
                                 at.append(owners[i])
@@ -213,7 +230,7 @@ def _parts(text: str, k: int) -> Iterator[str]:
     yield text[start:]
 
 
-def _stretches(texts: list[str], known: np.ndarray, k: int) -> Iterator[tuple[int, str, bool]]:
+def _stretches(texts: list[str], known: np.ndarray, counted: np.ndarray, k: int) -> Iterator[tuple[int, str, bool]]:
     """(text, part of it, whether it opens a sentence) for every part that has k or more words in a row that may be in a template."""
     odd = {i for i, t in enumerate(texts) if len(t.lower()) != len(t)}  # a letter becomes two: these few are taken whole
     yield from ((i, texts[i], True) for i in odd)
@@ -226,10 +243,11 @@ def _stretches(texts: list[str], known: np.ndarray, k: int) -> Iterator[tuple[in
     up, down = _powers(len(points))
     sums = np.r_[np.uint64(0), np.cumsum(points.astype(np.uint64) * up[:-1])]
     hashes = (sums[ends] - sums[starts]) * down[starts]
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    may = known[at] == hashes
+    may = _in(hashes, known)
     may |= raw[starts] != points[starts]  # capitalised: may fill the slot of a name
-    may |= _digits()[points[starts]]
+    number = _numeric()[points[starts]] | _in(hashes, counted)
+    may |= number
+    may[1:] |= number[:-1]  # may fill the slot of a unit
     owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
     on = np.flatnonzero(np.diff(may.astype(np.int8), prepend=0, append=0))
     for a, b in zip(on[::2], on[1::2]):
@@ -243,5 +261,5 @@ def _stretches(texts: list[str], known: np.ndarray, k: int) -> Iterator[tuple[in
 
 
 @functools.cache
-def _digits() -> np.ndarray:
-    return np.array([chr(i).isdigit() for i in range(sys.maxunicode + 1)])
+def _numeric() -> np.ndarray:
+    return np.array([chr(i).isnumeric() for i in range(sys.maxunicode + 1)])

@@ -10,6 +10,7 @@ import json
 import re
 import sys
 import warnings
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,13 +23,18 @@ from triloom.session import arrow, col
 #: The language of each extension.
 EXTENSIONS = {".c": "c", ".h": "c", ".cc": "c++", ".cpp": "c++", ".py": "python", ".json": "json"}
 LANGUAGES = ["c", "c++", "python", "json"]
-#: What speaks for a language when the grammars are ranked.
+#: A token, for ranking: a word, an operator of two characters that tells languages apart, a string, or any other mark.
+TOKEN = re.compile(r"""[^\W\d]\w*|::|->|\+\+|--|&&|\|\||<<|>>|"(?:[^"\\\n]|\\.)*"\s*:|"(?:[^"\\\n]|\\.)*"|[^\w\s]""")
+#: Tokens that speak for a language.
 SIGNS = {
-    "c": re.compile(r"^\s*#\s*(?:include|define|if)|;\s*$|->|\b(?:int|char|void|struct|static|return)\b", re.M),
-    "c++": re.compile(r"^\s*#\s*(?:include|define|if)|;\s*$|::|\b(?:class|template|namespace|public|private|const|auto|std|return)\b", re.M),
-    "python": re.compile(r"^\s*(?:def|class|import|from|if|for|while|elif|else|try|with)\b.*:?\s*$|:\s*$|\b(?:self|None|True|False)\b|^\s*#(?!\s*(?:include|define|if|endif|else))", re.M),
-    "json": re.compile(r'^\s*[\[{]|"\s*:|\btrue\b|\bfalse\b|\bnull\b|[\]}],?\s*$', re.M),
+    "c": "int char void struct static return unsigned long short sizeof typedef enum union extern const goto switch case break include define ifdef endif NULL ; -> { } && || ++ *".split(),
+    "c++": "class template namespace public private protected virtual typename using operator new delete nullptr bool auto const std string vector override int char void return include define ; :: -> { } && || ++ << >>".split(),
+    "python": "def class import from if elif else for in while with as try except finally raise return yield lambda pass self None True False and or not is : # @".split(),
+    "json": "true false null { }".split(),
 }
+#: A sign of k languages counts 1 / k for each; a string before a colon, as keys in JSON are, counts KEY.
+WEIGHTS = {x: {t: 1 / sum(t in other for other in SIGNS.values()) for t in signs} for x, signs in SIGNS.items()}
+KEY = 2
 _CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: |$)|^={7}$", re.M)
 _ATOM = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)(?![\w.+-]))')
 
@@ -97,8 +103,11 @@ def error(text: str, language: str) -> str | None:
 
 
 def ranked(text: str) -> list[str]:
-    """The languages, likeliest first, by the share of lines that show their signs."""
-    return sorted(LANGUAGES, key=lambda x: (-len(SIGNS[x].findall(text)), LANGUAGES.index(x)))
+    """The languages, likeliest first, by the share of the text's tokens that speak for them."""
+    counts = Counter(TOKEN.findall(text))
+    score = {x: sum(w * counts[t] for t, w in signs.items()) for x, signs in WEIGHTS.items()}
+    score["json"] += KEY * sum(n for t, n in counts.items() if t[0] == '"' and t[-1] == ":")
+    return sorted(LANGUAGES, key=lambda x: (-score[x], LANGUAGES.index(x)))
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
