@@ -77,6 +77,10 @@ def p7_rates(spark, d):
     return syntax.error_rates(syntax.check_sources(table(spark, d, "vuln_patch_src_db")))
 
 
+def p7_json(spark, d):
+    return syntax.check_sources(table(spark, d, "vuln_patch_src_db")).where("language = 'json' and invalid is not null").select("src_id", "invalid")
+
+
 def p8_found(spark, d):
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("kind = 'exact'").select("doc_id", "item_id")
 
@@ -97,6 +101,29 @@ def p9_sequence(spark, d):
     return mixture.ordered(mixture.mix(table(spark, d, "documents"), table(spark, d, "source_weights"))[0])
 
 
+def p9_checks(spark, d):
+    """For each source what follows from its documents, and whether the sequence keeps to it: no document in a round twice or beyond its
+    repeats, positions within 0 and 1, and as many tokens as asked for or there are, to the length of one document."""
+    weights = table(spark, d, "source_weights")
+    sequence, report = mixture.mix(table(spark, d, "documents"), weights)
+    used = sequence.groupBy("source", "doc_id", "round").agg(F.count("*").alias("n"), F.min("position").alias("lo"), F.max("position").alias("hi"), F.max("n_tokens").alias("size"))
+    per = used.groupBy("source").agg(F.max("n").alias("n"), F.max("round").alias("last"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("size").alias("size"))
+    rows = report.join(weights.select("source", "max_repeats"), "source").join(per, "source", "left")
+    least = F.least(F.col("demand_tokens"), F.col("tokens") * F.col("max_repeats"))
+    sound = (F.col("n") == 1) & (F.col("last") < F.col("max_repeats")) & F.col("lo").between(0, 1) & F.col("hi").between(0, 1) & (F.col("placed_tokens") >= least) & (F.col("placed_tokens") < least + F.col("size") + 1)
+    return rows.select("source", "target_permille", "tokens", "short", sound.alias("sound"))
+
+
+def p10_checks(spark, d):
+    """For each split text whether its pieces make it up, keep the limit and share what they must."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
+    rows = chunking.split_texts(table(spark, d, "documents")).join(docs, "doc_id")
+    good = (F.col("text") == F.expr("substring(body, int(start) + 1, int(stop - start))")) & (F.col("n_tokens") <= 900) & (F.col("n_overlap") == F.when(F.col("piece_no") == 0, 0).otherwise(60)) & (F.col("start") <= F.col("core_start"))
+    per = rows.groupBy("doc_id").agg(F.bool_and(good).alias("good"), F.sum(F.col("stop") - F.col("core_start")).alias("held"), F.min("core_start").alias("lo"), F.max("stop").alias("hi"), F.count("*").alias("n"), F.max("n_pieces").alias("n_pieces"), F.max(F.length("body")).cast("long").alias("n_chars"))
+    whole = F.col("good") & (F.col("held") == F.col("n_chars")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n_chars")) & (F.col("n") == F.col("n_pieces"))
+    return per.select("doc_id", "n_chars", whole.alias("whole"))
+
+
 def p10_found(spark, d):
     # the second piece of a text is there if and only if the text was split
     return chunking.split_texts(table(spark, d, "documents"), with_text=False).where("piece_no = 1").select("doc_id")
@@ -107,7 +134,7 @@ def p10_pieces(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_neighbours, p5_found, p5_report, p5_overlaps, p5_classes, p7_found, p7_files, p7_rates, p8_found, p8_leaks, p9_found, p9_shares, p9_sequence, p10_found, p10_pieces)
+    own = (p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_neighbours, p5_found, p5_report, p5_overlaps, p5_classes, p7_found, p7_files, p7_rates, p7_json, p8_found, p8_leaks, p9_found, p9_shares, p9_sequence, p9_checks, p10_found, p10_pieces, p10_checks)
     return {f.__name__: f for f in own}
 
 
@@ -171,7 +198,10 @@ def oracle_sql() -> dict[str, str]:
         "p5_classes": _PAIRS + _ROLES + """, q as (select fn_id, 1 as k from r where split is not null group by fn_id), eq as (select z.fn_id, least(z.fn_id, coalesce(min(o), z.fn_id)) as rep from z join q using (fn_id) left join (select fn_a as s, fn_b as o from p where j = 1 union all select fn_b, fn_a from p where j = 1) e on e.s = z.fn_id and e.o in (select fn_id from q) group by z.fn_id),
 g as (select distinct least(x.rep, y.rep) as fn_a, greatest(x.rep, y.rep) as fn_b from f join eq x on x.fn_id = f.fn_a join eq y on y.fn_id = f.fn_b where x.rep <> y.rep)
 select g.fn_a, g.fn_b, za.n as n_a, zb.n as n_b, i.n as "both", true as sound from g join z za on za.fn_id = g.fn_a join z zb on zb.fn_id = g.fn_b join i on i.fn_a = g.fn_a and i.fn_b = g.fn_b""",
+        "p7_json": "select src_id, not json_valid(content) as invalid from vuln_patch_src_db where content is not null and lower(regexp_extract(curr_file, '[.][^./]*$')) = '.json'",
         "p8_found": _WORDS,
         "p9_found": _SUMS + "select source from t where max_repeats * tokens * 1000 < target_permille * (select sum(tokens) from t)",
+        "p9_checks": _SUMS + "select source, target_permille::bigint as target_permille, tokens, max_repeats * tokens * 1000 < target_permille * (select sum(tokens) from t) as short, true as sound from t",
+        "p10_checks": f"select doc_id, length(text) as n_chars, true as whole from documents where {_TOKENS.format('text')} > 900",
         "p10_found": f"select doc_id from documents where {_TOKENS.format('text')} > 900",
     }
