@@ -74,3 +74,12 @@ def test_graph_recall():
     for n in (0, 1, 2, 5):
         ids, d = Hnsw(x[:n]).search(x[:3], 6, 16)
         assert (ids >= 0).sum() == 3 * n
+
+
+def test_vectors_as_bytes_keep_every_number():
+    from triloom.llm.vectors import _numbers, _packed
+
+    x = np.array([[0, -1, 32767], [32768, 5, -7], [-(1 << 31), 1, 2], [(1 << 62), -(1 << 62), 3], [-(1 << 63), 0, 1]], np.int64)
+    raw = _packed(x)
+    assert [len(v) for v in raw.to_pylist()] == [6, 12, 12, 24, 24] and (_numbers(raw, 3) == x).all()
+    assert _numbers(_packed(x[:0]), 3).shape == (0, 3)

@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from triloom.llm.hnsw import Hnsw
 from triloom.session import arrow, col, cut
 
-#: Vectors the tree is fitted on, at most.
-SAMPLE = 65_536
-#: Sampled vectors that a leaf holds, at least.
-LEAF_SAMPLE = 64
+#: Vectors the tree is fitted on, at most (on the driver), and for up to 4,096 leaves.
+SAMPLE, FEW = 262_144, 65_536
+#: Sampled vectors that a leaf holds, at least: so there are at most 16,384 leaves, and a leaf grows beyond ``leaf_rows`` only with more than 134 million vectors.
+LEAF_SAMPLE = 16
+#: Cells of vectors and leaves that are looked at together.
+CELLS = 8_000_000
 
 
 class Tree:
@@ -92,35 +94,70 @@ class Tree:
         return np.maximum(0, far - slack[:, None]) ** 2
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int64)
+def _packed(x: np.ndarray) -> pa.Array:
+    """Vectors as bytes, in the fewest bytes a number that hold each vector."""
+    kinds = [np.dtype(t) for t in ("<i2", "<i4", "<i8")]
+    low, high = x.min(axis=1, initial=0), x.max(axis=1, initial=0)
+    width = sum(((low < np.iinfo(k).min) | (high > np.iinfo(k).max)).astype(np.int64) for k in kinds[:2])
+    small = [x.astype(k) for k in kinds]
+    return pa.array([small[w][i].tobytes() for i, w in enumerate(width)], pa.binary())
+
+
+def _numbers(column: pa.Array, dim: int) -> np.ndarray:
+    raw = column.to_pylist()
+    size = np.array([len(v) for v in raw], np.int64)
+    out = np.empty((len(raw), dim), np.int64)
+    for width in np.unique(size):
+        at = np.flatnonzero(size == width)
+        out[at] = np.frombuffer(b"".join(raw[i] for i in at), f"<i{width // dim}").reshape(-1, dim)
+    return out
 
 
 def _route(tree: Tree, dim: int, probes: int):
-    """Each vector as a row of its leaf (index), and as a query of the leaves it may have neighbours in."""
+    """Each vector as a row of its leaf (index), where it is a query too, and as a query of the other leaves it may have neighbours in."""
+    step = min(2000, max(1, CELLS >> (tree.depth + 2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 x = batch.column(1).flatten().to_numpy().reshape(-1, dim)
                 leaves = tree.leaves(x.astype(np.float32), probes)
                 n, p = leaves.shape
-                raw = pa.array([v.tobytes() for v in x], pa.binary())
-                take = pa.array(np.r_[np.arange(n), np.repeat(np.arange(n), p)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[leaves[:, 0], leaves.ravel()].astype(np.int32)), pa.array(np.r_[np.zeros(n, bool), np.ones(n * p, bool)]), batch.column(0).take(take), raw.take(take)], ["leaf", "query", "cid", "vec"])
+                take = pa.array(np.r_[np.arange(n), np.repeat(np.arange(n), p - 1)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[leaves[:, 0], leaves[:, 1:].ravel()].astype(np.int32)), pa.array(np.r_[np.zeros(n, bool), np.ones(n * (p - 1), bool)]), batch.column(0).take(take), _packed(x).take(take)], ["leaf", "query", "cid", "vec"])
 
     return run
 
 
 def _nearest(dim: int, k: int, m: int, ef_build: int, ef: int):
-    """Rows come sorted by leaf, index rows before queries: the leaf's graph is built, then its queries stream through."""
+    """Rows come sorted by leaf, index rows before queries: the leaf's graph is built, its own vectors are searched, then its queries stream through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, graph = None, None
         ids: list[np.ndarray] = []
         rows: list[np.ndarray] = []
         index, x = np.zeros(0, np.int64), np.zeros((0, dim), np.int64)
+
+        def searched(q: np.ndarray, qv: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(q), 2000):
+                part, v = q[lo : lo + 2000], qv[lo : lo + 2000]
+                at, _ = graph.search(v, k, ef)
+                r, c = np.nonzero(at >= 0)
+                found = at[r, c]
+                gap = x[found] - v[r]
+                d2 = np.einsum("ij,ij->i", gap, gap)  # exact: the graph's distances are single precision
+                yield pa.RecordBatch.from_arrays([pa.array(part[r]), pa.array(index[found]), pa.array(d2)], ["cid", "nb", "d2"])
+
+        def build() -> Iterator[pa.RecordBatch]:
+            nonlocal index, x, graph
+            index = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+            x = np.concatenate(rows) if rows else np.zeros((0, dim), np.int64)
+            order = np.argsort(index, kind="stable")
+            index, x = index[order], x[order]
+            graph = Hnsw(x, m=m, ef=ef_build)
+            yield from searched(index, x)
+
         for batch in batches:
             leaves = batch.column(0).to_numpy()
             edges = np.r_[0, np.flatnonzero(np.diff(leaves)) + 1, len(leaves)]
@@ -129,27 +166,21 @@ def _nearest(dim: int, k: int, m: int, ef_build: int, ef: int):
                     continue
                 part = batch.slice(a, b - a)
                 if leaves[a] != leaf:
+                    if ids and graph is None:
+                        yield from build()
                     leaf, graph, ids, rows = leaves[a], None, [], []
                 is_query = part.column(1).to_numpy(zero_copy_only=False)
-                cid, v = part.column(2).to_numpy(), _numbers(part.column(3)).reshape(-1, dim)
+                cid, v = part.column(2).to_numpy(), _numbers(part.column(3), dim)
                 if not is_query.all():
                     ids.append(cid[~is_query])
                     rows.append(v[~is_query])
                 if not is_query.any():
                     continue
                 if graph is None:
-                    index = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-                    x = np.concatenate(rows) if rows else np.zeros((0, dim), np.int64)
-                    order = np.argsort(index, kind="stable")
-                    index, x = index[order], x[order]
-                    graph = Hnsw(x, m=m, ef=ef_build)
-                q, qv = cid[is_query], v[is_query]
-                at, _ = graph.search(qv, k, ef)
-                r, c = np.nonzero(at >= 0)
-                found = at[r, c]
-                gap = x[found] - qv[r]
-                d2 = np.einsum("ij,ij->i", gap, gap)  # exact: the graph's distances are single precision
-                yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array(index[found]), pa.array(d2)], ["cid", "nb", "d2"])
+                    yield from build()
+                yield from searched(cid[is_query], v[is_query])
+        if ids and graph is None:
+            yield from build()
 
     return run
 
@@ -157,10 +188,12 @@ def _nearest(dim: int, k: int, m: int, ef_build: int, ef: int):
 def _route_rest(tree: Tree, dim: int, probes: int):
     """Each vector as a row of its leaf, and as a query of the leaves not searched yet that may hold a vector within ``bound``."""
 
+    step = min(2000, max(1, CELLS >> (tree.depth + 3)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 x = batch.column(1).flatten().to_numpy().reshape(-1, dim)
                 bound = np.nan_to_num(batch.column(2).cast(pa.float64()).to_numpy(zero_copy_only=False), nan=np.inf)
                 leaves = tree.leaves(x.astype(np.float32), probes)
@@ -170,9 +203,8 @@ def _route_rest(tree: Tree, dim: int, probes: int):
                 np.put_along_axis(near, leaves, False, axis=1)
                 who, leaf = np.nonzero(near)
                 n = len(x)
-                raw = pa.array([v.tobytes() for v in x], pa.binary())
                 take = pa.array(np.r_[np.arange(n), who])
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[leaves[:, 0], leaf].astype(np.int32)), pa.array(np.r_[np.zeros(n, bool), np.ones(len(who), bool)]), batch.column(0).take(take), raw.take(take), pa.array(bound).take(take)], ["leaf", "query", "cid", "vec", "bound"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[leaves[:, 0], leaf].astype(np.int32)), pa.array(np.r_[np.zeros(n, bool), np.ones(len(who), bool)]), batch.column(0).take(take), _packed(x).take(take), pa.array(bound).take(take)], ["leaf", "query", "cid", "vec", "bound"])
 
     return run
 
@@ -194,7 +226,7 @@ def _scan(dim: int, k: int):
                 if leaves[a] != leaf:
                     leaf, x, ids, rows = leaves[a], None, [], []
                 is_query = part.column(1).to_numpy(zero_copy_only=False)
-                cid, v, bound = part.column(2).to_numpy(), _numbers(part.column(3)).reshape(-1, dim), part.column(4).to_numpy()
+                cid, v, bound = part.column(2).to_numpy(), _numbers(part.column(3), dim), part.column(4).to_numpy()
                 if not is_query.all():
                     ids.append(cid[~is_query])
                     rows.append(v[~is_query])
@@ -223,7 +255,7 @@ def nearest_neighbours(df: DataFrame, record: str = "fn_id", vec: str = "vec", d
     Equal distances go to the smaller name; d2 is the exact squared distance. Vectors that are null, of another length
     than ``dim``, or hold a null are left out, as are records without a name; of several vectors of a record the smallest
     counts. With fewer than k other records, all are returned; an empty table gives no rows. The tree is fitted on at most
-    ``sample`` distinct vectors, chosen by hash; every vector is indexed and searched, by graph in ``probes`` leaves, then by
+    ``sample`` distinct vectors, chosen by hash, 16 or more for a leaf; every vector is indexed and searched, by graph in ``probes`` leaves, then by
     scan in all others that may hold a vector as near as the k-th so found. Components must be integers, their
     squared distances below 2^63.
     """
@@ -237,7 +269,8 @@ def nearest_neighbours(df: DataFrame, record: str = "fn_id", vec: str = "vec", d
     few = first.select("fn", "x1", "x2").join(names, ["x1", "x2"]).select("cid", "fn")
     members = one.select("fn", "x1", "x2").join(names, ["x1", "x2"]).select("cid", "fn")
     n = distinct.count()
-    picked = distinct.select("vec").orderBy(F.xxhash64("vec")).limit(min(sample, max(LEAF_SAMPLE, n))).toArrow().column(0).combine_chunks()
+    wanted = min(sample, max(FEW, LEAF_SAMPLE << max(0, -(-n // leaf_rows) - 1).bit_length()))
+    picked = distinct.select("vec").orderBy(F.xxhash64("vec")).limit(wanted).toArrow().column(0).combine_chunks()
     rows = np.asarray(picked.flatten() if isinstance(picked, pa.Array) else pa.concat_arrays(picked.chunks).flatten()).reshape(-1, dim)
     depth = 0
     while n > leaf_rows << depth and len(rows) >= LEAF_SAMPLE << (depth + 1):
