@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from triloom import __main__ as cli
 from triloom.functions import scalars
-from triloom.operators import align, evaluate, fuzzy, graphalg, history, ingest, match, matchers, signature, structure, triples
+from triloom.operators import align, dense, evaluate, graphalg, history, ingest, match, matchers, signature, structure, triples
 from triloom.sources import readers, writers
 
 
@@ -116,6 +116,19 @@ def test_fuzzy_scores(spark):
     assert got(match.score_fuzzy(pairs, parts, tg), "target_id", "cvg", "pvg", "nvg") == [("t", 100.0, 75.0, 0.0), ("u", 0.0, 0.0, 0.0)]
 
 
+def test_exact_scores_of_all_targets(spark, monkeypatch):
+    r = random.Random(9)
+    tr = df(spark, TR, *[(f"f{i}", r.choice("abcd"), "r", r.choice("xyz")) for i in range(50) for _ in range(r.randint(1, 9))], (None, "a", "r", "x"), ("f0", None, "r", "x"))
+    parts = df(spark, "sig_id string, part string, a string, rel string, b string", *{(f"s{i}", p, r.choice("abcde"), "r", r.choice("xyz")) for i in range(9) for p in match.PARTS for _ in range(r.randint(0, 5))})
+    text = lambda rows: sorted(str(tuple(x)) for x in rows.collect())
+    want = text(match.score_exact(parts, tr).select("sig_id", "target_id", *match.PARTS))
+    assert text(dense.score_exact(parts, tr)) == want and "None" in str(want)
+    monkeypatch.setattr(dense, "SIG_BLOCK", 30)
+    monkeypatch.setattr(dense, "TARGET_CHUNK", 40)
+    assert text(dense.score_exact(parts, tr)) == want
+    assert dense.score_exact(parts.limit(0), tr).count() == 0 == dense.score_exact(parts, tr.limit(0)).count()
+
+
 def test_fuzzy_scores_of_all_targets(spark, tmp_path):
     r = random.Random(5)
     word = lambda: "".join(r.choices("abcdé", k=r.randint(0, 4)))
@@ -125,8 +138,8 @@ def test_fuzzy_scores_of_all_targets(spark, tmp_path):
     targets = [f"f{i}" for i in range(24)]
     pairs = df(spark, "sig_id string, target_id string", *[(f"s{i}", t) for i in range(6) for t in targets])
     want = got(match.score_fuzzy(pairs, parts, tr), "sig_id", "target_id", *match.PARTS)
-    assert got(fuzzy.score_all(parts, tr), "sig_id", "target_id", *match.PARTS) == [x for x in want if x[2] > 0]
-    assert got(fuzzy.score_all(parts, tr, floor=50.0), "sig_id", "target_id", *match.PARTS) == [x for x in want if x[2] > 50]
+    assert got(dense.score_all(parts, tr), "sig_id", "target_id", *match.PARTS) == [x for x in want if x[2] > 0]
+    assert got(dense.score_all(parts, tr, floor=50.0), "sig_id", "target_id", *match.PARTS) == [x for x in want if x[2] > 50]
 
     # the command line finds a clone under another CVE and another name
     fn = lambda i, cve, role, func: (i, "r", cve, f"d/r/{cve}/{role}/h_1/f.c/graph/{func}.gpickle", "x", None)

@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from triloom.functions.scalars import extension, is_scan_hit, source_key
-from triloom.operators import evaluate, fuzzy, history, ingest, match, signature, triples
+from triloom.operators import dense, evaluate, history, ingest, match, signature, triples
 from triloom.session import cut, table
 from triloom.sources import readers, writers
 
@@ -116,9 +116,9 @@ def scan(spark: SparkSession, data: str, sigs: str, out: str, how: str) -> None:
     tg = signature.targets(table(spark, data, "funcs"))
     (sig, parts, _), rows = readers.signature_db(spark, sigs, vectors=False), table(spark, data, "triples")
     if how == "e":
-        scores, hits = match.score_exact(parts, rows), match.hits_scan(parts, rows)
+        scores, hits = dense.score_exact(parts, rows), match.hits_scan(parts, rows)
     else:
-        scores = cut(fuzzy.score_all(parts, rows), "scores")
+        scores = cut(dense.score_all(parts, rows), "scores")
         hits = scores.where(is_scan_hit(F.col("cvg"), F.col("pvg"), F.col("nvg")))
     writers.text(match.score_lines(match.every_pair(scores, parts, tg), sig, tg), f"{out}/scores")
     writers.text(match.hit_lines(hits, sig, tg), f"{out}/hits")

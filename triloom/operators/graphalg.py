@@ -42,23 +42,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 def bfs_tree(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(root, node, parent, depth) of the undirected graph, breadth first; of several parents the smallest. ``roots``: node.
 
-    One join for each level, against the nodes that level reached; the root has no parent and depth 0.
+    One join for each level: neighbours of a level's nodes are in it, in the one before or in the next, so a level is compared with
+    two others and not with all nodes reached. The root has no parent and depth 0.
     """
     e = edges.select(col(edges, src).alias("u"), col(edges, dst).alias("v")).dropna()
     e = cut(e.unionAll(e.select("v", "u")).where("u <> v").distinct(), "edges")
     new = cut(roots.select(F.col("node").alias("root"), "node", F.lit(None).cast(dict(e.dtypes)["u"]).alias("parent"), F.lit(0).alias("depth")).distinct(), "level")
     levels = [new]
-    seen = new
     while not new.isEmpty():
+        near = new if len(levels) < 2 else new.unionByName(levels[-2])
         met = new.select("root", F.col("node").alias("u"), (F.col("depth") + 1).alias("depth")).join(e, "u").groupBy("root", F.col("v").alias("node"), "depth").agg(F.min("u").alias("parent"))
-        new = cut(met.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", "parent", "depth"), "level")
+        new = cut(met.join(near.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", "parent", "depth"), "level")
         levels.append(new)
-        seen = seen.unionByName(new)
-    return seen
+    tree = levels[0]
+    for level in levels[1:-1]:  # the last is empty
+        tree = tree.unionByName(level)
+    return tree
 
 
 def subtree_sizes(tree: DataFrame) -> DataFrame:
     """(root, node, size) of a tree from :func:`bfs_tree`: nodes below and including each one, summed from the deepest level up."""
+    tree = cut(tree, "tree", by="depth")  # a level is read from its own folder
     deepest = tree.agg(F.max("depth")).first()[0]
     if deepest is None:
         return tree.select("root", "node", F.lit(0).cast("long").alias("size"))

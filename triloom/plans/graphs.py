@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from triloom.functions import scalars
 from triloom.functions.vocab import BOUNDARY_TYPES, VECTOR_DIMS
-from triloom.operators import align, evaluate, fuzzy, graphalg, history, ingest, match, matchers, rejects, signature, structure, triples
+from triloom.operators import align, dense, evaluate, graphalg, history, ingest, match, matchers, rejects, signature, structure, triples
 from triloom.plans.files import LINES_SQL
 from triloom.plans.projections import GRAPH_SQL, LABEL_SQL, PARTS_SQL, SCORE_SQL, TARGET_SQL, TOKEN_SQL, VERDICT_SQL, code_graph, labels, token_graph
 from triloom.session import cut, table
@@ -177,12 +177,12 @@ def sig_reject_empty(spark, d):
 
 def score_exact(spark, d):
     _, _, parts = _signatures(spark, d)
-    return match.score_exact(parts, table(spark, d, "triples"))
+    return dense.score_exact(parts, table(spark, d, "triples"))
 
 
 def score_file(spark, d):
     tg, sig, parts = _signatures(spark, d)
-    return match.score_lines(match.score_exact(parts, table(spark, d, "triples")), sig, tg)
+    return match.score_lines(dense.score_exact(parts, table(spark, d, "triples")), sig, tg)
 
 
 def hits_scan(spark, d):
@@ -195,7 +195,7 @@ def hits_pruned(spark, d):
     _, _, parts = _signatures(spark, d)
     rows = table(spark, d, "triples")
     near = cut(match.candidates(parts, rows, "cvg", lambda n: F.floor(n / 2) + 1), "candidates")
-    hits = match.score_exact(parts, rows).where(scalars.is_scan_hit(F.col("cvg"), F.col("pvg"), F.col("nvg")))
+    hits = dense.score_exact(parts, rows).where(scalars.is_scan_hit(F.col("cvg"), F.col("pvg"), F.col("nvg")))
     return hits.join(near, ["sig_id", "target_id"])
 
 
@@ -221,12 +221,12 @@ def char_jaccard(spark, d):
 def score_fuzzy(spark, d):
     # every signature against every target; pairs without a similar cvg triple score 0 and have no row
     _, _, parts = _signatures(spark, d)
-    return fuzzy.score_all(parts, table(spark, d, "triples"))
+    return dense.score_all(parts, table(spark, d, "triples"))
 
 
 def hits_fuzzy(spark, d):
     _, _, parts = _signatures(spark, d)
-    return fuzzy.score_all(parts, table(spark, d, "triples"), floor=50.0).where(scalars.is_scan_hit(F.col("cvg"), F.col("pvg"), F.col("nvg")))
+    return dense.score_all(parts, table(spark, d, "triples"), floor=50.0).where(scalars.is_scan_hit(F.col("cvg"), F.col("pvg"), F.col("nvg")))
 
 
 # --- evaluation
@@ -378,7 +378,7 @@ def bfs_tree(spark, d):
 
 
 def subtree_size(spark, d):
-    return graphalg.subtree_sizes(cut(bfs_tree(spark, d), "tree")).select("node", "size")
+    return graphalg.subtree_sizes(bfs_tree(spark, d)).select("node", "size")
 
 
 def nh_index(spark, d):

@@ -52,15 +52,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written table.
+def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, in a folder for each value of ``by`` if that is given, and go on from the written table.
 
     Unlike ``checkpoint()`` this computes the rows once, keeps them columnar, and leaves later scans
     free to prune columns. The written files don't depend on any executor.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
