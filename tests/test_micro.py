@@ -532,6 +532,19 @@ def test_streaming_scores_each_batch_once(spark, tmp_path):
     assert got(spark.read.parquet(str(tmp_path / "out")), "target_id") == [("hit",)]
 
 
+def test_streaming_scores_targets_that_arrive_in_parts(spark, tmp_path):
+    from triloom.streaming.scoring import SCHEMA, current, watch
+
+    _, parts = parts_of(spark, ["1", "2", "3", "5"], ["2", "3", "4", "5"])
+    parts = parts.cache()
+    at = lambda x: str(tmp_path / x)
+    for rows in ([("t", "1"), ("t", "2"), ("u", "9")], [("t", "3"), ("w", "1")], [("t", "4"), ("w", "2"), ("w", "5"), (None, "1")]):
+        df(spark, SCHEMA, *[("r", f, x, "r", "b") for f, x in rows]).coalesce(1).write.mode("append").parquet(at("in"))
+        watch(spark, at("in"), parts, at("out"), at("ck"), once=True).awaitTermination(120)
+    # t was a hit with three triples, and is none any more now that it has what the fix added
+    assert got(spark.read.parquet(at("out")), "target_id") == [("t",), ("w",)] and got(current(spark, at("out")), "target_id", "cvg") == [("w", pytest.approx(200 / 3))]
+
+
 def parser_files(folder, nodes, edges):
     folder.mkdir(parents=True)
     (folder / "nodes.csv").write_text("command\tkey\ttype\tcode\tlocation\tfunctionId\n" + "".join("\t".join(["ANR", *n]) + "\n" for n in nodes))
