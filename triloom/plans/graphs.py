@@ -261,6 +261,17 @@ def eval_slices(spark, d):
     return c.select("slice", "tp", "fp", "tn", "fn", "unk", *[F.round(x, 9).alias(x) for x in c.columns[6:]])
 
 
+def rate_lines(spark, d):
+    return evaluate.rate_lines(evaluate.rates(evaluate.confusion(_judged(spark, d)[2])))
+
+
+def eval_zero_safe(spark, d):
+    """Rates of the modified versions, 0 where a denominator is."""
+    counts = eval_test_modified(spark, d).groupBy().agg(*[F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n"))), F.lit(0)).alias(v.lower()) for v in evaluate.VERDICTS])
+    c = evaluate.rates(counts, zero=True)
+    return c.select("tp", "fp", "tn", "fn", *[F.round(x, 9).alias(x) for x in ("p_nominal", "r_nominal", "f1_nominal")])
+
+
 def unchanged_filter(spark, d):
     return evaluate.modified(_targets(spark, d)).select("fn_id", "role")
 
@@ -312,6 +323,25 @@ def diff_parse(spark, d):
     return history.parse_diffs(lines, ["repo", "hsh"]).join(kept, ["repo", "hsh"], "left_semi").withColumn("funcs", F.array_join("funcs", ","))
 
 
+def diff_versions(spark, d):
+    # the blobs are the mined texts, named by their digests
+    lines = _diffs(spark, d)
+    texts = table(spark, d, "vuln_patch_src_db").where("content is not null").select(F.sha2("content", 256).alias("blob_id"), "content").distinct()
+    found = history.with_versions(history.parse_diffs(lines, ["repo", "hsh"]), texts, ["repo", "hsh"])
+    return found.select("repo", "hsh", "file", "path", "role", F.length("content").alias("n_chars"))
+
+
+def cve_commits(spark, d):
+    log = table(spark, d, "vuln_patch_src_db").select("src_id", (F.coalesce("role", F.lit("")) == "before").alias("is_merge"), F.concat(F.lit("see "), F.coalesce("cve", F.lit("nothing")), F.lit(" in "), F.coalesce("path", F.lit("-"))).alias("message"))
+    return history.cve_commits(log).select("src_id", "cve")
+
+
+def new_commits(spark, d):
+    # versions whose commit has no function graph yet
+    mined = table(spark, d, "vuln_patch_src_db").select("repo", "hsh").dropna().distinct()
+    return history.not_known(mined, table(spark, d, "funcs").select("repo", "hsh"), ["repo", "hsh"])
+
+
 def mined_commits(spark, d):
     return history.mined(_diffs(spark, d), ["repo", "hsh"])
 
@@ -474,7 +504,7 @@ QUERIES = {
     for f in (
         ingest_sessionize, ingest_graphs, ingest_vectors, ingest_counts, ingest_named, last_write_wins, edge_endpoint_join, tripleize, tripleize_tokens, vector_node_counts, vector_edge_counts_k2, vectorize, path_fields, char_slice,
         sig_pairs, sig_missing, sig_parts, sig_cvg, sig_pvg, sig_nvg, sig_stats, sig_reject_empty, score_exact, score_file, hits_scan, hits_pruned, hits_eval, hit_file, threshold_grid, char_jaccard, score_fuzzy, hits_fuzzy,
-        target_semi, target_names, ground_truth_counts, verdicts, eval_slices, unchanged_filter, line_diff, eval_test_modified, asof_before, asof_after, after_ancestry, first_productive, diff_parse, mined_commits, mine_counters,
+        target_semi, target_names, ground_truth_counts, verdicts, eval_slices, rate_lines, eval_zero_safe, unchanged_filter, line_diff, eval_test_modified, asof_before, asof_after, after_ancestry, first_productive, diff_parse, diff_versions, cve_commits, new_commits, mined_commits, mine_counters,
         align_nodes, changed_nodes, induced_edges, context_nodes, expand_1hop, two_hop, components, bfs_tree, subtree_size, nh_index, important_nodes, tale_node_score, path_node_match, edge_pattern_iso, exact_match, tale_match, path_match, match_checks, aligned_signature, aligned_checks,
     )
 }
@@ -546,6 +576,8 @@ lb as (select fn_id as target_id, lm.a, lm.rel, lm.b, max(s) as best from lm joi
 t as (select sig_id, target_id, sum(best) filter (where part = 'cvg') as c, sum(best) filter (where part = 'pvg') as p, sum(best) filter (where part = 'nvg') as n from ap join lb on lb.a = ap.a and lb.rel = ap.rel and lb.b = ap.b group by sig_id, target_id),
 f0 as (select sig_id, target_id, round(100.0::double * c / nc, 9) as cvg, 100.0::double * coalesce(p, 0) / np as p, 100.0::double * coalesce(n, 0) / nn as n from t join sz using (sig_id) where c > 0),
 fz as (select sig_id, target_id, cvg, case when cvg > 50 then round(p, 9) else 0 end as pvg, case when cvg > 50 then round(n, 9) else 0 end as nvg from f0)"""
+_SLICES = ", s as (select 'all' as slice, verdict from vr union all select 'train', verdict from vr where contains(path, '/vuln/') or contains(path, '/patch/') union all select 'test', verdict from vr where contains(path, '/before/') or contains(path, '/after/')), k as (select slice, count(*) filter (where verdict = 'TP') as tp, count(*) filter (where verdict = 'FP') as fp, count(*) filter (where verdict = 'TN') as tn, count(*) filter (where verdict = 'FN') as fn, count(*) filter (where verdict = 'UNK') as unk from s group by slice)"
+_CHANGED = ", w as (select case when exists (select 1 from he join sig using (sig_id) where target_id = md.fn_id and contains(md.path, sig.cve)) then case when contains(path, '/vuln/') or contains(path, '/before/') then 'TP' else 'FP' end when contains(path, '/patch/') or contains(path, '/after/') then 'TN' else 'FN' end as verdict from md)"
 _DIRECTED = f"""with{GRAPH_SQL},{TARGET_SQL},
 oi as (select g1.fn_id, src as node_id, count(*) as d, list(distinct type) as l, list(distinct rel) as r from g1 join gn on gn.fn_id = g1.fn_id and gn.node_id = dst group by all),
 ii as (select g1.fn_id, dst as node_id, count(*) as d, list(distinct type) as l, list(distinct rel) as r from g1 join gn on gn.fn_id = g1.fn_id and gn.node_id = src group by all),
@@ -598,14 +630,16 @@ SQL = {
     "target_names": _TG + " select fn_id, func from tg where func in (select func from sig)",
     "ground_truth_counts": _TG + " select count(*) filter (where role = 'vuln') as n_vuln, count(*) filter (where role = 'patch') as n_patch, count(*) filter (where role = 'before') as n_before, count(*) filter (where role = 'after') as n_after, count(*) filter (where role in ('vuln', 'before')) as n_vulnerable, count(*) filter (where role in ('patch', 'after')) as n_fixed from tg",
     "verdicts": _VERDICT + " select target_id, sig_id, verdict from vr",
-    "eval_slices": _VERDICT + ", s as (select 'all' as slice, verdict from vr union all select 'train', verdict from vr where contains(path, '/vuln/') or contains(path, '/patch/') union all select 'test', verdict from vr where contains(path, '/before/') or contains(path, '/after/')), k as (select slice, count(*) filter (where verdict = 'TP') as tp, count(*) filter (where verdict = 'FP') as fp, count(*) filter (where verdict = 'TN') as tn, count(*) filter (where verdict = 'FN') as fn, count(*) filter (where verdict = 'UNK') as unk from s group by slice) select slice, tp, fp, tn, fn, unk, " + _RATES + " from k",
+    "eval_slices": _VERDICT + _SLICES + " select slice, tp, fp, tn, fn, unk, " + _RATES + " from k",
+    "rate_lines": _VERDICT + _SLICES + ", r as (select slice, " + _RATES + " from k), w as (select slice, unnest(['nominal', 'worst', 'best']) as kind, unnest([p_nominal, p_worst, p_best]) as p, unnest([r_nominal, r_worst, r_best]) as q, unnest([f1_nominal, f1_worst, f1_best]) as f from r) select concat_ws(' ', slice, kind, coalesce(printf('%.6f', p), '-'), coalesce(printf('%.6f', q), '-'), coalesce(printf('%.6f', f), '-')) as value from w",
+    "eval_zero_safe": _SC + _MOD + _CHANGED + ", k as (select count(*) filter (where verdict = 'TP') as tp, count(*) filter (where verdict = 'FP') as fp, count(*) filter (where verdict = 'TN') as tn, count(*) filter (where verdict = 'FN') as fn from w), q as (select *, coalesce(tp::double / nullif(tp + fp, 0), 0) as p, coalesce(tp::double / nullif(tp + fn, 0), 0) as r from k) select tp, fp, tn, fn, round(p, 9) as p_nominal, round(r, 9) as r_nominal, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) as f1_nominal from q",
     "unchanged_filter": _TG + _MOD + " select fn_id, role from md",
     "line_diff": _TG.replace("with", "with recursive", 1) + _MOD + """, x as (select fn_id, string_split(regexp_replace(original, '\\n$', ''), chr(10)) as a, string_split(regexp_replace(code, '\\n$', ''), chr(10)) as b, length(original) - length(replace(original, chr(10), '')) as n from md),
 lcs as (select fn_id, 0 as i, list_transform(range(0, len(b) + 1), lambda j: 0) as prev from x
   union all select x.fn_id, i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j::int]), lambda acc, j: list_append(acc, case when a[i + 1] = b[j[1]] then prev[j[1]] + 1 else greatest(prev[j[1] + 1], acc[-1]) end), [0]) from lcs join x on x.fn_id = lcs.fn_id where i < len(a)),
 y as (select x.fn_id, len(b) - prev[-1] as added, len(a) - prev[-1] as removed, n from x join lcs on lcs.fn_id = x.fn_id and i = len(a))
 select fn_id, added, removed, n as n_original, case when added = removed then 2 when added + removed > floor(n * 0.5) then 4 else 3 end as clone_type from y""",
-    "eval_test_modified": _SC + _MOD + ", w as (select case when exists (select 1 from he join sig using (sig_id) where target_id = md.fn_id and contains(md.path, sig.cve)) then case when contains(path, '/vuln/') or contains(path, '/before/') then 'TP' else 'FP' end when contains(path, '/patch/') or contains(path, '/after/') then 'TN' else 'FN' end as verdict from md) select verdict, count(*) as n from w group by verdict",
+    "eval_test_modified": _SC + _MOD + _CHANGED + " select verdict, count(*) as n from w group by verdict",
     "asof_before": _COMMITS + ", k as (select c.*, (select max((x.ts, x.seq)) from c x where x.path = c.path and (x.ts, x.seq) < (c.ts, c.seq)) as b from c), m as (select k.*, case when b is not null then (select max((x.ts, x.seq)) from c x where x.path = k.path and x.ts <= k.ts - 2592000 and x.seq <> b[2]) end as m from k), h as (select m.*, case when m.m is not null then (select max((x.ts, x.seq)) from c x where x.path = m.path and x.ts <= m.ts - 15552000 and x.seq <> b[2] and x.seq <> m.m[2]) end as h from m) select path, ts, seq, b[2] as before_seq, m[2] as before_1mo_seq, h[2] as before_6mo_seq from h",
     "asof_after": _COMMITS + ", k as (select c.*, (select min((x.ts, x.seq)) from c x where x.path = c.path and (x.ts, x.seq) > (c.ts, c.seq)) as a, (select max((x.ts, x.seq)) from c x where x.path = c.path and (x.ts, x.seq) > (c.ts, c.seq) and x.ts <= c.ts + 2592000) as m, (select max((x.ts, x.seq)) from c x where x.path = c.path and (x.ts, x.seq) > (c.ts, c.seq) and x.ts <= c.ts + 15552000) as h from c), o as (select k.*, case when a is null then null when m is null then (select min((x.ts, x.seq)) from c x where x.path = k.path and (x.ts, x.seq) > k.a) else (select min((x.ts, x.seq)) from c x where x.path = k.path and (x.ts, x.seq) > k.m) end as b from k), s as (select o.*, case when b is null then null when h is null then (select min((x.ts, x.seq)) from c x where x.path = o.path and (x.ts, x.seq) > o.b) else (select min((x.ts, x.seq)) from c x where x.path = o.path and (x.ts, x.seq) > o.h) end as d from o) select path, ts, seq, a[2] as after_seq, b[2] as after_1mo_seq, d[2] as after_6mo_seq from s",
     "score_fuzzy": _FUZZY + " select sig_id, target_id, cvg, pvg, nvg from fz",
@@ -619,6 +653,9 @@ select q_fn, t_fn, count(*) as n_pairs, round(sum(score), 6) as total from x whe
 r as (select distinct a as node, a as seen from u union select r.node, u.b from r join u on u.a = r.seen) select node, min(seen) as component from r group by node""",
     "first_productive": "select seq, repo, cve, n_files from (select *, row_number() over (partition by repo, cve order by seq) as r from (select o_orderkey as seq, o_orderpriority as repo, o_custkey as cve, count(*) as n_files from orders join lineitem on l_orderkey = o_orderkey group by all having count(*) between 1 and 5)) where r = 1",
     "diff_parse": _DIFFS + ", f as (select *, regexp_extract(head, '[a-zA-Z0-9_]*\\.c[pp]*') as file, substr(regexp_extract(head, 'a/[/a-zA-Z0-9_-]*\\.c[pp]*'), 3) as path from h), n as (select repo, hsh, src_id, list_sort(list(distinct name)) as names from (select *, regexp_extract_all(line, '([a-zA-Z0-9_]*)\\(', 1)[-1] as name from l where contains(line, '@@')) where name <> '' group by all) select repo, hsh, k as segment, file, path, old_id, new_id, array_to_string(names, ',') as funcs from f join n using (repo, hsh, src_id) where file <> '' and all_files between 1 and 5",
+    "diff_versions": _DIFFS + ", f as (select *, regexp_extract(head, '[a-zA-Z0-9_]*\\.c[pp]*') as file, substr(regexp_extract(head, 'a/[/a-zA-Z0-9_-]*\\.c[pp]*'), 3) as path from h), n as (select distinct repo, hsh, src_id from (select *, regexp_extract_all(line, '([a-zA-Z0-9_]*)\\(', 1)[-1] as name from l where contains(line, '@@')) where name <> ''), b as (select substr(sha256(content), 1, 7) as short, arg_min(length(content), sha256(content)) as n_chars from vuln_patch_src_db where content is not null group by 1) select repo, hsh, file, path, role, n_chars from (select repo, hsh, src_id, file, path, 'vuln' as role, old_id as short from f union all select repo, hsh, src_id, file, path, 'patch', new_id from f) join n using (repo, hsh, src_id) join b using (short) where file <> ''",
+    "cve_commits": "select src_id, cve from (select src_id, regexp_extract(m, 'CVE-[0-9]*-[0-9]*') as cve, m from (select src_id, 'see ' || coalesce(cve, 'nothing') || ' in ' || coalesce(path, '-') as m from vuln_patch_src_db where coalesce(role, '') <> 'before')) where contains(m, 'CVE-20') and cve <> ''",
+    "new_commits": "select distinct repo, hsh from vuln_patch_src_db where repo is not null and hsh is not null and (repo, hsh) not in (select (repo, hsh) from funcs where repo is not null and hsh is not null)",
     "mined_commits": _DIFFS + " select repo, hsh, count(*) as n_files, arg_min(cve, src_id) as cve, case when count(*) > 5 then 'too many files' when count(cve) = 0 then 'no CVE' end as reason from h group by all",
     "mine_counters": _DIFFS + ", c as (select repo, hsh, count(*) <= 5 and count(cve) > 0 as ok from h group by all) select repo, count(*) filter (where ok) as n_processed, count(*) filter (where not ok) as n_skipped from c group by all",
     "after_ancestry": _ANCESTRY,
