@@ -239,3 +239,9 @@ def test_names_are_slots_at_every_size_and_where_sentences_start(spark, monkeypa
     for bound in (4_000_000, 0):
         monkeypatch.setattr(leakage, "MAX_VOCABULARY_CHARS", bound)
         assert [(r.doc_id, r.item_id, r.kind) for r in find_leaks(docs, items).collect()] == [(7, 1, "changed")]
+
+
+@pytest.mark.parametrize("drift", [-0.1, 1.5])
+def test_weights_never_turn_negative(spark, drift):
+    with pytest.raises(ValueError, match="drift"):
+        mix(spark.createDataFrame([], "doc_id long, text string, source string"), spark.createDataFrame([], "source string, target_permille int, max_repeats int"), drift=drift)

@@ -51,6 +51,8 @@ def mix(docs: DataFrame, weights: DataFrame, doc_id: str = "doc_id", text: str =
     permille of all placed tokens, last position, and ``short`` if it can't fill its target. Null weights count as 0
     and null max_repeats as 1.
     """
+    if not 0 <= drift <= 1:
+        raise ValueError("drift must be within 0 and 1, else weights would be negative")
     wanted = weights.groupBy(F.lower(F.trim("source")).alias("key")).agg(F.min("source").alias("source"), F.max(F.coalesce("target_permille", F.lit(0))).cast("long").alias("permille"), F.max(F.coalesce("max_repeats", F.lit(1))).cast("long").alias("repeats")).where("key is not null")
     plan = wanted.limit(MAX_SOURCES + 1).collect()
     if len(plan) > MAX_SOURCES:
