@@ -3,7 +3,8 @@
 Each token falls into one of m parts, and a part's word is the XOR of its tokens' hashes. A token that only one of two
 sets has changes one word, so the number of words that differ is a lower bound of the symmetric difference, and two sets
 of similarity t and sizes a and b differ in at most d = (1 - t) / (1 + t) · (a + b) words: m - d words are equal. Sets are
-joined on equal words in bands of sizes, in which m and d fit; a record is in the band of its size and in the one below.
+joined on equal words in bands of sizes, in which m and d fit; a record is in the band of its size and, if it
+can have partners there, in the one below.
 Candidates whose bit sketches (one bit flipped for each token) are further apart than d in Hamming distance are dropped,
 the others verified on the sets.
 
@@ -35,8 +36,13 @@ PARTS = 64
 MOST_WORDS = 512
 
 
+def _wide(t: float) -> float:
+    """The ratio of a band's ends. A set has partners at most one band below its own, and the wider the bands, the fewer sets have any there."""
+    return max(2.0, 1 / t)
+
+
 def _band(n: np.ndarray, t: float) -> np.ndarray:
-    return np.floor(np.log(n) / np.log(1 / t) + 1e-9).astype(np.int64)
+    return np.floor(np.log(n) / np.log(_wide(t)) + 1e-9).astype(np.int64)
 
 
 def _most(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
@@ -57,12 +63,12 @@ def _keys(t: float):
                 own = _band(n, t)
                 for home in (True, False):
                     band = own if home else own - 1
-                    low, high = np.power(1 / t, band), np.power(1 / t, band + 1)  # the sizes that are at home here
+                    high = np.power(_wide(t), band + 1)  # sizes below are at home here
                     d_band = _most(high, high / t, t)
                     m = np.maximum(2 * (d_band + 1), PARTS)
                     # partners: at home, or guests up to the size t allows; for a guest only those at home
                     need = _most(n, np.minimum(n / t, high / t) if home else np.minimum(n, high), t) + 1
-                    use = np.flatnonzero((band >= 0) & (home | (low >= n * t * t - 1)))
+                    use = np.flatnonzero((band >= 0) & (home | (n * t < high + 1)))
                     ok = np.isin(row, use)
                     r, part = row[ok], (place[ok] % m[row[ok]].astype(np.uint64)).astype(np.int64)
                     order = np.argsort(r * (1 << 32) + part, kind="stable")
