@@ -103,7 +103,8 @@ def p9_sequence(spark, d):
 
 def p9_checks(spark, d):
     """For each source what follows from its documents, and whether the sequence keeps to it: no document in a round twice or beyond its
-    repeats, positions within 0 and 1, and as many tokens as asked for or there are, to the length of one document."""
+    repeats, positions within 0 and 1, and as many tokens as asked for or there are, to the length of one document.
+    A source without documents has none to place."""
     weights = table(spark, d, "source_weights")
     sequence, report = mixture.mix(table(spark, d, "documents"), weights)
     used = sequence.groupBy("source", "doc_id", "round").agg(F.count("*").alias("n"), F.min("position").alias("lo"), F.max("position").alias("hi"), F.max("n_tokens").alias("size"))
@@ -111,7 +112,7 @@ def p9_checks(spark, d):
     rows = report.join(weights.select("source", "max_repeats"), "source").join(per, "source", "left")
     least = F.least(F.col("demand_tokens"), F.col("tokens") * F.col("max_repeats"))
     sound = (F.col("n") == 1) & (F.col("last") < F.col("max_repeats")) & F.col("lo").between(0, 1) & F.col("hi").between(0, 1) & (F.col("placed_tokens") >= least) & (F.col("placed_tokens") < least + F.col("size") + 1)
-    return rows.select("source", "target_permille", "tokens", "short", sound.alias("sound"))
+    return rows.select("source", "target_permille", "tokens", "short", F.when(F.col("n").isNull(), least == 0).otherwise(sound).alias("sound"))
 
 
 def p10_checks(spark, d):
