@@ -576,6 +576,11 @@ lb as (select fn_id as target_id, lm.a, lm.rel, lm.b, max(s) as best from lm joi
 t as (select sig_id, target_id, sum(best) filter (where part = 'cvg') as c, sum(best) filter (where part = 'pvg') as p, sum(best) filter (where part = 'nvg') as n from ap join lb on lb.a = ap.a and lb.rel = ap.rel and lb.b = ap.b group by sig_id, target_id),
 f0 as (select sig_id, target_id, round(100.0::double * c / nc, 9) as cvg, 100.0::double * coalesce(p, 0) / np as p, 100.0::double * coalesce(n, 0) / nn as n from t join sz using (sig_id) where c > 0),
 fz as (select sig_id, target_id, cvg, case when cvg > 50 then round(p, 9) else 0 end as pvg, case when cvg > 50 then round(n, 9) else 0 end as nvg from f0)"""
+_LCS = """, x as (select fn_id, string_split(regexp_replace(original, '\\n$', ''), chr(10)) as a, string_split(regexp_replace(code, '\\n$', ''), chr(10)) as b, length(original) - length(replace(original, chr(10), '')) as n from md),
+lcs as (select fn_id, 0 as i, list_transform(range(0, len(b) + 1), lambda j: 0) as prev from x
+  union all select x.fn_id, i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j::int]), lambda acc, j: list_append(acc, case when a[i + 1] = b[j[1]] then prev[j[1]] + 1 else greatest(prev[j[1] + 1], acc[-1]) end), [0]) from lcs join x on x.fn_id = lcs.fn_id where i < len(a)),
+y as (select x.fn_id, len(b) - prev[-1] as added, len(a) - prev[-1] as removed, n from x join lcs on lcs.fn_id = x.fn_id and i = len(a))"""
+_CLONE = "case when added = removed then 2 when added + removed > floor(n * 0.5) then 4 else 3 end"
 _SLICES = ", s as (select 'all' as slice, verdict from vr union all select 'train', verdict from vr where contains(path, '/vuln/') or contains(path, '/patch/') union all select 'test', verdict from vr where contains(path, '/before/') or contains(path, '/after/')), k as (select slice, count(*) filter (where verdict = 'TP') as tp, count(*) filter (where verdict = 'FP') as fp, count(*) filter (where verdict = 'TN') as tn, count(*) filter (where verdict = 'FN') as fn, count(*) filter (where verdict = 'UNK') as unk from s group by slice)"
 _CHANGED = ", w as (select case when exists (select 1 from he join sig using (sig_id) where target_id = md.fn_id and contains(md.path, sig.cve)) then case when contains(path, '/vuln/') or contains(path, '/before/') then 'TP' else 'FP' end when contains(path, '/patch/') or contains(path, '/after/') then 'TN' else 'FN' end as verdict from md)"
 _DIRECTED = f"""with{GRAPH_SQL},{TARGET_SQL},
@@ -634,11 +639,7 @@ SQL = {
     "rate_lines": _VERDICT + _SLICES + ", r as (select slice, " + _RATES + " from k), w as (select slice, unnest(['nominal', 'worst', 'best']) as kind, unnest([p_nominal, p_worst, p_best]) as p, unnest([r_nominal, r_worst, r_best]) as q, unnest([f1_nominal, f1_worst, f1_best]) as f from r) select concat_ws(' ', slice, kind, coalesce(printf('%.6f', p), '-'), coalesce(printf('%.6f', q), '-'), coalesce(printf('%.6f', f), '-')) as value from w",
     "eval_zero_safe": _SC + _MOD + _CHANGED + ", k as (select count(*) filter (where verdict = 'TP') as tp, count(*) filter (where verdict = 'FP') as fp, count(*) filter (where verdict = 'TN') as tn, count(*) filter (where verdict = 'FN') as fn from w), q as (select *, coalesce(tp::double / nullif(tp + fp, 0), 0) as p, coalesce(tp::double / nullif(tp + fn, 0), 0) as r from k) select tp, fp, tn, fn, round(p, 9) as p_nominal, round(r, 9) as r_nominal, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) as f1_nominal from q",
     "unchanged_filter": _TG + _MOD + " select fn_id, role from md",
-    "line_diff": _TG.replace("with", "with recursive", 1) + _MOD + """, x as (select fn_id, string_split(regexp_replace(original, '\\n$', ''), chr(10)) as a, string_split(regexp_replace(code, '\\n$', ''), chr(10)) as b, length(original) - length(replace(original, chr(10), '')) as n from md),
-lcs as (select fn_id, 0 as i, list_transform(range(0, len(b) + 1), lambda j: 0) as prev from x
-  union all select x.fn_id, i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j::int]), lambda acc, j: list_append(acc, case when a[i + 1] = b[j[1]] then prev[j[1]] + 1 else greatest(prev[j[1] + 1], acc[-1]) end), [0]) from lcs join x on x.fn_id = lcs.fn_id where i < len(a)),
-y as (select x.fn_id, len(b) - prev[-1] as added, len(a) - prev[-1] as removed, n from x join lcs on lcs.fn_id = x.fn_id and i = len(a))
-select fn_id, added, removed, n as n_original, case when added = removed then 2 when added + removed > floor(n * 0.5) then 4 else 3 end as clone_type from y""",
+    "line_diff": _TG.replace("with", "with recursive", 1) + _MOD + _LCS + f" select fn_id, added, removed, n as n_original, {_CLONE} as clone_type from y",
     "eval_test_modified": _SC + _MOD + _CHANGED + " select verdict, count(*) as n from w group by verdict",
     "asof_before": _COMMITS + ", k as (select c.*, (select max((x.ts, x.seq)) from c x where x.path = c.path and (x.ts, x.seq) < (c.ts, c.seq)) as b from c), m as (select k.*, case when b is not null then (select max((x.ts, x.seq)) from c x where x.path = k.path and x.ts <= k.ts - 2592000 and x.seq <> b[2]) end as m from k), h as (select m.*, case when m.m is not null then (select max((x.ts, x.seq)) from c x where x.path = m.path and x.ts <= m.ts - 15552000 and x.seq <> b[2] and x.seq <> m.m[2]) end as h from m) select path, ts, seq, b[2] as before_seq, m[2] as before_1mo_seq, h[2] as before_6mo_seq from h",
     "asof_after": _COMMITS + ", k as (select c.*, (select min((x.ts, x.seq)) from c x where x.path = c.path and (x.ts, x.seq) > (c.ts, c.seq)) as a, (select max((x.ts, x.seq)) from c x where x.path = c.path and (x.ts, x.seq) > (c.ts, c.seq) and x.ts <= c.ts + 2592000) as m, (select max((x.ts, x.seq)) from c x where x.path = c.path and (x.ts, x.seq) > (c.ts, c.seq) and x.ts <= c.ts + 15552000) as h from c), o as (select k.*, case when a is null then null when m is null then (select min((x.ts, x.seq)) from c x where x.path = k.path and (x.ts, x.seq) > k.a) else (select min((x.ts, x.seq)) from c x where x.path = k.path and (x.ts, x.seq) > k.m) end as b from k), s as (select o.*, case when b is null then null when h is null then (select min((x.ts, x.seq)) from c x where x.path = o.path and (x.ts, x.seq) > o.b) else (select min((x.ts, x.seq)) from c x where x.path = o.path and (x.ts, x.seq) > o.h) end as d from o) select path, ts, seq, a[2] as after_seq, b[2] as after_1mo_seq, d[2] as after_6mo_seq from s",
