@@ -464,6 +464,12 @@ def test_matchers_as_a_table(spark):
     for how in matchers.MATCHERS:
         out = {(r.q_fn, r.t_fn): r for r in matchers.match(pairs, matchers.packed(nodes, edges), how).collect()}
         assert out["q", "t"].score == (100.0 if how == "exact" else 1.0) and len(out) == 3
+        m = matchers.GraphMatcher(how)
+        assert m.match(pairs, m.prepare_query(nodes, edges), m.prepare_target(nodes.where("fn_id = 't'"), edges)).count() == 2
+    w = df(spark, "q_fn string, t_fn string, a string, b string, w double", ("q", "t", "1", "x", 2.0), ("q", "t", "1", "y", 1.5), ("q", "t", "2", "x", 1.8), ("q", "t", "2", "x", 0.1), ("q", "u", "1", "z", 1.0))
+    assert got(matchers.assigned(w), "t_fn", "a", "b", "w") == [("t", "1", "y", 1.5), ("t", "2", "x", 1.8), ("u", "1", "z", 1.0)] and matchers.assigned(w.limit(0)).count() == 0
+    chosen = df(spark, "sig_id string, side string, fn_id string, node_id string", ("s", "v", "q", "4"), ("s", "v", "q", "1"), ("s", "p", "e", "1"))
+    assert got(matchers.connected(chosen, matchers.packed(nodes, edges)), "side", "node_id") == [("p", "1"), *(("v", n) for n in "1234")]
 
 
 def test_connect_and_expand():

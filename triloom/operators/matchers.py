@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -259,10 +261,35 @@ def path_match(q: Graph, t: Graph, share: float = 0.1) -> Match:
 MATCHERS: dict[str, Callable[[Graph, Graph], Match]] = {"exact": exact_match, "tolerant": tolerant_match, "path": path_match}
 
 
-def match(pairs: DataFrame, graphs: DataFrame, how: str) -> DataFrame:
-    """(q_fn, t_fn, score, mapping) of every pair (q_fn, t_fn) by the matcher ``how``; graphs as :func:`packed` makes them."""
-    side = lambda s: graphs.select(F.col("fn_id").alias(f"{s}_fn"), F.col("nodes").alias(f"{s}_nodes"), F.col("edges").alias(f"{s}_edges"))
-    rows = pairs.select("q_fn", "t_fn").join(side("q"), "q_fn").join(side("t"), "t_fn").select("q_fn", "t_fn", "q_nodes", "q_edges", "t_nodes", "t_edges")
+class Matcher(Protocol):
+    """What a matcher offers: both sides are prepared once, then pairs (q_fn, t_fn) are matched to (q_fn, t_fn, score, mapping)."""
+
+    def prepare_query(self, nodes: DataFrame, edges: DataFrame) -> DataFrame: ...
+
+    def prepare_target(self, nodes: DataFrame, edges: DataFrame) -> DataFrame: ...
+
+    def match(self, pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class GraphMatcher:
+    """A matcher by one of the algorithms in MATCHERS."""
+
+    how: str
+
+    def prepare_query(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        return packed(nodes, edges)
+
+    prepare_target = prepare_query
+
+    def match(self, pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+        return match(pairs, queries, self.how, targets)
+
+
+def match(pairs: DataFrame, graphs: DataFrame, how: str, targets: DataFrame | None = None) -> DataFrame:
+    """(q_fn, t_fn, score, mapping) of every pair (q_fn, t_fn) by the matcher ``how``; graphs as :func:`packed` makes them, those of targets from ``targets`` if given."""
+    side = lambda s, of: of.select(F.col("fn_id").alias(f"{s}_fn"), F.col("nodes").alias(f"{s}_nodes"), F.col("edges").alias(f"{s}_edges"))
+    rows = pairs.select("q_fn", "t_fn").join(side("q", graphs), "q_fn").join(side("t", graphs if targets is None else targets), "t_fn").select("q_fn", "t_fn", "q_nodes", "q_edges", "t_nodes", "t_edges")
     algorithm = MATCHERS[how]
 
     def run(batches):
@@ -280,6 +307,40 @@ def match(pairs: DataFrame, graphs: DataFrame, how: str) -> DataFrame:
     return rows.transform(arrow, run, "q_fn string, t_fn string, score double, mapping map<string, struct<t: string, score: double>>")
 
 
+def assigned(weights: DataFrame) -> DataFrame:
+    """(q_fn, t_fn, a, b, w): for each pair of graphs the one-to-one assignment of the largest total weight. ``weights``: the same columns, w above 0; of equal (a, b) the largest counts."""
+    rows = weights.groupBy("q_fn", "t_fn", "a", "b").agg(F.max("w").alias("w")).groupBy("q_fn", "t_fn").agg(F.sort_array(F.collect_list(F.struct("a", "b", "w"))).alias("held"))  # two graphs' nodes
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for q, t, held in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                w = {(x["a"], x["b"]): x["w"] for x in held}
+                out += [(q, t, a, b, w[a, b]) for a, b in sorted(assignment(w).items())]
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, [pa.string()] * 4 + [pa.float64()])], ["q_fn", "t_fn", "a", "b", "w"])
+
+    return rows.transform(arrow, run, "q_fn string, t_fn string, a string, b string, w double")
+
+
+def connected(sets: DataFrame, graphs: DataFrame) -> DataFrame:
+    """(sig_id, side, fn_id, node_id): each set of nodes with those that :func:`connect` adds. ``sets``: the same columns."""
+    held = sets.groupBy("sig_id", "side", "fn_id").agg(F.sort_array(F.collect_set("node_id")).alias("chosen"))  # one graph's nodes
+    rows = held.join(graphs, "fn_id").select("sig_id", "side", "fn_id", "chosen", "nodes", "edges")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [(*keys, n) for *keys, chosen, nodes, edges in zip(*(batch.column(i).to_pylist() for i in range(6))) for n in sorted(connect(set(chosen), Graph(nodes, edges)))]
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], ["sig_id", "side", "fn_id", "node_id"])
+
+    return rows.transform(arrow, run, "sig_id string, side string, fn_id string, node_id string")
+
+
 def connect(small: set[str], big: Graph) -> set[str]:
     """``small`` and the nodes of shortest paths of the undirected big graph that join its components, the two largest first.
 

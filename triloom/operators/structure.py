@@ -67,6 +67,19 @@ def dominates(q: str = "q", t: str = "t") -> Column:
     return (c(q, "label") == c(t, "label")) & (c(q, "in_deg") <= c(t, "in_deg")) & (c(q, "out_deg") <= c(t, "out_deg")) & covers("in_labels") & covers("out_labels") & covers("in_rels") & covers("out_rels")
 
 
+def cover_score(q: str = "q", t: str = "t", r: float = 1.0) -> Column:
+    """The share of a query node's degrees, neighbour labels and relations that a target node has too; 0 below ``r`` or for another label.
+
+    With ``r`` of 1 it is 1 where :func:`dominates` holds, and 0 elsewhere. A node without edges is covered by any of its label.
+    """
+    c = lambda s, n: F.col(f"{s}_{n}")
+    counts, lists = ("in_deg", "out_deg"), ("in_labels", "out_labels", "in_rels", "out_rels")
+    lacking = [F.greatest(c(q, n) - c(t, n), F.lit(0)) for n in counts] + [F.size(F.array_except(c(q, n), c(t, n))) for n in lists]
+    asked = [c(q, n) for n in counts] + [F.size(c(q, n)) for n in lists]
+    share = F.coalesce(1.0 - F.try_divide(sum(lacking, F.lit(0)) * 1.0, sum(asked, F.lit(0))), F.lit(1.0))
+    return F.when((c(q, "label") != c(t, "label")) | (share < r), 0.0).otherwise(share)
+
+
 def node_pairs(pairs: DataFrame, index: DataFrame) -> DataFrame:
     """Query and target nodes with equal labels of each pair (q_fn, t_fn), their index columns prefixed q_ and t_."""
     side = lambda s: index.select(*[F.col(x).alias(f"{s}_{'fn' if x == 'fn_id' else 'node' if x == 'node_id' else x}") for x in index.columns])

@@ -436,6 +436,38 @@ def path_node_match(spark, d):
     return structure.node_pairs(pairs, index).where(structure.dominates()).groupBy("q_fn", "t_fn").agg(F.count("*").alias("n_pairs"))
 
 
+def path_node_score(spark, d):
+    nodes, edges = code_graph(spark, d)
+    index = cut(structure.direction_index(nodes, structure.simple(edges)), "index")
+    pairs = signature.pairs(_targets(spark, d)).select(F.col("v_id").alias("q_fn"), F.col("p_id").alias("t_fn"))
+    s = structure.node_pairs(pairs, index).withColumn("score", structure.cover_score(r=0.5)).where("score > 0")
+    return s.groupBy("q_fn", "t_fn").agg(F.count("*").alias("n_pairs"), F.round(F.sum("score"), 6).alias("total"))
+
+
+def assignment(spark, d):
+    """The largest total weight of an assignment of each query's important nodes to target nodes."""
+    nodes, edges = code_graph(spark, d)
+    index = cut(structure.neighbourhood_index(nodes, structure.simple(edges)), "index")
+    best = structure.important_nodes(index).select(F.col("fn_id").alias("q_fn"), F.col("node_id").alias("q_node"))
+    pairs = signature.pairs(_targets(spark, d)).select(F.col("v_id").alias("q_fn"), F.col("p_id").alias("t_fn"))
+    scored = structure.node_pairs(pairs, index).join(best, ["q_fn", "q_node"], "left_semi").select("q_fn", "t_fn", F.col("q_node").alias("a"), F.col("t_node").alias("b"), structure.tolerant_score().alias("w")).where("w > 0")
+    found = matchers.assigned(scored)
+    return found.groupBy("q_fn", "t_fn").agg(F.round(F.sum("w"), 6).alias("total"), (F.count_distinct("a") == F.count("*")).alias("one"), (F.count_distinct("b") == F.count("*")).alias("each"))
+
+
+def connect_checks(spark, d):
+    """For each side of a signature whether the connected set is one component and holds what it was made of."""
+    sig, nodes, edges, mapping = _aligned(spark, d)
+    changed = cut(align.changed_nodes(sig, nodes, mapping), "changed")
+    grown = cut(matchers.connected(changed, matchers.packed(nodes, edges)), "connected")
+    name = lambda c: F.concat_ws(" ", "sig_id", "side", c)
+    links = align.induced_edges(grown, edges, ["sig_id", "side"]).select(name("src").alias("src"), name("dst").alias("dst"))
+    parts = graphalg.connected_components(links.unionByName(grown.select(name("node_id").alias("src"), name("node_id").alias("dst"))))
+    per = grown.select("sig_id", "side", name("node_id").alias("node")).join(parts, "node").groupBy("sig_id", "side").agg((F.count_distinct("component") == 1).alias("one"))
+    lost = changed.join(grown, ["sig_id", "side", "fn_id", "node_id"], "left_anti").select("sig_id", "side", F.lit(True).alias("lost")).distinct()
+    return per.join(lost, ["sig_id", "side"], "left").select("sig_id", "side", "one", F.col("lost").isNull().alias("whole"))
+
+
 def edge_pattern_iso(spark, d):
     nodes, edges = code_graph(spark, d)
     return structure.edge_pattern(nodes, edges, [("a", "FLOWS_TO", "b"), ("b", "FLOWS_TO", "c"), ("a", "REACHES", "c")], {"a": "Callee", "b": "ArgumentList", "c": "ExpressionStatement"})
@@ -505,7 +537,7 @@ QUERIES = {
         ingest_sessionize, ingest_graphs, ingest_vectors, ingest_counts, ingest_named, last_write_wins, edge_endpoint_join, tripleize, tripleize_tokens, vector_node_counts, vector_edge_counts_k2, vectorize, path_fields, char_slice,
         sig_pairs, sig_missing, sig_parts, sig_cvg, sig_pvg, sig_nvg, sig_stats, sig_reject_empty, score_exact, score_file, hits_scan, hits_pruned, hits_eval, hit_file, threshold_grid, char_jaccard, score_fuzzy, hits_fuzzy,
         target_semi, target_names, ground_truth_counts, verdicts, eval_slices, rate_lines, eval_zero_safe, unchanged_filter, line_diff, eval_test_modified, asof_before, asof_after, after_ancestry, first_productive, diff_parse, diff_versions, cve_commits, new_commits, mined_commits, mine_counters,
-        align_nodes, changed_nodes, induced_edges, context_nodes, expand_1hop, two_hop, components, bfs_tree, subtree_size, nh_index, important_nodes, tale_node_score, path_node_match, edge_pattern_iso, exact_match, tale_match, path_match, match_checks, aligned_signature, aligned_checks,
+        align_nodes, changed_nodes, induced_edges, context_nodes, expand_1hop, two_hop, components, bfs_tree, subtree_size, nh_index, important_nodes, tale_node_score, path_node_match, path_node_score, assignment, connect_checks, edge_pattern_iso, exact_match, tale_match, path_match, match_checks, aligned_signature, aligned_checks,
     )
 }
 
@@ -540,6 +572,9 @@ dgr as (select fn_id, node_id, count(*) as degree from (select fn_id, src as nod
 lab as (select g1.fn_id, src as node_id, list_sort(list(distinct type)) as labels from g1 join gn on gn.fn_id = g1.fn_id and gn.node_id = dst group by all),
 lnk as (select x.fn_id, x.src as node_id, count(*) as n from g1 x join g1 y on y.fn_id = x.fn_id and y.src = x.dst join g1 z on z.fn_id = x.fn_id and z.src = x.src and z.dst = y.dst group by all),
 ix as (select gn.fn_id, gn.node_id, type as label, coalesce(degree, 0) as degree, coalesce(labels, []) as labels, coalesce(n, 0) // 2 as links from gn left join dgr using (fn_id, node_id) left join lab using (fn_id, node_id) left join lnk using (fn_id, node_id))"""
+_TALE = _INDEX + "," + TARGET_SQL + """, pr as (select v_id as q_fn, p_id as t_fn, q.degree as qd, t.degree as td, q.links as ql, t.links as tl, len(q.labels) - len(list_intersect(q.labels, t.labels)) as miss, floor(q.degree * 0.1)::bigint as may, q.node_id as a, t.node_id as b from sig join ix q on q.fn_id = v_id join ix t on t.fn_id = p_id and t.label = q.label),
+w as (select *, may * floor((may - 1) / 2.0)::bigint + (qd - may) * may as lmay, case when ql = 0 then 0.0::double else greatest(0, ql - tl)::double / ql end as fl from pr),
+x as (select q_fn, t_fn, a, b, case when miss = 0 then 2.0::double - fl else 2.0::double - (miss::double / nullif(qd, 0) + fl / miss) end as score from w where td >= qd - may and miss <= may and tl >= ql - lmay)"""
 _COMMITS = "with c as (select o_custkey as path, epoch(o_orderdate)::bigint as ts, o_orderkey as seq from orders)"
 _DIFFS = r"""with s as (select repo, hsh, src_id, content, regexp_extract(cve, 'CVE-[0-9]*-[0-9]*') as c, coalesce(path, curr_file, '') as p from vuln_patch_src_db where repo is not null and hsh is not null and content is not null),
 h as (select repo, hsh, src_id, nullif(c, '') as cve, 'diff --git a/' || p || ' b/' || p as head, substr(sha256(p), 1, 7) as old_id, substr(sha256(content), 1, 7) as new_id, row_number() over (partition by repo, hsh order by src_id) as k, count(*) over (partition by repo, hsh) as all_files from s),
@@ -645,11 +680,17 @@ SQL = {
     "asof_after": _COMMITS + ", k as (select c.*, (select min((x.ts, x.seq)) from c x where x.path = c.path and (x.ts, x.seq) > (c.ts, c.seq)) as a, (select max((x.ts, x.seq)) from c x where x.path = c.path and (x.ts, x.seq) > (c.ts, c.seq) and x.ts <= c.ts + 2592000) as m, (select max((x.ts, x.seq)) from c x where x.path = c.path and (x.ts, x.seq) > (c.ts, c.seq) and x.ts <= c.ts + 15552000) as h from c), o as (select k.*, case when a is null then null when m is null then (select min((x.ts, x.seq)) from c x where x.path = k.path and (x.ts, x.seq) > k.a) else (select min((x.ts, x.seq)) from c x where x.path = k.path and (x.ts, x.seq) > k.m) end as b from k), s as (select o.*, case when b is null then null when h is null then (select min((x.ts, x.seq)) from c x where x.path = o.path and (x.ts, x.seq) > o.b) else (select min((x.ts, x.seq)) from c x where x.path = o.path and (x.ts, x.seq) > o.h) end as d from o) select path, ts, seq, a[2] as after_seq, b[2] as after_1mo_seq, d[2] as after_6mo_seq from s",
     "score_fuzzy": _FUZZY + " select sig_id, target_id, cvg, pvg, nvg from fz",
     "hits_fuzzy": _FUZZY + " select sig_id, target_id, cvg, pvg, nvg from fz where cvg > 50 and pvg > 50 and nvg < 50",
-    "tale_node_score": _INDEX + "," + TARGET_SQL + """, pr as (select v_id as q_fn, p_id as t_fn, q.degree as qd, t.degree as td, q.links as ql, t.links as tl, len(q.labels) - len(list_intersect(q.labels, t.labels)) as miss, floor(q.degree * 0.1)::bigint as may from sig join ix q on q.fn_id = v_id join ix t on t.fn_id = p_id and t.label = q.label),
-w as (select *, may * floor((may - 1) / 2.0)::bigint + (qd - may) * may as lmay, case when ql = 0 then 0.0::double else greatest(0, ql - tl)::double / ql end as fl from pr),
-x as (select q_fn, t_fn, case when miss = 0 then 2.0::double - fl else 2.0::double - (miss::double / nullif(qd, 0) + fl / miss) end as score from w where td >= qd - may and miss <= may and tl >= ql - lmay)
-select q_fn, t_fn, count(*) as n_pairs, round(sum(score), 6) as total from x where score > 0 group by all""",
+    "tale_node_score": _TALE + " select q_fn, t_fn, count(*) as n_pairs, round(sum(score), 6) as total from x where score > 0 group by all",
     "path_node_match": _DIRECTED + " select v_id as q_fn, p_id as t_fn, count(*) as n_pairs from sig join ix q on q.fn_id = v_id join ix t on t.fn_id = p_id and t.label = q.label and q.ind <= t.ind and q.outd <= t.outd and list_has_all(t.il, q.il) and list_has_all(t.ol, q.ol) and list_has_all(t.ir, q.ir) and list_has_all(t.outr, q.outr) group by all",
+    "path_node_score": _DIRECTED + ", pr as (select v_id as q_fn, p_id as t_fn, greatest(q.ind - t.ind, 0) + greatest(q.outd - t.outd, 0) + len(list_filter(q.il, lambda x: not list_contains(t.il, x))) + len(list_filter(q.ol, lambda x: not list_contains(t.ol, x))) + len(list_filter(q.ir, lambda x: not list_contains(t.ir, x))) + len(list_filter(q.outr, lambda x: not list_contains(t.outr, x))) as lacking, q.ind + q.outd + len(q.il) + len(q.ol) + len(q.ir) + len(q.outr) as asked from sig join ix q on q.fn_id = v_id join ix t on t.fn_id = p_id and t.label = q.label), sx as (select q_fn, t_fn, coalesce(1.0::double - lacking::double / nullif(asked, 0), 1.0::double) as s from pr) select q_fn, t_fn, count(*) as n_pairs, round(sum(s), 6) as total from sx where s >= 0.5 group by all",
+    # the best total for each set of query nodes, one target node after the other
+    "assignment": _TALE.replace("with", "with recursive", 1) + """, im as (select fn_id, node_id from (select *, row_number() over (partition by fn_id order by degree desc, node_id desc) as r, count(*) over (partition by fn_id) as n from ix) where r <= greatest(1, floor(n * 0.2))),
+wt as (select q_fn, t_fn, a, b, score as w, dense_rank() over (partition by q_fn, t_fn order by a) as i, dense_rank() over (partition by q_fn, t_fn order by b) as j from x join im on im.fn_id = q_fn and im.node_id = a where score > 0),
+nw as (select q_fn, t_fn, j, list(i order by i) as iq, list(w order by i) as ws from wt group by all), mx as (select q_fn, t_fn, max(i) as k, max(j) as n from wt group by all),
+dp as (select q_fn, t_fn, 0 as j, list_transform(range(0, 1 << k::int), lambda m: 0.0::double) as best from mx
+  union all select dp.q_fn, dp.t_fn, dp.j + 1, list_transform(range(0, 1 << k::int), lambda m: greatest(best[m + 1], coalesce(list_max(list_transform(range(1, len(iq) + 1), lambda e: case when (m >> (iq[e] - 1)::int) & 1 = 1 then best[m - (1 << (iq[e] - 1)::int) + 1] + ws[e] else 0.0::double end)), 0.0::double))) from dp join mx using (q_fn, t_fn) join nw on nw.q_fn = dp.q_fn and nw.t_fn = dp.t_fn and nw.j = dp.j + 1)
+select dp.q_fn, dp.t_fn, round(list_max(best), 6) as total, true as one, true as each from dp join mx on mx.q_fn = dp.q_fn and mx.t_fn = dp.t_fn and dp.j = n""",
+    "connect_checks": _ALIGN + "select distinct sig_id, side, true as one, true as whole from ch",
     "components": "with recursive " + TARGET_SQL.lstrip() + """, e as (select fn_id as a, 'c:' || repo || '/' || cve as b from tg where cve is not null union select fn_id, 'h:' || hsh from tg), u as (select a, b from e union select b, a from e),
 r as (select distinct a as node, a as seen from u union select r.node, u.b from r join u on u.a = r.seen) select node, min(seen) as component from r group by node""",
     "first_productive": "select seq, repo, cve, n_files from (select *, row_number() over (partition by repo, cve order by seq) as r from (select o_orderkey as seq, o_orderpriority as repo, o_custkey as cve, count(*) as n_files from orders join lineitem on l_orderkey = o_orderkey group by all having count(*) between 1 and 5)) where r = 1",
