@@ -281,21 +281,30 @@ class Parser:
     def __init__(self, ts: list[Token], cpp: bool):
         self.ts, self.cpp, self.i, self.far = [*ts, END], cpp, 0, 0
         self.words = CPP_WORDS if cpp else C_WORDS
+        self.marks = [self.mark(t) for t in self.ts]
+        self.kinds = [self.sort(t) for t in self.ts]
+        self.most = 60 * len(self.ts) + 100_000
         self.steps = 0
         self.splits: list[tuple[int, Token]] = []
 
     # --- tokens
+    @staticmethod
+    def mark(t: Token) -> str:
+        """A token as the grammar's rules name it; literals have no name."""
+        return t[1] if t[0] not in ("str", "chr") else ""
+
+    def sort(self, t: Token) -> str:
+        return "word" if t[0] == "id" and t[1] in self.words else t[0]
+
     @property
     def s(self) -> str:
-        return self.ts[self.i][1] if self.ts[self.i][0] not in ("str", "chr") else ""
+        return self.marks[self.i]
 
     def peek(self, k: int = 1) -> str:
-        t = self.ts[min(self.i + k, len(self.ts) - 1)]
-        return t[1] if t[0] not in ("str", "chr") else ""
+        return self.marks[min(self.i + k, len(self.marks) - 1)]
 
     def kind(self, k: int = 0) -> str:
-        kind, s = self.ts[min(self.i + k, len(self.ts) - 1)]
-        return "word" if kind == "id" and s in self.words else kind
+        return self.kinds[min(self.i + k, len(self.kinds) - 1)]
 
     def fail(self) -> None:
         self.far = max(self.far, self.i)
@@ -304,11 +313,11 @@ class Parser:
     def next(self) -> None:
         self.i += 1
         self.steps += 1
-        if self.steps > 60 * len(self.ts) + 100_000:
+        if self.steps > self.most:
             raise Unbounded("no derivation found within the bound")
 
     def take(self, s: str) -> bool:
-        if self.s == s:
+        if self.marks[self.i] == s:
             self.next()
             return True
         return False
@@ -316,7 +325,7 @@ class Parser:
     def need(self, s: str) -> None:
         if s == ">" and self.s in (">>", ">=", ">>="):  # closes two template lists
             self.splits.append((self.i, self.ts[self.i]))
-            self.ts[self.i : self.i + 1] = [("op", ">"), ("op", self.s[1:])]
+            self.put(self.i, 1, [("op", ">"), ("op", self.s[1:])])
         if not self.take(s):
             self.fail()
 
@@ -334,9 +343,15 @@ class Parser:
         """Back to token ``at``, with the ``>>`` taken apart since then put together again."""
         while len(self.splits) > splits:
             i, token = self.splits.pop()
-            self.ts[i : i + 2] = [token]
+            self.put(i, 2, [token])
         self.i = at
 
+    def put(self, at: int, n: int, tokens: list[Token]) -> None:
+        """Other tokens in place of ``n``."""
+        self.ts[at : at + n] = tokens
+        self.marks[at : at + n] = [self.mark(t) for t in tokens]
+        self.kinds[at : at + n] = [self.sort(t) for t in tokens]
+
     def balanced(self, close: str) -> None:
         """Anything up to ``close``, with brackets in pairs."""
         pairs = {"(": ")", "[": "]", "{": "}"}
