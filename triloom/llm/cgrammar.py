@@ -7,6 +7,7 @@ text can be derived, and where it stops.
 
 from __future__ import annotations
 
+import functools
 import re
 
 Token = tuple[str, str]  # kind (id, num, str, chr, op), text
@@ -42,13 +43,22 @@ C_WORDS = frozenset("auto break case char const continue default do double else
 CPP_WORDS = C_WORDS - frozenset("restrict _Alignas _Alignof _Atomic _Generic _Noreturn _Static_assert _Thread_local typeof".split()) | frozenset("alignas alignof bool catch char8_t char16_t char32_t class concept const_cast consteval constexpr constinit decltype delete dynamic_cast explicit export false friend mutable namespace new noexcept nullptr operator private protected public reinterpret_cast requires static_assert static_cast template this thread_local throw true try typeid typename using virtual wchar_t".split())
 STORAGE = frozenset("typedef extern static register auto inline __inline __inline__ _Noreturn _Thread_local thread_local __extension__ constexpr consteval constinit virtual explicit friend mutable".split())
 QUALIFIERS = frozenset("const volatile restrict __restrict __restrict__ __volatile__ __const _Atomic".split())
+ATTRIBUTES = frozenset("__attribute__ alignas _Alignas __declspec [ __asm__ asm __asm".split())
 BUILTIN = frozenset("void char short int long float double signed unsigned _Bool _Complex _Imaginary __signed__ bool wchar_t char8_t char16_t char32_t".split())
 ASSIGN = frozenset("= += -= *= /= %= &= |= ^= <<= >>=".split())
 BINARY = {op: i for i, ops in enumerate(("||", "&&", "|", "^", "&", "== !=", "<=>", "< > <= >=", "<< >>", "+ -", "* / %", ".* ->*")) for op in ops.split()}
 
 
 def tokens(text: str, cpp: bool) -> tuple[list[list[Token]], set[int]]:
-    """The tokens of each line, without comments and spliced line ends; and the lines that define a macro with parameters."""
+    """The tokens of each line, without comments and spliced line ends; and the lines that define a macro with parameters.
+
+    Both languages have the same tokens but for raw strings, so a text without any is cut once for both.
+    """
+    return _lexed(text, cpp and 'R"' in text)
+
+
+@functools.lru_cache(maxsize=1)
+def _lexed(text: str, cpp: bool) -> tuple[list[list[Token]], set[int]]:
     text = re.sub(r"\\[ \t]*(?:\r\n|\n|\r)", "", text.removeprefix("\ufeff"))
     lines: list[list[Token]] = [[]]
     calls: set[int] = set()
@@ -500,7 +510,7 @@ class Parser:
         self.need(">")
 
     def attributes(self) -> None:
-        while True:
+        while self.marks[self.i] in ATTRIBUTES:
             if self.s == "__attribute__" or self.s in ("alignas", "_Alignas") or self.s == "__declspec":
                 self.next()
                 self.need("(")
