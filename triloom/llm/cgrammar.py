@@ -49,21 +49,13 @@ ASSIGN = frozenset("= += -= *= /= %= &= |= ^= <<= >>=".split())
 BINARY = {op: i for i, ops in enumerate(("||", "&&", "|", "^", "&", "== !=", "<=>", "< > <= >=", "<< >>", "+ -", "* / %", ".* ->*")) for op in ops.split()}
 
 
-def tokens(text: str, cpp: bool) -> tuple[list[list[Token]], set[int]]:
-    """The tokens of each line, without comments and spliced line ends; and the lines that define a macro with parameters.
-
-    Both languages have the same tokens but for raw strings, so a text without any is cut once for both.
-    """
-    return _lexed(text, cpp and 'R"' in text)
-
-
-@functools.lru_cache(maxsize=1)
-def _lexed(text: str, cpp: bool) -> tuple[list[list[Token]], set[int]]:
+def tokens(text: str, raw: bool) -> tuple[list[list[Token]], set[int]]:
+    """The tokens of each line, without comments and spliced line ends; and the lines that define a macro with parameters. ``raw``: there are raw strings."""
     text = re.sub(r"\\[ \t]*(?:\r\n|\n|\r)", "", text.removeprefix("\ufeff"))
     lines: list[list[Token]] = [[]]
     calls: set[int] = set()
     last = -1
-    for m in (_LEX if cpp else _LEX_C).finditer(text):
+    for m in (_LEX if raw else _LEX_C).finditer(text):
         kind = m.lastgroup if m.lastgroup != "d" else "raw"
         if kind == "nl":
             lines.append([])
@@ -83,8 +75,8 @@ class Preprocessor:
     LIMIT = 400_000  # tokens that expansion may add to those it began with
     USES = 4_000_000  # macros that may be expanded in one file
 
-    def __init__(self, cpp: bool):
-        self.cpp, self.uses = cpp, 0
+    def __init__(self):
+        self.uses = 0
         self.macros: dict[str, tuple[list[str] | None, list[Token]]] = {}
 
     def run(self, lines: list[list[Token]], calls: set[int]) -> list[Token]:
@@ -1432,14 +1424,20 @@ class Parser:
         self.compound()
 
 
+@functools.lru_cache(maxsize=1)
+def _prepared(text: str, raw: bool) -> list[Token]:
+    """The tokens that the grammar sees. Both languages have the same but for raw strings, so a text without any is prepared once for both."""
+    ts = Preprocessor().run(*tokens(text, raw))
+    for kind, s in ts:
+        if kind == "bad" or s in ("#", "##"):
+            raise Invalid(f"stray {s[:20]!r}")
+    return ts
+
+
 def check(text: str, cpp: bool) -> str | None:
     """None if ``text`` is C, or C++, by its syntax; else what is wrong, as :class:`Undecided` if a bound was reached."""
     try:
-        ts = Preprocessor(cpp).run(*tokens(text, cpp))
-        for kind, s in ts:
-            if kind == "bad" or s in ("#", "##"):
-                return f"stray {s[:20]!r}"
-        Parser(ts, cpp).unit()
+        Parser(_prepared(text, cpp and 'R"' in text), cpp).unit()
     except Invalid as e:
         return str(e)
     except Unbounded as e:
