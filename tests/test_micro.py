@@ -635,7 +635,7 @@ def test_no_folder_of_our_own_on_a_cluster():
 
     for master, fails in (("yarn", True), ("spark://h:7077", True), ("local-cluster[3,2,1024]", True), ("local[4]", False)):
         made = []
-        sc = SimpleNamespace(applicationId=f"app-{master}", master=master, setCheckpointDir=made.append)
+        sc = SimpleNamespace(applicationId=f"app-{master}", master=master, setCheckpointDir=made.append, getCheckpointDir=lambda: None)
         try:
             session.shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
         except RuntimeError:

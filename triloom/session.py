@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = sc.applicationId
     if app in _own:
         return _own[app]
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
