@@ -132,7 +132,7 @@ def test_real_files_and_a_published_folder(spark, tmp_path):
     (tmp_path / "in" / "x" / "none.vec").write_text("")
     (tmp_path / "in" / "x" / "deep" / "er" / "b.txt").write_bytes(b"\xff\xfe\x00z")
     assert [(r.path.rsplit("/", 1)[1], r.func, r.n_bytes) for r in tiny_files(spark, f"file://{tmp_path}/in", "*.t?t").collect()] == [("b.txt", "b", 4)]
-    kept = compact(tiny_files(spark, str(tmp_path / "in"))).read()
+    kept = compact(tiny_files(spark, f"file:{tmp_path}/in"), out=f"file:{tmp_path}/small").read()
     assert kept.select(F.hex(F.col("body").cast("binary"))).first()[0] == "FFFE007A"
     (tmp_path / "in" / "x" / "deep" / "er" / "b.txt").unlink()
     for i in range(1, 41):

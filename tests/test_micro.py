@@ -628,6 +628,12 @@ def test_rates_as_text(spark):
     assert [r.value for r in evaluate.rate_lines(evaluate.rates(counts)).collect()][:4] == ["m nominal 0.750000 0.750000 0.750000", "m worst 0.600000 0.750000 0.666667", "m best 0.800000 0.800000 0.800000", "z nominal - - -"]
 
 
+def test_addresses():
+    from triloom.session import address
+
+    assert [address(x) for x in ("file:/a/b", "file:///a", "/a", "s3a://b/k", "hdfs://h:1/x")] == ["file:///a/b", "file:///a", "/a", "s3://b/k", "hdfs://h:1/x"]
+
+
 def test_no_folder_of_our_own_on_a_cluster():
     from types import SimpleNamespace
 

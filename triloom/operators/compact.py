@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triloom.session import arrow, col, cut, fresh, scratch
+from triloom.session import address, arrow, col, cut, fresh, scratch
 
 #: The characters that Unicode counts as white space, and the four separators U+001C to U+001F.
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -163,7 +163,7 @@ def _packer(folder: str, groups: int, names: list[str], key: str, size: str, no:
 
         shard = TaskContext.get().partitionId()
         attempt = uuid.uuid4().hex
-        system, base = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1)) if ":" in folder else (fs.LocalFileSystem(), folder)
+        system, base = fs.FileSystem.from_uri(address(folder)) if ":" in folder else (fs.LocalFileSystem(), folder)
         system.create_dir(base, recursive=True)
         heap = [(0, g) for g in range(groups)]
         writers: dict[int, pq.ParquetWriter] = {}

@@ -8,7 +8,7 @@ from triloom.functions import scalars
 from triloom.operators import evaluate, history, ingest, match, signature, triples
 from triloom.plans import graphs
 from triloom.plans.projections import PARTS_SQL, SCORE_SQL, TARGET_SQL
-from triloom.session import cut, scratch, table
+from triloom.session import address, cut, scratch, table
 from triloom.sources import readers, writers
 
 
@@ -118,7 +118,7 @@ def _as_files(df, at: str):
         import pyarrow as pa
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(at)
+        system, base = fs.FileSystem.from_uri(address(at))
         for b in batches:
             for repo, name, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 system.create_dir(f"{base}/{repo}", recursive=True)

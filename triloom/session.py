@@ -43,8 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     system = at.getFileSystem(sc._jsc.hadoopConfiguration())
     system.mkdirs(at)
     system.deleteOnExit(at)  # whatever the file system: when the driver's JVM ends
-    _own[app] = path
-    return path
+    _own[app] = re.sub(r"^file:/+", "file:///", system.makeQualified(at).toString())
+    return _own[app]
+
+
+def address(path: str) -> str:
+    """An address as pyarrow takes it, of one as Hadoop writes it."""
+    return re.sub(r"^file:/+", "file:///", re.sub("^s3[an]:", "s3:", path))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from triloom.functions.scalars import graph_key
 from triloom.operators.rejects import check_node_lines
-from triloom.session import arrow, cut
+from triloom.session import address, arrow, cut
 
 
 def lines(spark: SparkSession, path: str, name: str = "*") -> DataFrame:
@@ -56,7 +56,7 @@ def _place(uri: str):
 
     if ":" not in uri:
         return fs.LocalFileSystem(), uri, ""
-    system, base = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    system, base = fs.FileSystem.from_uri(address(uri))
     return system, base, uri.removesuffix("/")[: len(uri.removesuffix("/")) - len(base.removesuffix("/"))]
 
 
