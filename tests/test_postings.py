@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from triloom.operators import match, postings
+from triloom.operators import dense, match, postings
 from triloom.plans import core
 
 QUERIES = core.queries()
@@ -41,12 +41,23 @@ def alike(spark, tmp_path_factory):
     return at, len(rows)
 
 
-@pytest.mark.parametrize("name", ["hits_eval"])
+@pytest.mark.parametrize("name", ["hits_eval", "hits_scan", "hit_file", "hits_pruned", "verdicts", "eval_slices", "rate_lines", "eval_test_modified", "eval_zero_safe", "store_mods"])
 def test_no_row_for_a_triple_that_a_pair_shares(spark, alike, name):
     at, n = alike
+    less_moved(spark, at, name, 5 * n)
+
+
+@pytest.mark.parametrize("name", ["score_exact", "score_file", "threshold_grid"])
+def test_a_target_moves_once_whatever_the_number_of_blocks(spark, alike, name, monkeypatch):
+    at, n = alike
+    monkeypatch.setattr(dense, "SIG_BLOCK", 60)
+    less_moved(spark, at, name, 3 * n)
+
+
+def less_moved(spark, at, name, most):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if no side were small
     try:
-        assert moved(spark, lambda: QUERIES[name](spark, at).write.format("noop").mode("overwrite").save()) < 3 * n
+        assert moved(spark, lambda: QUERIES[name](spark, at).write.format("noop").mode("overwrite").save()) < most
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
