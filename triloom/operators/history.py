@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triloom.session import arrow
+from triloom.session import arrow, cut
 
 MONTH, HALF_YEAR = 2_592_000, 15_552_000  # 30 and 180 days, in seconds
 #: What is taken from the lines of a diff. File name, path with the ``a/`` before it, blob ids, names before a bracket.
@@ -18,6 +20,8 @@ BLOB_IDS = r"^index ([a-z0-9]*)\.\.([a-z0-9]*)"
 CALLED = r"([a-zA-Z0-9_]*)\("
 #: Roots that are followed at once through the commits of a repo.
 ROOTS = 4096
+#: Commits after which it is seen which roots nothing more can be found for, at least.
+TIDY = 4_000
 
 
 def cve_commits(commits: DataFrame) -> DataFrame:
@@ -234,6 +238,282 @@ def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from emit()
 
 
+class _Root:
+    """A commit of which later versions of a path are looked for."""
+
+    __slots__ = ("name", "path", "at", "bit", "old", "best", "open")
+
+    def __init__(self, name: str, path: str, at: int | None, bit: int, gaps: int):
+        self.name, self.path, self.at, self.bit = name, path, at, bit
+        self.old: list[tuple] = []  # the keys of its oldest versions
+        self.best: list[tuple | None] = [None] * gaps  # of each gap: the key of its newest version within it
+        self.open = gaps
+
+
+class _Path:
+    """Sets of a path's roots, as bits: all, those that lack oldest versions, and for each gap those that it isn't over for."""
+
+    def __init__(self, gaps: int):
+        self.all = self.few = 0
+        self.open = [0] * gaps
+        #: For each gap: [key, roots], the version that is the newest one so far of which roots.
+        self.groups: list[list[list]] = [[] for _ in range(gaps)]
+
+    def sets(self, change) -> None:
+        self.all, self.few, self.open = change(self.all), change(self.few), [change(x) for x in self.open]
+        self.groups = [[[k, b] for k, x in g if (b := change(x))] for g in self.groups]
+
+
+def _bits(x: int) -> Iterator[int]:
+    while x:
+        low = x & -x
+        yield low.bit_length() - 1
+        x ^= low
+
+
+class _Line:
+    """One repo's commits in order of time. Of a commit that still has children to come the set of roots above it is kept, as bits.
+
+    A root is let go as soon as nothing can be found for it any more, and bits are numbered anew when most are free, so sets
+    are as long as the roots that are looked for at a time. A commit whose parents come later waits for them.
+    """
+
+    def __init__(self, repo: str, few: int, gaps: tuple[int, ...], done):
+        self.repo, self.few, self.gaps, self.done = repo, few, gaps, done
+        self.roots: dict[int, _Root] = {}
+        self.paths: dict[str, _Path] = {}
+        self.masks: dict[str, list] = {}  # name: [set, children to come]
+        self.waiting: dict[str, list[tuple]] = {}
+        self.absent: dict[str, set[str]] = {}
+        self.ends: list[list[tuple]] = [[] for _ in gaps]
+        self.bit = self.count = self.since = 0
+        self.last: tuple = ()
+        self.todo: list[tuple] = []
+
+    def add(self, row: tuple) -> None:
+        missing = {p for p in row[4] if p not in self.masks}
+        if missing:
+            self.absent[row[0]] = missing
+            for p in missing:
+                self.waiting.setdefault(p, []).append(row)
+        else:
+            self.settle(row)
+
+    def settle(self, row: tuple) -> None:
+        todo = self.todo
+        todo.append(row)
+        while todo:
+            name, ts, seq, paths, parents, children, wanted = todo.pop()
+            mask = 0
+            for p in parents:
+                held = self.masks[p]
+                mask = held[0] if not mask else mask if held[0] == mask else mask | held[0]
+                held[1] -= 1
+                if not held[1]:
+                    del self.masks[p]
+            key = (ts is not None, ts or 0, seq is not None, seq or 0, name)
+            late = key < self.last
+            if not late:
+                self.last = key
+                self.over(ts)
+            for path in paths if mask else ():
+                if (x := self.paths.get(path)) and mask & x.all:
+                    (self.behind if late else self.found)(x, mask, key, ts)
+            for path in wanted:
+                mask |= 1 << self.start(name, path, ts)
+            if children:
+                self.masks[name] = [mask, children]
+            for other in self.waiting.pop(name, ()):
+                self.absent[other[0]].discard(name)
+                if not self.absent[other[0]]:
+                    del self.absent[other[0]]
+                    todo.append(other)
+            self.since += 1
+        if self.since > max(TIDY, len(self.masks), len(self.roots)):
+            self.tidy()
+
+    def start(self, name: str, path: str, ts: int | None) -> int:
+        root = self.roots[self.bit] = _Root(name, path, ts, self.bit, len(self.gaps))
+        x, own = self.paths.setdefault(path, _Path(len(self.gaps))), 1 << self.bit
+        x.all, x.few = x.all | own, x.few | own
+        for g, gap in enumerate(self.gaps):
+            x.open[g] |= own
+            if ts is None:
+                self.close(g, root)
+            else:
+                self.count += 1
+                heapq.heappush(self.ends[g], (ts + gap, self.count, root))
+        self.bit += 1
+        return self.bit - 1
+
+    def found(self, x: _Path, mask: int, key: tuple, ts: int | None) -> None:
+        for b in _bits(mask & x.few):
+            self.older(x, self.roots[b], key)
+        for g in range(len(self.gaps)):
+            own = mask & x.open[g] if ts is not None else 0
+            if own:
+                kept = [[k, left] for k, held in x.groups[g] if (left := held & ~own)]
+                x.groups[g] = [*kept, [key, own]]
+
+    def behind(self, x: _Path, mask: int, key: tuple, ts: int | None) -> None:
+        """A commit that had to wait: it may be older than what was found since."""
+        for b in list(_bits(mask & x.all)):
+            root = self.roots[b]
+            for g, gap in enumerate(self.gaps):
+                if ts is None or root.at is None or ts > root.at + gap:
+                    continue
+                group = next((y for y in x.groups[g] if y[1] >> b & 1), None)
+                best = group[0] if group else root.best[g]
+                if best is None or key > best:
+                    if x.open[g] >> b & 1:
+                        if group:
+                            group[1] ^= 1 << b
+                        x.groups[g] = [*[y for y in x.groups[g] if y[1]], [key, 1 << b]]
+                    else:
+                        root.best[g] = key
+            self.older(x, root, key)
+
+    def older(self, x: _Path, root: _Root, key: tuple) -> None:
+        root.old = sorted([*root.old, key])[: self.few]
+        if len(root.old) == self.few:
+            x.few &= ~(1 << root.bit)
+            self.leave(root)
+
+    def over(self, ts: int | None) -> None:
+        for g, ends in enumerate(self.ends):
+            while ends and ts is not None and ends[0][0] < ts:
+                root = heapq.heappop(ends)[2]
+                if self.roots.get(root.bit) is root:
+                    self.close(g, root)
+
+    def close(self, g: int, root: _Root) -> None:
+        x = self.paths[root.path]
+        x.open[g] &= ~(1 << root.bit)
+        for i, y in enumerate(x.groups[g]):
+            if y[1] >> root.bit & 1:
+                root.best[g] = y[0]
+                y[1] ^= 1 << root.bit
+                if not y[1]:
+                    del x.groups[g][i]
+                break
+        root.open -= 1
+        self.leave(root)
+
+    def leave(self, root: _Root, sure: bool = False) -> None:
+        """Let a root go, if later commits can't change what was found; with ``sure`` there are none below it."""
+        if sure or (not root.open and len(root.old) == self.few and not self.absent and not self.todo):
+            x, b = self.paths[root.path], root.bit
+            for g in range(len(self.gaps)):
+                for y in x.groups[g]:
+                    if y[1] >> b & 1:
+                        root.best[g] = y[0]
+            self.done((self.repo, root.path, root.name, [k[-1] for k in root.old], *[k and k[-1] for k in root.best]))
+            del self.roots[b]
+            x.all &= ~(1 << b)
+
+    def tidy(self) -> None:
+        self.since = 0
+        above = 0
+        # what waits is below parents that are held, or that wait themselves
+        for m, _ in self.masks.values():
+            above |= m
+        on = np.unpackbits(np.frombuffer(above.to_bytes(self.bit // 8 + 1, "little"), np.uint8), bitorder="little")
+        for b, root in list(self.roots.items()):
+            self.leave(root, not on[b])
+        if len(self.roots) > self.bit // 2:
+            return
+        kept = np.array(sorted(self.roots), np.int64)
+        size = self.bit // 8 + 1
+        known: dict[int, int] = {}
+
+        def renumbered(x: int) -> int:
+            if x not in known:
+                on = np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), bitorder="little")
+                known[x] = int.from_bytes(np.packbits(on[kept], bitorder="little").tobytes(), "little")
+            return known[x]
+
+        for held in self.masks.values():
+            held[0] = renumbered(held[0])
+        for path, x in list(self.paths.items()):
+            if x.all:
+                x.sets(renumbered)
+            else:
+                del self.paths[path]
+        self.roots = {i: self.roots[b] for i, b in enumerate(kept.tolist())}
+        for i, root in self.roots.items():
+            root.bit = i
+        self.bit = len(kept)
+
+    def end(self) -> None:
+        while self.waiting:  # only where commits are among their own ancestors
+            p = next(iter(self.waiting))
+            rows = self.waiting.pop(p)
+            self.masks.setdefault(p, [0, len(rows) + 1])
+            for row in rows:
+                self.absent[row[0]].discard(p)
+                if not self.absent[row[0]]:
+                    del self.absent[row[0]]
+                    self.settle(row)
+        for root in list(self.roots.values()):
+            self.leave(root, True)
+
+
+def _later(few: int, gaps: tuple[int, ...]):
+    """Rows come sorted by repo and time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        line = None
+        kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), *[pa.string()] * len(gaps)]
+        names = ["repo", "path", "hash", "old", *[f"g{i}" for i in range(len(gaps))]]
+
+        def emit() -> pa.RecordBatch:
+            cols = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names)
+
+        for batch in batches:
+            for repo, *row in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if line is None or repo != line.repo:
+                    if line is not None:
+                        line.end()
+                    line = _Line(repo, few, gaps, out.append)
+                line.add(tuple(row))
+                if len(out) > 20_000:
+                    yield emit()
+        if line is not None:
+            line.end()
+        if out:
+            yield emit()
+
+    return run
+
+
+def _once(commits: DataFrame) -> DataFrame:
+    """Each commit once: repo, hash, ts, seq, parents, paths."""
+    own = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    return commits.where("repo is not null and hash is not null").groupBy("repo", "hash").agg(F.min("ts").cast("long").alias("ts"), F.min("seq").cast("long").alias("seq"), F.min(own("parents")).alias("parents"), F.array_distinct(F.flatten(F.collect_list(own("paths")))).alias("paths"))
+
+
+def _linked(commits: DataFrame) -> DataFrame:
+    """Each commit once, with those of its parents that are there, and how many are its children."""
+    rows = _once(commits)
+    up = rows.select("repo", F.col("hash").alias("child"), F.explode(F.array_distinct("parents")).alias("hash")).where("child <> hash").join(rows.select("repo", "hash"), ["repo", "hash"], "left_semi")
+    parents = up.groupBy("repo", F.col("child").alias("hash")).agg(F.collect_list("hash").alias("parents"))
+    children = up.groupBy("repo", "hash").agg(F.count("*").alias("children"))
+    none = F.array().cast("array<string>")
+    return rows.drop("parents").join(parents, ["repo", "hash"], "left").join(children, ["repo", "hash"], "left").select("repo", "hash", "ts", "seq", "paths", F.coalesce("parents", none).alias("parents"), F.coalesce("children", F.lit(0)).alias("children"))
+
+
+def _nearest(linked: DataFrame, roots: DataFrame, few: int, gaps: tuple[int, ...]) -> DataFrame:
+    """(repo, path, hash, old, g0, ..) for each root (repo, path, hash) that is a commit: of the versions of its path below it the
+    ``few`` oldest, and for each gap the newest within so many seconds. A repo's commits pass through one task, once."""
+    wanted = roots.select("repo", "hash", "path").dropna().groupBy("repo", "hash").agg(F.collect_set("path").alias("wanted"))
+    rows = linked.join(wanted, ["repo", "hash"], "left").select("repo", "hash", "ts", "seq", "paths", "parents", "children", F.coalesce("wanted", F.array().cast("array<string>")).alias("wanted"))
+    there = rows.repartition("repo").sortWithinPartitions("repo", "ts", "seq", "hash")
+    return there.transform(arrow, _later(few, gaps), ", ".join(["repo string, path string, hash string, old array<string>", *[f"g{i} string" for i in range(len(gaps))]]))
+
+
 def following(commits: DataFrame, roots: DataFrame) -> DataFrame:
     """(repo, root, path, hash, ts, seq): commits of a root's path among the root's descendants.
 
@@ -244,8 +524,7 @@ def following(commits: DataFrame, roots: DataFrame) -> DataFrame:
     wanted = roots.select("repo", "hash", "path").dropna().distinct()
     blocks = wanted.groupBy("repo").agg(F.ceil(F.count("*") / ROOTS).cast("int").alias("n"))
     first = wanted.join(blocks, "repo").select(F.struct("repo", F.pmod(F.xxhash64("hash", "path"), "n").cast("int").alias("block")).alias("slot"), F.lit(False).alias("kind"), "repo", "hash", F.array("path").alias("paths"), F.lit(None).cast("long").alias("ts"), F.lit(None).cast("long").alias("seq"), F.array().cast("array<string>").alias("parents"))
-    own = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())
-    rows = commits.where("repo is not null and hash is not null").groupBy("repo", "hash").agg(F.min("ts").alias("ts"), F.min("seq").alias("seq"), F.min(own("parents")).alias("parents"), F.array_distinct(F.flatten(F.collect_list(own("paths")))).alias("paths"))
+    rows = _once(commits)
     rows = rows.join(blocks, "repo").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
     rows = rows.select(F.struct("repo", "block").alias("slot"), F.lit(True).alias("kind"), "repo", "hash", "paths", F.col("ts").cast("long"), F.col("seq").cast("long"), "parents")
     both = first.unionByName(rows).repartition("slot").sortWithinPartitions("slot", "kind", "ts", "seq")
@@ -263,24 +542,17 @@ def versions_along(commits: DataFrame, roots: DataFrame) -> DataFrame:
 
     ``after`` is the oldest. The one after a month is the oldest descendant of the newest version within 30 days, or, where none is
     within them, the oldest not taken yet; the same for 180 days. Each is looked for only if the one before was found, and
-    the one after half a year may be that after a month. Input as for :func:`following`.
+    the one after half a year may be that after a month. Input as for :func:`following`; no row is made for a pair of a root and a later version.
     """
-    found = following(commits, roots)
-    at = F.struct("ts", "seq", "hash")
-    time = commits.where("repo is not null and hash is not null").groupBy("repo", F.col("hash").alias("root")).agg(F.min("ts").cast("long").alias("t0"))
-    near = found.join(time, ["repo", "root"])
-    within = lambda gap: F.max(F.when(F.col("ts") <= F.col("t0") + gap, at))
+    linked = cut(_linked(commits), "history")
     # the three oldest are all that can be taken where nothing is within the time
-    low = F.array_sort(F.slice(F.array_sort(F.collect_list(at)), 1, 3))
-    few = near.withColumn("r", F.row_number().over(Window.partitionBy("repo", "root", "path").orderBy("ts", "seq", "hash"))).where("r <= 3")
-    old = few.groupBy("repo", "root", "path").agg(low.alias("old"))
-    per = near.groupBy("repo", "root", "path").agg(within(MONTH)["hash"].alias("m"), within(HALF_YEAR)["hash"].alias("h"))
-    turns = per.select("repo", "path", F.explode(F.array("m", "h")).alias("hash")).dropna().distinct()
-    after = following(commits, turns).groupBy("repo", F.col("root").alias("turn"), "path").agg(F.min_by("hash", F.struct("ts", "seq", "hash")).alias("next"))
-    rows = roots.select("repo", "path", "hash").dropna().distinct().join(per.withColumnRenamed("root", "hash"), ["repo", "path", "hash"], "left").join(old.withColumnRenamed("root", "hash"), ["repo", "path", "hash"], "left")
+    near = cut(_nearest(linked, roots, 3, (MONTH, HALF_YEAR)).withColumnsRenamed({"g0": "m", "g1": "h"}), "later")
+    turns = near.select("repo", "path", F.explode(F.array("m", "h")).alias("hash")).dropna()
+    after = _nearest(linked, turns, 1, ()).select("repo", F.col("hash").alias("turn"), "path", F.try_element_at("old", F.lit(1)).alias("next"))
+    rows = roots.select("repo", "path", "hash").dropna().distinct().join(near, ["repo", "path", "hash"], "left")
     for c in ("m", "h"):
         rows = rows.join(after.select("repo", "path", F.col("turn").alias(c), F.col("next").alias(f"{c}_next")), ["repo", "path", c], "left")
-    names = F.coalesce(F.transform("old", lambda x: x["hash"]), F.array().cast("array<string>"))
+    names = F.coalesce("old", F.array().cast("array<string>"))
     first = lambda *taken: F.try_element_at(F.filter(names, lambda x: ~F.coalesce(F.array_contains(F.array(*taken), x), F.lit(False))), F.lit(1))
     rows = rows.withColumn("after", F.try_element_at(names, F.lit(1)))
     rows = rows.withColumn("after_1mo", F.when(F.col("after").isNotNull(), F.when(F.col("m").isNull(), first("after")).otherwise(F.col("m_next"))))
