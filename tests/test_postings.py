@@ -84,3 +84,24 @@ def test_keys_that_agree_in_their_first_half_are_kept_apart():
     t = pa.table({"sig_id": ["s", "s", "s"], "label": ["s", "s", "s"], "part": pa.array([0, 1, 2], pa.int32()), "k1": pa.array([7, 7, 9], pa.int64()), "k2": pa.array([1, 2, 1], pa.int32())})
     block = postings._Block(t)
     assert list(block.found(np.array([7, 7, 7, 9, 9, 3]), np.array([2, 1, 3, 1, 2, 1]))) == [1, 0, 3, 2, 3, 3]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 30])
+def test_rows_of_a_signature_stand_together_for_many_targets(monkeypatch, most):
+    import pyarrow as pa
+
+    monkeypatch.setattr(postings, "ROWS", 25, raising=False)
+    monkeypatch.setattr(postings, "MOST", most, raising=False)
+    names = [f"s{i:02}" for i in range(21)]
+    block = postings._Block(pa.table({"sig_id": names, "label": names, "part": pa.array([0] * 21, pa.int32()), "k1": pa.array(range(21), pa.int64()), "k2": pa.array(range(21), pa.int32())}))
+    one = lambda t, sig: (np.full(len(sig), t), sig, np.c_[np.ones(len(sig), int), np.zeros((len(sig), 2), int)])
+    pairs = [one(t, np.array([i for i in range(21) if (i + t) % 5])) for t in range(50) if t != 7]
+    got = list(postings._rows(None, None)(block, pa.array([f"t{i:02}" for i in range(50)]), iter(pairs)))
+    rows = [tuple(x.values()) for b in got for x in b.to_pylist()]
+    want = [(f"s{i:02}", f"t{w[0]:02}", 100.0, None, None) for w, sig, _ in pairs for i in sig]
+    assert sorted(rows, key=str) == sorted(want, key=str) and max(b.num_rows for b in got) == 25
+    if most > len(rows):
+        assert rows == sorted(want, key=lambda x: (int(x[1][1:]) // 16, x[0], x[1]))
+    # nothing to keep, and nothing at all
+    assert not list(postings._rows(lambda c, p, n: c < 0, 0.0)(block, pa.array(["t"]), iter([one(0, np.arange(21))] * 3)))
+    assert not list(postings._rows(None, None)(block, pa.array(["t"]), iter([])))
