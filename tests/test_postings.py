@@ -105,3 +105,16 @@ def test_rows_of_a_signature_stand_together_for_many_targets(monkeypatch, most):
     # nothing to keep, and nothing at all
     assert not list(postings._rows(lambda c, p, n: c < 0, 0.0)(block, pa.array(["t"]), iter([one(0, np.arange(21))] * 3)))
     assert not list(postings._rows(None, None)(block, pa.array(["t"]), iter([])))
+
+
+def test_score_files_repeat_names_where_a_codec_finds_them(spark, tmp_path):
+    r = random.Random(3)
+    name = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    parts = spark.createDataFrame([(f"s{i}", p, "x", "r", "y") for i in range(1000) for p in match.PARTS], PT)
+    tr = spark.createDataFrame([(f"f{i}", "x", "r", "y") for i in range(64)], TR)
+    names, paths = [(f"s{i}", name(90)) for i in range(1000)], [(f"f{i}", name(140)) for i in range(64)]
+    scores = dense.score_exact(parts, tr, spark.createDataFrame(names, "sig_id string, name string"), spark.createDataFrame(paths, "fn_id string, path string"))
+    match.named_lines(scores).write.parquet(f"{tmp_path}/lines")
+    lines = {x.value for x in spark.read.parquet(f"{tmp_path}/lines").collect()}
+    assert lines == {f"{n} {p} 100 100 100" for _, n in names for _, p in paths}
+    assert sum(x.stat().st_size for x in tmp_path.glob("lines/*.parquet")) < 50 * len(lines)
